@@ -6,24 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEDIA = T.StructType.fromDDL(
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def schema(fields: str) -> T.StructType:
+    """A schema from "name type, ..." without a session."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (x.split() for x in fields.split(","))])
+
+
+MEDIA = schema(
     "id long, singer_id long, media_type string, subtype string, file_path string, file_hash string, dhash string, source string, source_url string, provider_media_id string, "
     "author string, license string, tags array<string>, description string, created_at timestamp_ntz, last_used_at timestamp_ntz, use_count long, favorite int, active int, approved int, "
     "youtube_video_id string, youtube_url string, channel_name string, video_title string, original_start double, original_end double, clip_duration double, fps double, width int, height int, rights_status string"
 )
-SINGERS = T.StructType.fromDDL("id long, name string, aliases array<string>, created_at timestamp_ntz")
-CACHE = T.StructType.fromDDL("id long, provider string, query string, media_type string, response_json string, created_at timestamp_ntz, expires_at timestamp_ntz")
-PROJECTS = T.StructType.fromDDL("id long, project_id string, singer_name string, created_at timestamp_ntz")
-USAGE = T.StructType.fromDDL("id long, project_id string, media_id long, scene_index int, role string, created_at timestamp_ntz")
+SINGERS = schema("id long, name string, aliases array<string>, created_at timestamp_ntz")
+CACHE = schema("id long, provider string, query string, media_type string, response_json string, created_at timestamp_ntz, expires_at timestamp_ntz")
+PROJECTS = schema("id long, project_id string, singer_name string, created_at timestamp_ntz")
+USAGE = schema("id long, project_id string, media_id long, scene_index int, role string, created_at timestamp_ntz")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Additive schema evolution: columns that ``df`` lacks are null, those it has are cast."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+def evolve(df: DataFrame, to: T.StructType) -> DataFrame:
+    """Additive schema evolution: columns of ``to`` that ``df`` lacks are null, those it has are cast."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in to.fields])
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -45,9 +53,9 @@ def content_hash(content: Column, path: Column) -> Column:
     return F.coalesce(F.sha2(content, 256), F.sha2(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), 256))
 
 
-def json_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+def json_lines(lines: DataFrame, column: str, fields: str) -> DataFrame:
     """Line-delimited JSON; blank and broken lines are skipped."""
-    parsed = F.from_json(F.trim(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = F.from_json(F.trim(column), fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return lines.filter(F.trim(column).startswith("{")).select(parsed.alias("j")).select("j.*").dropna("all")
 
 
@@ -61,10 +69,9 @@ def decode_text(df: DataFrame, column: str, out: str = "text", charsets: tuple[s
     wins, else UTF-8 with replacements.  Null stays null."""
     import re
 
-    import pandas as pd
+    def decode(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def decode(col: pd.Series) -> pd.Series:
         def one(raw: bytes | None) -> str | None:
             if raw is None:
                 return None
@@ -78,9 +85,11 @@ def decode_text(df: DataFrame, column: str, out: str = "text", charsets: tuple[s
                     return text
             return raw.decode("utf-8", "replace")
 
-        return col.map(one)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(x) for x in b.column(at).to_pylist()], pa.string())], [*b.schema.names, out])
 
-    return df.withColumn(out, decode(column))
+    at = df.columns.index(column)
+    return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def write_json(df: DataFrame, path: str) -> None:
