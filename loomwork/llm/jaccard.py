@@ -325,7 +325,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
             mask = F.lit(turn * 0x2545F4914F6CDD1D & (1 << 63) - 1)
             open_ = (labelled.join(kept.select("key"), "key") if turn else labelled).withColumn("band", band)
             pivots = open_.groupBy("key", "band").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("o"), F.count("*").alias("c")).filter("c > 1").select("key", "band", F.col("o").bitwiseXOR(mask).alias("b"))
-            pairs = open_.join(pivots, ["key", "band"]).filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+            # one pivot a member and round: most members of a group agree on it
+            pairs = open_.join(pivots, ["key", "band"]).filter("rep != b").groupBy(F.col("rep").alias("a")).agg(F.min(F.col("b").bitwiseXOR(mask)).bitwiseXOR(mask).alias("b"))
             final = False
         found = shared_checkpoint(verified(pairs))
         links = found if links is None else links.unionByName(found)
