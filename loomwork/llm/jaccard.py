@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import load, shared_checkpoint
 from .shingles import mix64, shingle_hashes
 
-CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
+CHUNK_TOKENS, CHUNK_DOCS = 500_000, 60_000
 #: Sets up to this size may be handled by subsets; the boundary within is chosen by cost.
 SMALL = 24
 STAR_ROUNDS = 3
@@ -170,8 +170,8 @@ def _prefixes(num: int, den: int):
 def document_sets(docs: DataFrame, *, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, fp1, fp2, u, keys of every document (see ``_prefixes``)."""
     chosen = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
-    # as many ranges as input partitions: a range then holds about what a partition does
-    ranges = min(65_536, max(16, chosen.rdd.getNumPartitions()))
+    # two ranges for each input partition: a range then holds half of what a partition does, about
+    ranges = min(65_536, max(16, 2 * chosen.rdd.getNumPartitions()))
     sent = chosen.mapInArrow(_scatter(words, ranges), "rng int, cid long, tok binary, cnt binary, doc binary, docs binary")
     counted = sent.groupBy("rng").applyInPandas(_count, "rng int, cid long, tok binary, cnt binary, df binary, doc binary, docs binary")
     return counted.groupBy("cid").applyInPandas(_prefixes(num, den), "doc_id long, n long, fp1 long, fp2 long, u long, keys array<long>")
