@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import dictionaries as words
+from loomwork.functions import grounding as ground
 from loomwork.functions import scoring as s
 from loomwork.functions import text as t
+from loomwork.functions.article import news_articles
 from loomwork.sources.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -110,14 +113,34 @@ def number_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.lit(True).alias("ok"), F.size(n).cast("long").alias("n_numbers"))
 
 
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_QUANTITY = f"""WITH p AS ({{paired}}), k(kind, pattern) AS (VALUES ('date', '{words.DATE}'), ('rank', '{words.RANK}'), ('amount', '{words.AMOUNT}')),
+f AS (SELECT DISTINCT doc_id, article, kind, pattern, {_TRIM.format('m')} AS token FROM (SELECT doc_id, article, kind, pattern, unnest(CASE kind WHEN 'date' THEN regexp_extract_all(text, '{words.DATE}') WHEN 'rank' THEN regexp_extract_all(text, '{words.RANK}') ELSE regexp_extract_all(text, '{words.AMOUNT}') END) AS m FROM p, k)),
+q AS (SELECT doc_id, article, kind, token, CASE kind WHEN 'date' THEN token WHEN 'rank' THEN regexp_extract(token, '{words.RANK}', 1) ELSE replace(regexp_extract(token, '{words.AMOUNT}', 1), ',', '') || regexp_extract(token, '{words.AMOUNT}', 2) END AS num FROM f
+WHERE kind <> 'amount' OR ((regexp_extract(token, '{words.AMOUNT}', 2) <> '' OR regexp_extract(token, '{words.AMOUNT}', 3) <> '') AND token NOT IN ({', '.join(map(repr, words.BENIGN_NUMBERS))}))),
+r AS (SELECT *, replace(replace(article, ',', ''), ' ', '') AS plain, regexp_replace(num, '[^0-9]', '', 'g') AS digits, regexp_extract(token, '[0-9]+') AS n FROM q),
+b AS (SELECT *, contains(article, token) OR contains(plain, replace(replace(token, ',', ''), ' ', '')) OR (num <> '' AND contains(plain, replace(num, ' ', ''))) OR (length(digits) >= 3 AND contains(plain, digits))
+ OR (kind = 'rank' AND CASE WHEN n = '1' THEN regexp_matches(article, '{'|'.join(words.FIRST_RANK)}') ELSE contains(plain, n || '위') OR contains(plain, n || '등') END) AS ok,
+ regexp_matches(token, '{'|'.join(words.MAJOR_SCALES)}') OR (contains(token, '만') AND regexp_matches(token, '{'|'.join(words.MAJOR_UNITS)}')) OR kind = 'rank' AS major FROM r),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT ok) AS missing, count(*) FILTER (NOT ok AND major) AS major FROM b GROUP BY 1)
+SELECT p.doc_id, coalesce(n, 0)::BIGINT AS n_quantities, coalesce(missing, 0)::BIGINT AS n_missing, coalesce(major, 0)::BIGINT AS n_major, greatest(0, 10 - 3.0 * coalesce(major, 0) - 1.5 * (coalesce(missing, 0) - coalesce(major, 0)))::DOUBLE AS score, coalesce(major, 0) >= 2 AS critical FROM p LEFT JOIN c ON p.doc_id = c.doc_id"""
+
+
 TERMS, BAIT = ["worthless", "pathetic", "stupid", "idiot"], ["!!", "$$$", "***"]
-_MISS = "len(list_filter([{}], lambda x: contains(d.text, x) AND NOT contains(b.text, x)))"
-_GROUND = f"SELECT doc_id, {_MISS.format(', '.join(map(repr, TERMS)))}::BIGINT AS critical, {_MISS.format(', '.join(map(repr, BAIT)))}::BIGINT AS clickbait, length(d.text) AS n FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+#: Each document beside the article that its id falls on, of all articles.
+_PAIRED = "SELECT d.doc_id, d.text, b.text AS article FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
+_MISS = "len(list_filter([{}], lambda x: contains(d.text, x) AND NOT contains(d.article, x)))"
+_GROUND = f"SELECT doc_id, {_MISS.format(', '.join(map(repr, TERMS)))}::BIGINT AS critical, {_MISS.format(', '.join(map(repr, BAIT)))}::BIGINT AS clickbait, length(d.text) AS n FROM ({_PAIRED}) d"
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    b = load(spark, d, "benchmark").select("item_id", F.col("text").alias("article"))
+    n = load(spark, d, "benchmark").agg(F.count("*").alias("n_articles"))
+    return _docs(spark, d).withColumn("item_id", F.col("doc_id") % n.scalar()).join(b, "item_id")
 
 
 def _grounding(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "benchmark").filter("item_id < 40").select("item_id", F.col("text").alias("article"))
-    j = _docs(spark, d).join(b, F.col("item_id") == F.col("doc_id") % 40)
+    j = _paired(spark, d)
     n = lambda terms: F.size(t.ungrounded_terms(F.col("text"), F.col("article"), terms)).cast("long")
     return j.select("doc_id", n(TERMS).alias("critical"), n(BAIT).alias("clickbait"), F.length("text").cast("long").alias("n"))
 
@@ -127,6 +150,22 @@ def term_grounding(spark: SparkSession, d: str) -> DataFrame:
     return _grounding(spark, d).select("doc_id", "critical", "clickbait", s.term_score(F.col("critical"), F.col("clickbait")).alias("score"))
 
 
+@query(_QUANTITY.replace("{paired}", _PAIRED))
+def number_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of a text that its article lacks; the pairs are those of ``term_grounding``."""
+    j = _paired(spark, d).select("doc_id", "article", ground.quantities(F.col("text")).alias("q"))
+    j = j.withColumn("missing", F.filter("q", lambda x: ~ground.quantity_grounded(x, F.col("article"))))
+    n = j.select("doc_id", F.size("q").cast("long").alias("n_quantities"), F.size("missing").cast("long").alias("n_missing"), F.size(F.filter("missing", ground.major_claim)).cast("long").alias("n_major"))
+    return n.withColumn("score", s.number_fidelity(F.col("n_major"), F.col("n_missing") - F.col("n_major"))).withColumn("critical", F.col("n_major") >= 2)
+
+
+@query()
+def html_article(spark: SparkSession, d: str) -> DataFrame:
+    """Title and text of each page by known places, with the lines that are not text left out."""
+    a = news_articles(load(spark, d, "pages").select("page_id", "html"))
+    return a.select("page_id", "title", F.array_join(ground.article_lines(F.col("body")), "\n\n").alias("text"))
+
+
 _SHORT = "(CASE WHEN n < 350 THEN 2 WHEN n < 400 THEN 1 WHEN n <= 550 THEN 0 ELSE 1 END)"
 _BLOG = "(CASE WHEN n < 1800 THEN 4 WHEN n < 2160 THEN 2 WHEN n <= 2900 THEN 0 ELSE 1 END)"
 

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import article
+from loomwork.functions import grounding as g
 from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.operators import catalogue as c
@@ -128,3 +130,50 @@ def test_semi_join_and_pushdown(spark):
 
     plan = registry.QUERIES["tag_search_semi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "LeftSemi" in plan and "PushedFilters: [IsNotNull(p_size), LessThanOrEqual(p_size,30)" in plan
+
+
+def test_quantities(spark):
+    text = "1,300만 뷰, 100억 원과 5월 12일, TOP 3위, 1위, 1위, 7, 60초, 2024년 5월"
+    got = [tuple(q) for q in value(spark, g.quantities(F.lit(text)))]
+    assert got == [("5월 12일", "5월 12일", "date"), ("2024년 5월", "2024년 5월", "date"), ("TOP 3위", "3", "rank"), ("1위", "1", "rank"), ("1,300만 뷰", "1300만", "뷰"), ("100억 원", "100억", "원")]
+    assert value(spark, g.quantities(F.lit(None).cast("string"))) == [] == value(spark, g.quantities(F.lit("")))
+
+
+def test_quantities_that_an_article_lacks(spark):
+    missing = lambda script, article: [q["token"] for q in value(spark, g.ungrounded_quantities(F.lit(script), F.lit(article)))]
+    assert missing("1300만 뷰와 100억 원, 1위", "3000석 공연") == ["1위", "1300만 뷰", "100억 원"]
+    assert missing("1300만 뷰, 1위, 2등", "1,300 만 조회, 우승, 2 위") == []
+    assert missing("95%", None) == ["95%"]
+    major = value(spark, F.transform(g.quantities(F.lit("1위 100억 30만 명 40만 곡 9%")), g.major_claim))
+    assert major == [True, True, True, False, False]
+
+
+@pytest.mark.parametrize("name,want", [("병원", "hospital"), (" 큰병원 ", "hospital"), ("Money", "money"), ("#!", "audience"), ("스마트폰", "smartphone"), ("", "audience")])
+def test_canonical_category(spark, name, want):
+    assert value(spark, g.canonical_category(F.lit(name))) == want
+
+
+@pytest.mark.parametrize("sentence,want", [("관객들이 박수를 보냈다", "audience"), ("눈물을 흘렸다", "emotion"), ("병원에 입원했다", "hospital"), ("10억 원을 기부했다", "money"), ("유튜브 조회수", "smartphone"), ("콘서트 무대", "concert"), ("전속계약을 했다", "business"), ("기억", None)])
+def test_best_category(spark, sentence, want):
+    assert value(spark, g.best_category(F.lit(sentence))) == want
+
+
+def test_reviewed(spark):
+    one = lambda raw: value(spark, g.reviewed(F.lit(raw).cast("string")))
+    assert one(None)["not_run"] and one('{"score": null}')["not_run"] and one('{"score": "x"}')["status"] == "AI_QA_NOT_RUN"
+    fenced = one('```json\n{"score": 30, "issues": []}\n```')
+    assert (fenced["score"], fenced["status"]) == (25.0, "PASS")
+    bad = one('[{"score": 20.0, "status": "pass", "issues": [{"type": "error", "message": "m"}, {"message": " "}]}]')
+    assert (bad["score"], bad["status"], bad["n_issues"]) == (14.5, "FAIL", 1)
+    assert one('{"score": 16, "status": "?", "issues": [{"message": "m"}], "recommendations": ["a", " "]}')["status"] == "WARNING"
+
+
+def test_news_article(spark):
+    page = "<html><head><title>T</title></head><body><div class=submenu><p>menu</p></div><h2 id=title_area>A title here</h2><div id=dic_area><p>First line of the text.</p><p>short</p><script>x</script><p>mail a@b.co for more text</p><p>▶ see also other pages</p><p>Second line of &amp; text.<br>Third line of the text.</p></div><footer><p>foot</p></footer></body></html>"
+    title, body = article.news_article(page)
+    assert title == "A title here"
+    assert value(spark, g.article_lines(F.lit(body))) == ["First line of the text.", "Second line of & text.", "Third line of the text."]
+    assert article.news_article(None) == article.news_article("") == ("", "")
+    assert article.news_article("<body>" + "<div>" * 3000 + "deep")[1] == "deep"
+    known = "<body><div><p>a</p><p>b</p></div><div class='x article_view'>Known place</div>"
+    assert article.news_article(known)[1] == "Known place"
