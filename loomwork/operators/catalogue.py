@@ -126,3 +126,23 @@ def tiered_fill(rows: DataFrame, quota: int, *, group: str, key: str, tier: str,
         best = best.withColumn("_cap", cap).withColumn("_rn", F.row_number().over(Window.partitionBy(group, tier).orderBy(*order))).filter("_rn <= _cap").drop("_rn", "_cap")
     place = F.row_number().over(Window.partitionBy(group).orderBy(tier, *order))
     return best.withColumn("place", place.cast("long")).filter(F.col("place") <= quota)
+
+
+def round_robin(rows: DataFrame, kinds: list[str], *, group: str, kind: str, order: list[Column]) -> DataFrame:
+    """Each group's rows with their ``place``: the first of every kind in the order of ``kinds``, then the second, and so on.
+
+    Kinds that are not listed come after all others.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)), F.lit(0).cast("long")), F.lit(len(kinds) + 1).cast("long"))
+    turned = rows.withColumn("_kind", rank).withColumn("_turn", F.row_number().over(Window.partitionBy(group, kind).orderBy(*order)))
+    last = F.when(F.col("_kind") > len(kinds), 1).otherwise(0)
+    return turned.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(last, "_turn", "_kind", *order)).cast("long")).drop("_kind", "_turn")
+
+
+def padded(ranked: DataFrame, defaults: DataFrame, k: int, *, group: str, key: str) -> DataFrame:
+    """``ranked`` (group, key, place), and where a group has fewer than ``k`` keys, those of ``defaults`` (key, place) it lacks, in order."""
+    groups = ranked.groupBy(group).agg(F.collect_set(key).alias("_have"), F.max("place").alias("_last")).filter(F.size("_have") < k)
+    extra = groups.withColumn("_all", defaults.agg(F.array_sort(F.collect_list(F.struct("place", key)))).scalar())
+    lacking = F.slice(F.filter("_all", lambda x: ~F.array_contains("_have", x[key])), F.lit(1), F.lit(k) - F.size("_have"))
+    added = extra.select(group, "_last", F.posexplode(lacking).alias("_i", "_d"))
+    return ranked.unionByName(added.select(group, F.col(f"_d.{key}").alias(key), (F.col("_last") + F.col("_i") + 1).cast("long").alias("place")))

@@ -10,6 +10,7 @@ from loomwork.functions import grounding as ground
 from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.functions.article import news_articles
+from loomwork.operators.catalogue import padded, round_robin
 from loomwork.sources.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -257,6 +258,26 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_orderkey", "l_partkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(key, "video", "i")).cast("long").alias("place"))
 
 
+_ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'N', turn, l_returnflag, {', '.join(_ITEM_ORDER)}) AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY {', '.join(_ITEM_ORDER)}) AS turn FROM lineitem)")
+def round_robin_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Of two kinds of items one each in turn; those of any other kind come last."""
+    rows = load(spark, d, "lineitem").select("l_orderkey", "l_returnflag", *_ITEM_ORDER)
+    merged = round_robin(rows, ["A", "R"], group="l_orderkey", kind="l_returnflag", order=[F.asc(x) for x in _ITEM_ORDER])
+    return merged.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "place")
+
+
+@query("SELECT l_orderkey, l_returnflag, place FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, l_returnflag) AS place FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) UNION ALL SELECT l_orderkey, f, have + row_number() OVER (PARTITION BY l_orderkey ORDER BY f) FROM (SELECT l_orderkey, list(DISTINCT l_returnflag) AS x, count(DISTINCT l_returnflag) AS have FROM lineitem GROUP BY 1), (VALUES ('A'), ('N'), ('R')) v(f) WHERE NOT list_contains(x, f))")
+def padded_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of items by frequency, padded with those that lack to three for each order."""
+    n = load(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+    ranked = n.select("l_orderkey", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("n"), "l_returnflag")).cast("long").alias("place"))
+    defaults = spark.createDataFrame([("A", 1), ("N", 2), ("R", 3)], "l_returnflag string, place long")
+    return padded(ranked, defaults, 3, group="l_orderkey", key="l_returnflag")
+
+
 @query("SELECT l_orderkey, n, greatest(2.0, 40.0 / n) AS clip_dur, greatest(n, floor(40 / 2.8)::BIGINT) AS cuts, 40.0 / greatest(n, floor(40 / 2.8)::BIGINT) AS img_dur FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def duration_alloc(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n")

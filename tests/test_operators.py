@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import article
 from loomwork.functions import grounding as g
+from loomwork.functions import media as m
 from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.operators import catalogue as c
@@ -177,3 +178,54 @@ def test_news_article(spark):
     assert article.news_article("<body>" + "<div>" * 3000 + "deep")[1] == "deep"
     known = "<body><div><p>a</p><p>b</p></div><div class='x article_view'>Known place</div>"
     assert article.news_article(known)[1] == "Known place"
+
+
+@pytest.mark.parametrize("a,b,want", [("00", "ff", 8), ("f" * 16, "0" * 16, 64), ("8000000000000001", "1", 1), (None, "1", 64), ("zz", "1", 64), ("", "", 64), (" A ", "a", 0)])
+def test_hamming_hex(spark, a, b, want):
+    assert value(spark, m.hamming_hex(F.lit(a).cast("string"), F.lit(b).cast("string"))) == want
+
+
+def test_rising_bits(spark):
+    falling = [float(9 - i % 9) for i in range(72)]
+    assert value(spark, m.rising_bits(F.lit(falling))) == "f" * 16
+    assert value(spark, m.rising_bits(F.lit(falling[::-1]))) == "0" * 16
+    assert value(spark, m.rising_bits(F.lit([1.0, 2.0]))) is None
+
+
+def test_probe(spark):
+    report = "Duration: 00:01:15.50, start\n Stream #0:0: Video: h264, 1080x1920, 29.97 fps\n Stream #0:1: Audio: aac"
+    assert tuple(value(spark, m.probe(F.lit(report)))) == (75.5, True, True, 1080, 1920, 29.97)
+    assert tuple(value(spark, m.probe(F.lit("nothing")))) == (None, False, False, None, None, None)
+
+
+def test_crop_window(spark):
+    crop = lambda *v: tuple(value(spark, m.crop_window(*map(F.lit, v))))
+    assert crop(1600, 900, 1590, 10) == (1094, 0, 506, 900)
+    assert crop(900, 3200, 450, 1000) == (0, 520, 900, 1600)
+
+
+def test_small_formats(spark):
+    assert value(spark, m.subtitle_colour(F.lit("#a1b2c3"))) == "&H00C3B2A1" and value(spark, m.subtitle_colour(F.lit("red"))) == "&H0000FFFF"
+    assert value(spark, m.video_id(F.lit("https://x/watch?v=abcdefghi-1&t=2"))) == "abcdefghi-1" and value(spark, m.video_id(F.lit("none"))) is None
+    base = F.lit("https://h.org/a/b")
+    assert [value(spark, m.absolute_url(F.lit(u), base)) for u in ("//c.d/e", "/f", "http://g")] == ["https://c.d/e", "https://h.org/f", "http://g"]
+    assert value(spark, m.repair(F.lit("x"), F.lit("rephrase_script"), F.lit("factual"))) == "shorten_script"
+    assert value(spark, m.repair(F.lit("x"), F.lit(None).cast("string"), F.lit("factual"))) is None
+
+
+def test_subtitles(spark):
+    srt = "1\n00:00:01,500 --> 00:00:03,000\n<i>One</i>\n\n2\n00:00:03,000 --> 01:00:04,999\nTwo\nlines\n\n3\n00:00:05,000 --> 00:00:06,000\nA<br>B"
+    assert [tuple(c) for c in value(spark, m.cues(F.lit(srt)))] == [("One", False), ("Two\nlines", True), ("AB", True)]
+    assert value(spark, m.cues(F.lit(None).cast("string"))) == []
+    half = value(spark, m.rescaled(F.lit(srt), 2.0))
+    assert "00:00:00,750 --> 00:00:01,500" in half and "--> 00:30:02,500" in half and half.count("\n") == srt.count("\n")
+    assert value(spark, m.rescaled(F.lit(srt), 1.0005)) == srt
+
+
+def test_round_robin_and_padding(spark):
+    rows = spark.createDataFrame([("g", k, i) for k, n in (("stage", 2), ("cc", 3), ("stock", 1), ("broll", 1)) for i in range(n)], "g string, kind string, i long")
+    got = c.round_robin(rows, ["cc", "broll", "stage"], group="g", kind="kind", order=[F.col("i")]).orderBy("place").collect()
+    assert [(r["kind"], r["i"]) for r in got] == [("cc", 0), ("broll", 0), ("stage", 0), ("cc", 1), ("stage", 1), ("cc", 2), ("stock", 0)]
+    ranked = spark.createDataFrame([("a", "x", 1), ("b", "y", 1), ("b", "x", 2), ("b", "z", 3)], "g string, k string, place long")
+    defaults = spark.createDataFrame([("x", 1), ("y", 2), ("w", 3)], "k string, place long")
+    assert sorted(map(tuple, c.padded(ranked, defaults, 3, group="g", key="k").collect())) == [("a", "w", 3), ("a", "x", 1), ("a", "y", 2), ("b", "x", 2), ("b", "y", 1), ("b", "z", 3)]
