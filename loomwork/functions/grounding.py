@@ -71,8 +71,8 @@ def quoted_entities(x: Column) -> Column:
 
 def category_matches(x: Column) -> Column:
     """array<struct<category, n, score>> of the categories that a sentence has, in dictionary order."""
-    each = [F.struct(F.lit(c).alias("category"), F.size(matches(x, p)).alias("n"), (F.size(matches(x, p)) * d.CATEGORY_WEIGHTS[c]).alias("score")) for c, p in d.CATEGORY_PATTERNS.items()]
-    return F.filter(F.array(*each), lambda m: m["n"] > 0)
+    each = [F.struct(F.lit(c).alias("category"), F.size(matches(x, p)).alias("n"), F.lit(d.CATEGORY_WEIGHTS[c]).alias("w")) for c, p in d.CATEGORY_PATTERNS.items()]
+    return F.transform(F.filter(F.array(*each), lambda m: m["n"] > 0), lambda m: F.struct(m["category"].alias("category"), m["n"].alias("n"), (m["n"] * m["w"]).alias("score")))
 
 
 def best_category(x: Column) -> Column:

@@ -82,8 +82,11 @@ def scene_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
     b = sentence_split(spark, d)
-    found = F.array(*[F.struct((F.size(t.matches(F.col("sentence"), p)) * w).alias("score"), F.lit(-i).alias("o"), F.size(t.matches(F.col("sentence"), p)).cast("long").alias("n"), F.lit(c).alias("category"), F.lit(w).alias("w")) for i, (c, p, w) in enumerate(CATEGORIES)])
-    return b.withColumn("m", F.array_max(found)).filter("m.n > 0").select("doc_id", "scene_index", "m.category", "m.n", "m.w")
+    counts = F.array(*[F.struct(F.size(t.matches(F.col("sentence"), p)).cast("long").alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("category"), F.lit(w).alias("w")) for i, (c, p, w) in enumerate(CATEGORIES)])
+    scored = F.transform(counts, lambda x: F.struct((x["n"] * x["w"]).alias("score"), x["o"].alias("o"), x["n"].alias("n"), x["category"].alias("category"), x["w"].alias("w")))
+    # an explode in place of a filter: a pushed filter would match every pattern once more
+    best = F.explode(F.filter(F.array(F.array_max(scored)), lambda m: m["n"] > 0))
+    return b.select("doc_id", "scene_index", best.alias("m")).select("doc_id", "scene_index", "m.category", "m.n", "m.w")
 
 
 @query(f"""WITH b AS ({ORACLES['sentence_split']}), m AS ({_CASE}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scene_index ORDER BY n * w DESC, o) rn FROM m WHERE n > 0),
