@@ -42,3 +42,20 @@ ISSUE_LADDER = [("caption|자막", "caption_overflow"), ("숫자|number|통계",
 #: Places of an article's title and text on a page: (tag, attribute, value), the first that is there.
 TITLE_PLACES = [("h2", "id", "title_area"), ("h3", "id", "articleTitle"), ("h3", "class", "tit_view"), ("div", "class", "(?i)article_tit|view_title|headline|news_title"), ("h1", "", "")]
 BODY_PLACES = [("div", "id", "CLtag"), ("td", "class", "article"), ("article", "id", "dic_area"), ("div", "id", "articleBodyContents"), ("div", "id", "newsct_article"), ("div", "id", "articeBody"), ("div", "class", "article_view"), ("div", "id", "article-view-content-div"), ("div", "class", "article-body"), ("div", "class", "view_cont"), ("div", "class", "news_body"), ("div", "id", "news_body_area"), ("div", "class", "view_text"), ("div", "id", "content")]
+#: Names of artists in the order that breaks ties, and the other names by which texts call them.
+ARTISTS = [
+    "임영웅", "박서진", "이찬원", "영탁", "정동원", "김호중", "송가인", "장민호", "안성훈", "진해성", "김용빈", "손태진", "배아현", "오유진", "김태연", "전유진",
+    "마이진", "박지현", "최수호", "나상도", "김희재", "홍지윤", "양지은", "강혜연", "황영웅", "에녹", "신성", "민수현", "박성온", "정서주", "미스김",
+]
+ALIASES = {
+    "임영웅": ["영웅", "영웅시대", "히어로", "HERO", "임히어로", "영웅님", "영웅씨"], "박서진": ["서진", "닻별", "장구의 신", "서진이", "서진님", "박서진님"],
+    "이찬원": ["찬원", "찬또배기", "찬또", "찬스", "찬원님", "이찬원님"], "영탁": ["박영탁", "탁이", "영탁님", "영탁이", "탁쇼"],
+    "정동원": ["동원", "동원이", "우주총동원", "정동원군", "동원군"], "김호중": ["호중", "트바로티", "아리스", "호중님", "김호중님"],
+    "송가인": ["가인", "가인이", "어게인", "송가인이어라", "가인님"], "장민호": ["민호", "민호오빠", "민호님", "장민호님"],
+    "안성훈": ["성훈", "후니용이", "안성훈님"], "진해성": ["해성", "진해성님"], "김용빈": ["용빈", "김용빈님"], "손태진": ["태진", "손태진님"],
+    "배아현": ["아현", "배아현님"], "오유진": ["유진", "오유진양"], "김태연": ["태연", "김태연양"], "전유진": ["전유진양"], "마이진": ["화진", "마이진님"],
+    "박지현": ["지현", "박지현님"], "최수호": ["수호", "최수호님"], "나상도": ["상도", "나상도님"], "김희재": ["희재", "김희재님", "희랑별"],
+    "홍지윤": ["지윤", "홍지윤님"], "양지은": ["지은", "양지은님"], "강혜연": ["혜연", "강혜연님"], "황영웅": ["황영웅님"],
+}
+QUOTED = "['\"‘“「『<]([^'\"’”」』>]{2,25})['\"‘“「『>]"
+SECTION = r"\[사진\s*\d+\]|\[이미지\s*\d+\]|###\s*\d+|【\d+】"

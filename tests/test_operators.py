@@ -229,3 +229,22 @@ def test_round_robin_and_padding(spark):
     ranked = spark.createDataFrame([("a", "x", 1), ("b", "y", 1), ("b", "x", 2), ("b", "z", 3)], "g string, k string, place long")
     defaults = spark.createDataFrame([("x", 1), ("y", 2), ("w", 3)], "k string, place long")
     assert sorted(map(tuple, c.padded(ranked, defaults, 3, group="g", key="k").collect())) == [("a", "w", 3), ("a", "x", 1), ("a", "y", 2), ("b", "x", 2), ("b", "y", 1), ("b", "z", 3)]
+
+
+def test_fact_check(spark):
+    def one(title, content, script, blog=None, name=None):
+        return value(spark, g.fact_check(*[F.lit(x).cast("string") for x in (title, content, script, blog, name)]))
+
+    mixed = one("임영웅 2억 원 기부", "가수 임영웅이 2억 원을 쾌척했다.", "가수 영탁이 2억 원을 기부했다.", None, "임영웅")
+    assert mixed["entity"] == 0 and mixed["critical"] and not mixed["passed"]
+    rumour = one("이찬원 신곡", "가수 이찬원이 감사의 뜻을 전했다.", "전 국민 충격! 이찬원이 은퇴를 선언했다. 발칵 뒤집혔고 비보에 오열했다.", None, "이찬원")
+    assert rumour["terms"] == 0 and rumour["critical"] and not rumour["passed"]
+    fair = one("송가인 전국투어", "가수 송가인의 콘서트가 전석 매진을 기록했다.", "송가인이어라! 가인님의 콘서트가 전석 매진되었습니다!")
+    assert tuple(fair) == ("송가인", 8.0, 10.0, 8.0, 4.0, 28.0, False, True)
+    blog = one("송가인 전국투어", "가수 송가인의 콘서트", "송가인의 콘서트", "[사진 1] 파문 [사진 2] 가인 [사진 3]")
+    assert blog["blog"] == 0 and blog["critical"]
+    odd = one(None, None, "‘없는 제목’ 1300만 뷰와 100억 원, 미스트롯")
+    assert (odd["artist"], odd["entity"], odd["numbers"], odd["critical"]) == (None, 8.0, 4.0, True)
+    known = one("송가인", "노래", '송가인이 "모르는 노래“를 미스트롯에서', None, None)
+    assert known["entity"] == 8 - 1 - 1.5
+    assert value(spark, g.detected_artist(F.lit("x"), F.lit("영탁 송가인 영탁 송가인"), F.lit(" "))) == "영탁"
