@@ -3,12 +3,15 @@
 For each language a suffix automaton of a bounded labelled text answers how far a phrase can go on and
 still occur there.  A document is parsed greedily into longest matches against each language; the one
 that needs the fewest phrases, weighed by the logarithm of its training length, wins.  The automata are
-flattened into transition tables, and all segments of a batch take the same step together.
+flattened into transition tables, those of many letters into sorted keys, and all segments of a batch take the same step together.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,30 +26,41 @@ from .quality import id_remainder
 #: and languages (the most frequent).
 TRAIN_DOCS, DOC_CHARS, LANG_CHARS, MOST_LANGS = 96, 2000, 16_000, 200
 SEGMENT, BLOCK_SEGMENTS = 256, 4096
-_WIDE = 0x250
+#: An automaton of more cells (states by letters) is held as sorted keys in place of a table.
+DENSE_CELLS = 1 << 22
 
 
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _letter(c: int) -> str:
-    """The lower-case letter of a code point, empty if it is none."""
-    ch = chr(c)
-    return ch.lower()[:1] if ch.isalpha() else ""
+@cache
+def _letters() -> np.ndarray:
+    """The lower-case letter of each code point, 0 if it is none.  Marks count as letters, since the vowels
+    of many scripts are marks; selectors of variants (as of emoji) do not."""
+    out = np.zeros(sys.maxunicode + 1, np.uint32)
+    for c in range(0x40000):  # no letters above
+        ch = chr(c)
+        if ch.isalpha() or (unicodedata.category(ch) in ("Mn", "Mc") and not 0xFE00 <= c <= 0xFE0F):
+            out[c] = ord(ch.lower()[0])
+    return out
 
 
 class Alphabet:
     """Symbols: 0 for runs of anything but letters, 1 for letters that training texts lack, then theirs."""
 
     def __init__(self, texts: list[str]):
-        found = sorted({s for c in {c for t in texts for c in t} if ord(c) < _WIDE and (s := _letter(ord(c)))})
+        letters = _letters()
+        found = np.unique(letters[_code_points("".join(texts))])
+        found = found[found != 0]
         self.size = len(found) + 2
-        at = {s: i + 2 for i, s in enumerate(found)}
-        self.table = np.array([at.get(s, 1) if (s := _letter(c)) else 0 for c in range(_WIDE)] + [1], np.uint16)
+        symbol = np.ones(len(letters), np.int32)
+        symbol[found] = np.arange(2, self.size)
+        symbol[0] = 0
+        self.table = symbol[letters]
 
     def codes(self, text: str) -> np.ndarray:
-        raw = self.table[np.minimum(_code_points(text), _WIDE)]
+        raw = self.table[_code_points(text)]
         keep = raw != 0
         keep[1:] |= raw[:-1] != 0
         return raw[keep]
@@ -82,18 +96,36 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def flatten(codes: list[int], symbols: int) -> np.ndarray:
-    """table[state, symbol]: the next state, or ~(the state that the symbol starts anew) where a phrase
-    ends.  The last column stands for no symbol and changes nothing."""
-    nxt = suffix_automaton(codes)
-    fresh = np.zeros(symbols, np.int32)
-    for c, s in nxt[0].items():
-        fresh[c] = s
-    table = np.tile(~fresh, (len(nxt), 1))
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    return np.concatenate([table, np.arange(len(nxt), dtype=np.int32)[:, None]], axis=1).astype(np.int32)
+class Parser:
+    """The automaton of one text; its columns are the symbols that the text has, and 0 for all others."""
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        own = np.unique(codes)
+        self.width = len(own) + 1
+        self.column = np.zeros(symbols + 1, np.int32)  # the last for no symbol
+        self.column[own] = np.arange(1, self.width)
+        nxt = suffix_automaton(self.column[codes].tolist())
+        fresh = np.zeros(self.width, np.int32)
+        for c, s in nxt[0].items():
+            fresh[c] = s
+        self.ended = ~fresh
+        keys = np.array([s * self.width + c for s, row in enumerate(nxt) for c in row], np.int64)
+        ends = np.array([t for row in nxt for t in row.values()], np.int32)
+        self.table = None
+        if len(nxt) * self.width <= DENSE_CELLS:
+            self.table = np.tile(self.ended, len(nxt))
+            self.table[keys] = ends
+        else:
+            order = np.argsort(keys)
+            self.keys, self.ends = keys[order], ends[order]
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The next states, or ~(the state that the symbol starts anew) where a phrase ends."""
+        if self.table is not None:
+            return self.table[state * self.width + column]
+        key = state.astype(np.int64) * self.width + column
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ends[at], self.ended[column])
 
 
 class Model:
@@ -113,8 +145,8 @@ class Model:
     def build(self) -> None:
         if not self._ready:
             self.alphabet = Alphabet(list(self.texts.values()))
-            codes = [self.alphabet.codes(t).tolist() for t in self.texts.values()]
-            self.tables = [flatten(c, self.alphabet.size).reshape(-1) for c in codes]
+            codes = [self.alphabet.codes(t) for t in self.texts.values()]
+            self.parsers = [Parser(c, self.alphabet.size) for c in codes]
             self.weight = np.array([np.log2(max(len(c), 2)) for c in codes])
             self._ready = True
 
@@ -136,12 +168,13 @@ class Model:
             order = np.argsort((part != pad).sum(1))[::-1]
             steps = np.ascontiguousarray(part[order].T)
             live = (steps != pad).sum(1)
-            for k, table in enumerate(self.tables):
+            for k, parser in enumerate(self.parsers):
+                columns = parser.column[steps]
                 state, count = np.zeros(len(part), np.int32), np.ones(len(part), np.int32)
-                for row, n in zip(steps, live):
+                for row, n in zip(columns, live):
                     if n == 0:
                         break
-                    t = table[state[:n] * (pad + 1) + row[:n]]
+                    t = parser.step(state[:n], row[:n])
                     ended = t >> 31
                     count[:n] -= ended
                     state[:n] = t ^ ended
@@ -153,7 +186,7 @@ class Model:
         """(language, confidence) for each text; ("und", 0.0) without any letter."""
         self.build()
         codes = [self.alphabet.codes(t or "") for t in texts]
-        seen = [bool((c != 0).any()) and (bool((c > 1).any()) or any(ch.isalpha() for ch in t)) for c, t in zip(codes, texts)]
+        seen = [bool((c != 0).any()) and any(ch.isalpha() for ch in t) for c, t in zip(codes, texts)]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         cost = self.phrases(codes) * self.weight

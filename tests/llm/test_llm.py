@@ -318,6 +318,33 @@ def test_cross_parsing_equals_brute_force():
             assert abs(model.phrases([codes])[0, k] - n) <= 1
 
 
+def test_language_tells_scripts_apart():
+    rng = random.Random(5)
+    for lo, hi in ((0x430, 0x450), (0x5D0, 0x5EB), (0x905, 0x94D), (0x4E00, 0x5600), (0xAC00, 0xB800), (0x1EA0, 0x1EF9)):
+        letters = [chr(c) for c in range(lo, hi)]
+        words = {x: ["".join(rng.choices(letters, k=rng.choice([2, 3, 5]))) for _ in range(60)] for x in ("x", "y")}
+        text = lambda x, n=60: " ".join(rng.choices(words[x], k=n))
+        sample = [(x, text(x)) for x in words for _ in range(40)]
+        model = langid.fit(sample)
+        probes = [(x, text(x, 20)) for x in words for _ in range(50)]
+        got = model.predict([t for _, t in probes])
+        assert np.mean([x == g for (x, _), (g, _) in zip(probes, got)]) > 0.95, hex(lo)
+
+
+def test_large_alphabets_give_the_same_phrases(monkeypatch):
+    rng = random.Random(6)
+    texts = {x: "".join(chr(rng.choice([0x20, 0x41, 0x2019, rng.randrange(0x4E00, 0x5000)])) for _ in range(3000)) for x in "xy"}
+    dense, keyed = langid.Model(texts), langid.Model(texts)
+    dense.build()
+    monkeypatch.setattr(langid, "DENSE_CELLS", 0)
+    keyed.build()
+    assert dense.parsers[0].table is not None and keyed.parsers[0].table is None
+    codes = [dense.alphabet.codes(texts["x"][i : i + 700] + "яz") for i in range(0, 3000, 500)]
+    assert (dense.phrases(codes) == keyed.phrases(codes)).all()
+    assert dense.alphabet.codes("“a—b”").tolist() == [*dense.alphabet.codes("a b "[:3]).tolist(), 0]
+    assert [g[0] for g in dense.predict(["“—”", "\u0301\ufe0f"])] == ["und", "und"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
