@@ -70,39 +70,39 @@ def quoted_entities(x: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(x, F.lit(d.QUOTED), 1), strip), lambda q: F.length(q) >= 2)
 
 
-def detected_artist(title: Column, content: Column, name: Column) -> Column:
+def detected_artist(title: Column, content: Column, name: Column, artists: list[str] = d.ARTISTS) -> Column:
     """The name if given; else the first artist in the title; else the most frequent one, the first of equals; else null."""
     both = F.concat_ws("\n", title, content)
-    in_title = F.try_element_at(F.filter(_words(d.ARTISTS), lambda a: F.contains(title, a)), F.lit(1))
-    counted = F.transform(_words(d.ARTISTS), lambda a, i: F.struct(count_of(both, a).alias("n"), (-i).alias("o"), a.alias("a")))
+    in_title = F.try_element_at(F.filter(_words(artists), lambda a: F.contains(title, a)), F.lit(1))
+    counted = F.transform(_words(artists), lambda a, i: F.struct(count_of(both, a).alias("n"), (-i).alias("o"), a.alias("a")))
     most = F.array_max(F.filter(counted, lambda x: x["n"] > 0))["a"]
     return F.coalesce(F.nullif(strip(name), F.lit("")), in_title, most)
 
 
-def fact_check(title: Column, content: Column, script: Column, blog: Column, name: Column) -> Column:
+def fact_check(title: Column, content: Column, script: Column, blog: Column, name: Column, *, artists: list[str] = d.ARTISTS, aliases: dict[str, list[str]] = d.ALIASES, programs: list[str] = d.PROGRAMS, critical_terms: list[str] = d.CRITICAL_TERMS, clickbait: list[str] = d.CLICKBAIT) -> Column:
     """struct<artist, entity, numbers, terms, blog, total, critical, passed> of a script against its article.
 
     Nulls count as empty; without a blog its points are full.
     """
     title, content, script, blog, name = (F.coalesce(x, F.lit("")) for x in (title, content, script, blog, name))
-    article, target = F.concat_ws("\n", title, content), detected_artist(title, content, name)
+    article, target = F.concat_ws("\n", title, content), detected_artist(title, content, name, artists)
     lacks = lambda text, terms: F.size(ungrounded_terms(text, article, terms))
-    aliases = F.create_map(*[x for k, v in d.ALIASES.items() for x in (F.lit(k), _words(v))])
-    names = F.array_append(F.coalesce(F.try_element_at(aliases, target), F.array().cast("array<string>")), target)
+    called = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), _words(v))])
+    names = F.array_append(F.coalesce(F.try_element_at(called, target), F.array().cast("array<string>")), target)
     named = lambda text: F.when(target.isNotNull(), F.exists(names, lambda n: F.contains(text, n)))
-    others = F.size(F.filter(_words(d.ARTISTS), lambda a: (a != target) & F.contains(script, a) & ~F.contains(article, a))) > 0
+    others = F.size(F.filter(_words(artists), lambda a: (a != target) & F.contains(script, a) & ~F.contains(article, a))) > 0
     quotes = F.size(F.filter(quoted_entities(script), lambda q: ~F.contains(article, q)))
-    entity = s.entity_score(named(script), others, quotes, lacks(script, d.PROGRAMS))
+    entity = s.entity_score(named(script), others, quotes, lacks(script, programs))
     missing = ungrounded_quantities(script, article)
     major = F.size(F.filter(missing, major_claim))
     numbers = s.number_fidelity(major, F.size(missing) - major)
-    terms = s.term_score(lacks(script, d.CRITICAL_TERMS), lacks(script, d.CLICKBAIT))
+    terms = s.term_score(lacks(script, critical_terms), lacks(script, clickbait))
     none = strip(blog) == ""
     loose = ~((F.regexp_count(blog, F.lit(d.SECTION)) >= 3) | ((F.length(blog) >= 500) & F.contains(blog, F.lit("\n\n"))))
-    lost = F.when(~F.coalesce(named(blog), F.lit(True)), 1.5).otherwise(0.0) + lacks(blog, d.CRITICAL_TERMS) * 2.0 + F.when(loose, 1.0).otherwise(0.0) + s.blog_band(F.length(strip(blog)))
+    lost = F.when(~F.coalesce(named(blog), F.lit(True)), 1.5).otherwise(0.0) + lacks(blog, critical_terms) * 2.0 + F.when(loose, 1.0).otherwise(0.0) + s.blog_band(F.length(strip(blog)))
     blog_score = F.when(none, 4.0).otherwise(F.greatest(F.lit(0.0), 4.0 - lost))
     total = s.clamp_total([entity, numbers, terms, blog_score, -s.shorts_band(F.length(strip(script)))], 30.0)
-    grave = F.coalesce(others & ~named(script), F.lit(False)) | (major >= 2) | (lacks(script, d.CRITICAL_TERMS) > 0) | (~none & (lacks(blog, d.CRITICAL_TERMS) > 0))
+    grave = F.coalesce(others & ~named(script), F.lit(False)) | (major >= 2) | (lacks(script, critical_terms) > 0) | (~none & (lacks(blog, critical_terms) > 0))
     critical = grave | (total < 15)
     return F.struct(target.alias("artist"), entity.alias("entity"), numbers.alias("numbers"), terms.alias("terms"), blog_score.alias("blog"), total.alias("total"), critical.alias("critical"), ((total >= 21) & ~critical).alias("passed"))
 

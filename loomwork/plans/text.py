@@ -176,6 +176,7 @@ _BLOG = "(CASE WHEN n < 1800 THEN 4 WHEN n < 2160 THEN 2 WHEN n <= 2900 THEN 0 E
 
 @query(f"SELECT doc_id, total, critical > 0 OR total < 15 AS is_critical, total >= 21 AND NOT (critical > 0 OR total < 15) AS passed FROM (SELECT *, greatest(0, least(30, 8 + 10 + greatest(0, 8 - 4 * critical - 2 * clickbait) + 4 - {_SHORT}))::DOUBLE AS total FROM ({_GROUND}))")
 def factual_total(spark: SparkSession, d: str) -> DataFrame:
+    """Terms and length alone: full points for entities, numbers and blog, as its SQL has it; all parts: ``factual_whole``."""
     g = _grounding(spark, d)
     zero = F.lit(0)
     parts = [s.entity_score(F.lit(None).cast("boolean"), F.lit(False), zero, zero), s.number_fidelity(zero, zero), s.term_score(F.col("critical"), F.col("clickbait")), F.lit(4.0), -s.shorts_band(F.col("n"))]
@@ -184,6 +185,32 @@ def factual_total(spark: SparkSession, d: str) -> DataFrame:
     return total.select("doc_id", "total", crit.alias("is_critical"), ((F.col("total") >= 21) & ~crit).alias("passed"))
 
 
+#: Stand-ins of the other word lists, for ``factual_whole``: names by which an entity is also called, and programs.
+ALIASES, PROGRAMS = {"the": ["The", "THE"], "der": ["Der"], "les": ["Les"]}, ["License", "Copyright", "Menu", "Login"]
+_LIST = lambda terms: f"[{', '.join(map(repr, terms))}]"
+_NAMES = " ".join(f"WHEN '{e}' THEN {_LIST([*ALIASES.get(e, []), e])}" for e in ENTITIES)
+_WHOLE = f"""WITH a AS (SELECT doc_id, text, article, string_split(article, chr(10))[1] AS title FROM ({_PAIRED})), nums AS ({_QUANTITY.replace("{paired}", _PAIRED)}), ground AS ({_GROUND}),
+most AS (SELECT doc_id, arg_max(e, n * 100 - o) AS e FROM (SELECT doc_id, e, o, {_COUNT.format(x='article', e='#').replace("'#'", 'e')} AS n FROM a, (VALUES {', '.join(f"({i}, '{e}')" for i, e in enumerate(ENTITIES))}) v(o, e)) WHERE n > 0 GROUP BY 1),
+aim AS (SELECT a.*, coalesce(list_filter({_LIST(ENTITIES)}, lambda x: contains(title, x))[1], most.e) AS target FROM a LEFT JOIN most ON a.doc_id = most.doc_id),
+part AS (SELECT doc_id, text, target, len(list_filter(CASE target {_NAMES} END, lambda x: contains(text, x))) > 0 AS present, coalesce(len(list_filter({_LIST(ENTITIES)}, lambda x: x <> target AND contains(text, x) AND NOT contains(article, x))), 0) > 0 AS others,
+len(list_filter(list_transform(regexp_extract_all(text, '{words.QUOTED.replace("'", "''")}', 1), lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 2 AND NOT contains(article, x))) AS quotes, len(list_filter({_LIST(PROGRAMS)}, lambda x: contains(text, x) AND NOT contains(article, x))) AS programs FROM aim),
+e AS (SELECT doc_id, target AS artist, coalesce(others AND NOT present, FALSE) AS mismatched, length({_TRIM.format('text')}) AS n, CASE WHEN target IS NULL THEN 8 ELSE greatest(0, CASE WHEN others AND NOT present THEN 0 WHEN others THEN 5 WHEN NOT present THEN 4 ELSE 8 END - quotes - 1.5 * programs) END::DOUBLE AS entity FROM part),
+s AS (SELECT e.doc_id, artist, entity, nums.score AS numbers, greatest(0, 8 - 4 * ground.critical - 2 * clickbait)::DOUBLE AS terms, 4.0::DOUBLE AS blog, mismatched OR nums.critical OR ground.critical > 0 AS grave, {{short}} AS short FROM e JOIN nums ON e.doc_id = nums.doc_id JOIN ground ON e.doc_id = ground.doc_id),
+z AS (SELECT *, greatest(0, least(30, entity + numbers + terms + blog - short))::DOUBLE AS total FROM s)
+SELECT doc_id, artist, entity, numbers, terms, blog, total, grave OR total < 15 AS critical, total >= 21 AND NOT (grave OR total < 15) AS passed FROM z""".replace("{short}", _SHORT.replace("WHEN n", "WHEN e.n"))
+
+
+@query(_WHOLE)
+def factual_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole check of a text against its article, each part measured, with stand-in word lists.  The article's
+    first line is its title; the tables hold no blog, so its points are full."""
+    j = _paired(spark, d).withColumn("title", F.split("article", "\n")[0])
+    rest = F.substr("article", F.length("title") + 2)
+    none = F.lit(None).cast("string")
+    check = ground.fact_check(F.col("title"), rest, F.col("text"), none, none, artists=ENTITIES, aliases=ALIASES, programs=PROGRAMS, critical_terms=TERMS, clickbait=BAIT)
+    return j.select("doc_id", check.alias("c")).select("doc_id", "c.*")
+
+
 @query(f"SELECT doc_id, n, {_SHORT}::DOUBLE AS shorts, {_BLOG}::DOUBLE AS blog, CASE WHEN n = 0 THEN 'empty' WHEN n < 350 THEN 'serious_short' WHEN n < 400 THEN 'slight_short' WHEN n <= 500 THEN 'optimal' WHEN n <= 550 THEN 'slight_long' ELSE 'excessive' END AS class FROM (SELECT doc_id, length(trim(text, ' ' || chr(10))) AS n FROM documents)")
 def length_bands(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n")
