@@ -2,7 +2,7 @@
 
 Paragraphs pass points, for their length and commas, to their ancestors; a container's points are
 discounted by its link density.  The best container, grown to the article that holds it, and those of its
-siblings that score well are kept; menus, forms, adverts, reader comments and the like are cut out first.
+siblings that are not mostly links or, beside an article, score well are kept; menus, forms, adverts, reader comments and the like are cut out first.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "junk", "marked", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool):
-        self.tag, self.parent, self.junk = tag, parent, junk
+    def __init__(self, tag: str, parent: Node | None, junk: bool, marked: bool = False):
+        self.tag, self.parent, self.junk, self.marked = tag, parent, junk, marked
         self.kids: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
@@ -66,9 +66,9 @@ class Tree(HTMLParser):
         marks = f"{a.get('class', '')} {a.get('id', '')}"
         header = tag == "header" and not self.inside("article", "main")
         junk = tag in DROP or header or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower()
-        junk = junk or (tag not in KEEP and JUNK.search(marks) is not None)
-        junk = junk or (tag not in KEEP and PAGE_HEADER.search(marks) is not None and not self.inside("article", "main"))
-        node = Node(tag, self.at, junk)
+        marked = tag not in KEEP and JUNK.search(marks) is not None
+        marked = marked or (tag not in KEEP and PAGE_HEADER.search(marks) is not None and not self.inside("article", "main"))
+        node = Node(tag, self.at, junk or marked, marked and not junk)
         self.at.kids.append(node)
         if self.depth < 2000:  # deeper elements become siblings, so walks stay shallow
             self.at, self.depth = node, self.depth + 1
@@ -148,6 +148,36 @@ def points(text: str) -> float:
     return 1.0 + text.count(",") + min(len(text) // 100, 3)
 
 
+def free_wrappers(root: Node) -> None:
+    """Elements cut only for their class or id are kept after all if they wrap the page: where nothing outside
+    them is an article or main and they hold one, or else more than three quarters of the paragraphs' points."""
+    walk, order = [root], []
+    while walk:
+        n = walk.pop()
+        order.append(n)
+        walk += [k for k in n.kids if isinstance(k, Node) and (k.marked or not k.junk)]
+    if not any(n.marked for n in order):
+        return
+    inner: dict[Node, tuple[float, bool]] = {}
+    for n in reversed(order):  # each after what it holds
+        kids = [inner[k] for k in n.kids if isinstance(k, Node) and k in inner]
+        own = points(t) if n.tag == "p" and (t := next((x for _, x, _ in blocks(n)), "")) else 0.0
+        inner[n] = (own + sum(v for v, _ in kids), n.tag in ("article", "main") or any(h for _, h in kids))
+    whole, held = inner[root]
+    walk, cut = [root], []
+    while walk:
+        n = walk.pop()
+        for k in n.kids:
+            if isinstance(k, Node) and k in inner:
+                (cut if k.marked else walk).append(k)
+                held = held and not (k.tag in ("article", "main") and not k.marked)
+        if not walk:  # all outside of marks is seen
+            wrap = [k for k in cut if (inner[k][1] if held else 4 * inner[k][0] > 3 * whole)] if held or not inner[root][1] else []
+            for k in wrap:
+                k.junk = k.marked = False
+            walk, cut = wrap, [k for k in cut if k.marked]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by an empty line; empty if there is none."""
     if not html:
@@ -155,6 +185,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    free_wrappers(tree.root)
     scored: list[Node] = []
     for owner, text, linked in blocks(tree.root):
         n = owner
@@ -195,7 +226,7 @@ def main_text(html: str | None) -> str:
             elif isinstance(k, Node) and not k.junk and k.tag not in ("a", "hr"):
                 text = sum(len(t) for _, t, _ in blocks(k))
                 links = sum(min(x, len(t)) for _, t, x in blocks(k))
-                loose = k.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and best.tag not in ("article", "main") and text and links <= text / 4
+                loose = best.tag not in ("article", "main") and text and links <= text / 4
                 if loose or (worth(k) >= max(0.2 * top, 1.0) and links <= text / 4 and k.tag == best.tag):
                     keep.append(k)
     return "\n\n".join(t for k in keep for _, t, _ in blocks(k))

@@ -224,6 +224,18 @@ def test_html():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_html_keeps_wrappers_and_siblings():
+    body = [f"Sentence {i}, with a comma, and some more words to count." for i in range(6)]
+    ps = "".join(f"<p>{x}</p>" for x in body)
+    reader = "<div id=comments><article class=comment><p>Nice, nice, nice!</p></article></div>"
+    for wrap in ("site has-sidebar", "no-sidebar", "post comments-open", "page has-footer", "widget"):
+        for inner in (ps, f"<article>{ps}</article>", f"<main>{ps}</main>", f"<div class='page has-sidebar'>{ps}</div>"):
+            page = f"<body><div class='{wrap}'>{inner}{reader if inner[1] in 'am' else ''}</div><div class=share><p>Share it</p></div></body>"
+            assert html.main_text(page) == "\n\n".join(body), (wrap, inner[:9])
+    mixed = f"<body><div><div>{ps}</div><h4>More</h4><ul><li>first thing</li><li>second</li></ul><table><tr><td>cell</td></tr></table><dl><dt>word</dt><dd>sense</dd></dl><ul><li><a href=x>link</a></li></ul><div>Short end</div><div class=menu><p>Menu</p></div></div></body>"
+    assert html.main_text(mixed) == "\n\n".join([*body, "More", "first thing", "second", "cell", "word", "sense", "Short end"])
+
+
 def test_html_query(spark):
     got = html.op5_html_extraction(spark, DATA).toPandas()
     assert (got.n_chars == got.text.str.len()).all() and (got.n_chars > 0).all()
