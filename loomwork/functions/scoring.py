@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionaries import ISSUE_LADDER
 
 def shorts_band(n: Column) -> Column:
     """Penalty for the length of a short script."""
@@ -28,8 +29,9 @@ def streak_penalty(run: Column) -> Column:
     return F.when(run >= 3, 5.0).when(run == 2, 3.0).when(run == 1, 1.0).otherwise(0.0)
 
 
-def overlap_penalty(dup: Column, n: Column) -> Column:
-    return F.when(dup <= 1, 0.0).when(dup * 2 >= n, 10.0).when(dup * 5 >= n, 4.0).otherwise(0.0)
+def overlap_penalty(dup: Column, percent: Column) -> Column:
+    """One photo used before is no fault; ``percent`` is rounded to one place."""
+    return F.when(dup <= 1, 0.0).when(percent >= 50, 10.0).when(percent >= 20, 4.0).otherwise(0.0)
 
 
 def number_fidelity(major: Column, minor: Column) -> Column:
@@ -76,11 +78,58 @@ def issue_type(message: Column, ladder: list[tuple[str, str]], default: str) ->
     return out.otherwise(default)
 
 
-def candidate_score(n: Column, weight: Column, at: Column, ideal: Column, total: Column) -> Column:
-    """(n * 1.2 + w) * t, where t falls with the distance from the ideal time and rises in the window 28 to 42 s."""
+def known_issue(message: Column, component: Column) -> Column:
+    """The type of an issue by the first rung of the ladder that its message has; else the component's own."""
+    out = F.when(F.lower(message).rlike(ISSUE_LADDER[0][0]), ISSUE_LADDER[0][1])
+    for pattern, name in ISSUE_LADDER[1:]:
+        out = out.when(F.lower(message).rlike(pattern), name)
+    return out.otherwise(F.concat(component, F.lit("_issue")))
+
+
+def repair_action(kind: Column) -> Column:
+    """The repair of a type of issue; null for those that cannot be repaired."""
+    return F.when(kind.isin("caption_overflow", "caption_position"), "caption_resize").when(kind.isin("photo_repetition", "scene_mismatch"), "replace_photo").when(kind == "broll_repetition", "replace_broll").when(kind.isin("hook_repetition", "sensationalism", "number_discrepancy"), "rephrase_script")
+
+
+def advice(status: Column, not_run: Column, technical: Column, factual: Column, repetition: Column, extra: Column) -> Column:
+    """array of advice: rules in their order, then what the reviewer adds, trimmed, each once."""
+    rules = F.array(
+        F.when(not_run, "review_not_run"),
+        F.when(status == "PASS", "upload").when(status == "WARNING", "look_first").otherwise("mend"),
+        F.when(technical < 15, "check_technical"),
+        F.when(factual < 22, "check_facts"),
+        F.when(repetition < 18, "check_freshness"),
+    )
+    return F.array_distinct(F.concat(F.array_compact(rules), F.filter(F.transform(extra, lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def upload_gate(tech_passed: Column, tech: Column, tech_error: Column, fact_passed: Column, fact: Column, rep_passed: Column, rep: Column) -> Column:
+    """struct<technical, factual, repetition>: 14, 21 and 18 points at least (18 is stricter than the check's 17.5)."""
+    return F.struct((tech_passed & (tech >= 14) & ~tech_error).alias("technical"), (fact_passed & (fact >= 21)).alias("factual"), (rep_passed & (rep >= 18)).alias("repetition"))
+
+
+def technical_total(kb: Column, decodes: Column, width: Column, height: Column, fps: Column, duration: Column, audio: Column, gap: Column, srt: Column, assets: Column) -> Column:
+    """struct<score, critical, passed>: 20 points; a tiny or broken file or a gap of sound above 5 s caps them at 12."""
+    critical = (kb < 10) | ~decodes | (gap > 5)
+    raw = F.when(kb >= 10, 3.0).otherwise(0.0) + F.when(decodes, 3.0).otherwise(0.0) + technical(width, height, fps, duration, gap) + F.when(audio, 2.0).otherwise(0.0) + srt + assets
+    score = F.when(critical, F.least(F.lit(12.0), raw)).otherwise(raw)
+    return F.struct(score.alias("score"), critical.alias("critical"), (~critical & (score >= 14)).alias("passed"))
+
+
+def timing(at: Column, ideal: Column, total: Column) -> Column:
+    """Falls with the distance from the ideal time, rises in the window 28 to 42 s, and is small before 10 s."""
     near = F.greatest(F.lit(0.2), 1 - F.abs(at - ideal) / F.greatest(F.lit(15.0), total))
-    t = F.when(at.between(28, 42), near + 0.35).when(at < 10, near * 0.4).otherwise(near)
-    return (n * 1.2 + weight) * t
+    return F.when(at.between(28, 42), near + 0.35).when(at < 10, near * 0.4).otherwise(near)
+
+
+def candidate_score(n: Column, weight: Column, at: Column, ideal: Column, total: Column) -> Column:
+    """(n * 1.2 + w) * t for a sentence's best category."""
+    return (n * 1.2 + weight) * timing(at, ideal, total)
+
+
+def secondary_score(n: Column, weight: Column, at: Column, ideal: Column, total: Column) -> Column:
+    """(n * 0.8 + w) * t * 0.85 for its other categories."""
+    return (n * 0.8 + weight) * timing(at, ideal, total) * 0.85
 
 
 def ideal_time(total: Column, cut: float = 2.8) -> Column:

@@ -28,8 +28,8 @@ def lines(x: Column) -> Column:
 
 
 def hook(x: Column) -> Column:
-    """The first sentence of the first line that is not blank."""
-    return F.regexp_extract(F.coalesce(F.try_element_at(lines(x), F.lit(1)), F.lit("")), r"^(.*?[.?!])(?:\s|$)", 1)
+    """The first sentence of the first line that is not blank; the whole line if no mark and white space end one in it."""
+    return F.split(F.coalesce(F.try_element_at(lines(x), F.lit(1)), F.lit("")), r"(?<=[.?!])\s+")[0]
 
 
 def sentences(x: Column) -> Column:
@@ -97,11 +97,14 @@ def pack_captions(words: Column, max_chars: int = 13, max_words: int = 4) -> Col
 
 
 def lenient_json(x: Column) -> Column:
-    """The object of a reply: fences removed, the whole if it is JSON, else the outermost braces; else null."""
-    bare = strip(F.regexp_replace(x, r"(?m)^```(?:json)?\s*$", ""))
-    ok = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.startswith("{"), c)
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return F.coalesce(ok(bare), ok(inner))
+    """The object of a reply, without its fence: the whole if it is one, the first of a list of objects; only if the
+    whole is no JSON the outermost braces; else null."""
+    bare = strip(x)
+    bare = F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(bare, r"^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(bare)
+    inner, first = F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.get_json_object(bare, "$[0]")
+    parses = F.try_parse_json(bare).isNotNull()
+    whole = F.when(bare.startswith("{"), bare).when(bare.startswith("[") & first.startswith("{"), first)
+    return F.when(parses, whole).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
 def greedy_gap(times: Column, gap: float, most: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import scoring as s
 from loomwork.operators import catalogue as c
 from loomwork.sources.tables import load
 
@@ -153,7 +154,7 @@ def clip_reuse_streak(spark: SparkSession, d: str) -> DataFrame:
 OVERLAP_SQL = f"""WITH o AS ({_RECENT}), cur AS (SELECT o_custkey, o_orderkey FROM o WHERE rn = 1), past AS (SELECT DISTINCT o_custkey, l_partkey FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE rn BETWEEN 2 AND 6),
 c AS (SELECT cur.o_custkey, l_partkey FROM cur JOIN lineitem ON l_orderkey = o_orderkey),
 g AS (SELECT c.o_custkey, count(*) AS n, count(past.l_partkey) AS dup FROM c LEFT JOIN past ON c.o_custkey = past.o_custkey AND c.l_partkey = past.l_partkey GROUP BY 1)
-SELECT o_custkey, n, dup, CASE WHEN dup <= 1 THEN 0 WHEN dup * 2 >= n THEN 10 WHEN dup * 5 >= n THEN 4 ELSE 0 END AS deduction FROM g"""
+SELECT o_custkey, n, dup, CASE WHEN dup <= 1 THEN 0 WHEN round_even(100.0::DOUBLE * dup / n, 1) >= 50 THEN 10 WHEN round_even(100.0::DOUBLE * dup / n, 1) >= 20 THEN 4 ELSE 0 END AS deduction FROM g"""
 
 
 @query(OVERLAP_SQL)
@@ -164,7 +165,7 @@ def photo_overlap_band(spark: SparkSession, d: str) -> DataFrame:
     items = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(ranked, F.col("l_orderkey") == F.col("o_orderkey"))
     past = items.filter("rn >= 2").select("o_custkey", "l_partkey", F.lit(1).alias("hit")).distinct()
     g = items.filter("rn = 1").join(past, ["o_custkey", "l_partkey"], "left").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count("hit").alias("dup"))
-    return g.withColumn("deduction", F.when(F.col("dup") <= 1, 0).when(F.col("dup") * 2 >= F.col("n"), 10).when(F.col("dup") * 5 >= F.col("n"), 4).otherwise(0))
+    return g.withColumn("deduction", s.overlap_penalty(F.col("dup"), F.bround(F.lit(100.0) * F.col("dup") / F.col("n"), 1)).cast("int"))
 
 
 @query("SELECT l_partkey, count(*) AS use_count, max(o_orderdate) AS last_used_at, count(DISTINCT o_custkey) AS n_projects FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
@@ -178,12 +179,12 @@ NEAR_SQL = f"""WITH b AS (SELECT vec_id, {_BITS} AS bits FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN x.bits[i] <> y.bits[i] THEN 1 ELSE 0 END))::BIGINT AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE distance <= """
 
 
-def _bit_words(spark: SparkSession, d: str) -> DataFrame:
-    """63 comparison bits of neighbours in two words, and 13 disjoint blocks."""
+def _bit_words(spark: SparkSession, d: str, blocks: int = 13, flipped: int = 0) -> DataFrame:
+    """63 comparison bits of neighbours in two words, and disjoint blocks; the first ``flipped`` bits turned over."""
     e = load(spark, d, "embeddings")
-    bits = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: (F.element_at("embedding", i) > F.element_at("embedding", i + 1)).cast("long"))
+    bits = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: ((F.element_at("embedding", i) > F.element_at("embedding", i + 1)) != (i <= flipped)).cast("long"))
     word = lambda lo, hi: F.aggregate(F.slice(F.col("bits"), lo, hi - lo + 1), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
-    return e.select("vec_id", bits.alias("bits")).select("vec_id", word(1, 32).alias("w1"), word(33, 63).alias("w2"), *[word(63 * i // 13 + 1, 63 * (i + 1) // 13).alias(f"k{i}") for i in range(13)])
+    return e.select("vec_id", bits.alias("bits")).select("vec_id", word(1, 32).alias("w1"), word(33, 63).alias("w2"), *[word(63 * i // blocks + 1, 63 * (i + 1) // blocks).alias(f"k{i}") for i in range(blocks)])
 
 
 @query(NEAR_SQL + "18")

@@ -41,22 +41,27 @@ def tokens_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turn_pairs(spark: SparkSession, d: str, f) -> DataFrame:
-    """Each turn with the five before it."""
+    """Each turn with the five before it: an equi-join on the turn, so a long conversation gives no square of pairs."""
     c = load(spark, d, "conversations").select("conv_id", "turn", f(F.coalesce("text", F.lit(""))).alias("v"))
-    b = c.select("conv_id", F.col("turn").alias("past"), F.col("v").alias("y"))
-    return c.withColumnRenamed("v", "x").join(b, "conv_id").filter("past between turn - 5 and turn - 1")
+    back = F.explode(F.sequence(F.col("turn") - 5, F.col("turn") - 1))
+    return c.select("conv_id", "turn", F.col("v").alias("x"), back.alias("past")).join(c.select("conv_id", F.col("turn").alias("past"), F.col("v").alias("y")), ["conv_id", "past"])
 
 
-_HOOK = "regexp_extract(trim(list_filter(string_split({}, chr(10)), lambda l: trim(l) <> '')[1]), '^(.*?[.?!])(?:\\s|$)', 1)"
+_LINE = "trim(list_filter(string_split({}, chr(10)), lambda l: trim(l) <> '')[1])"
+_HOOK = f"CASE WHEN regexp_matches({_LINE}, '[.?!]\\s') THEN regexp_extract({_LINE}, '^(.*?[.?!])\\s', 1) ELSE {_LINE} END"
 
 
-@query(f"""WITH h AS (SELECT conv_id, turn, past, {_TOK.format(_HOOK.format('x'))} AS u, {_TOK.format(_HOOK.format('y'))} AS v FROM ({_PAIRS})),
-j AS (SELECT conv_id, turn, past, CASE WHEN len(u) > 0 AND len(v) > 0 THEN len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) ELSE 0 END AS sim FROM h)
-SELECT conv_id, turn, floor(max(sim) * 1000)::BIGINT AS best, CASE WHEN max(sim) >= 0.85 THEN 5.0::DOUBLE WHEN max(sim) > 0.7 THEN 4.0 WHEN max(sim) >= 0.5 THEN 1.5 ELSE 0.0 END AS deduction FROM j GROUP BY 1, 2""")
+@query(f"""WITH h AS (SELECT conv_id, turn, past, {_TOK.format(_HOOK.replace('{}', 'x'))} AS u, {_TOK.format(_HOOK.replace('{}', 'y'))} AS v FROM ({_PAIRS})),
+j AS (SELECT conv_id, turn, past, CASE WHEN len(u) > 0 AND len(v) > 0 THEN len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) ELSE 0 END AS sim FROM h),
+m AS (SELECT conv_id, turn, round_even(max(sim), 3) AS best, arg_max(past, (sim, past)) FILTER (sim > 0) AS most_similar FROM j GROUP BY 1, 2)
+SELECT conv_id, turn, best, most_similar, CASE WHEN best >= 0.85 THEN 5.0::DOUBLE WHEN best > 0.7 THEN 4.0 WHEN best >= 0.5 THEN 1.5 ELSE 0.0 END AS deduction FROM m""")
 def hook_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar of the five hooks before, the newest of equals, none without a common word; rounded before the bands."""
     p = _turn_pairs(spark, d, lambda x: t.tokens(t.hook(x)))
-    g = p.groupBy("conv_id", "turn").agg(F.max(t.word_jaccard(F.col("x"), F.col("y"))).alias("sim"))
-    return g.select("conv_id", "turn", F.floor(F.col("sim") * 1000).alias("best"), s.hook_penalty(F.col("sim")).alias("deduction"))
+    sim = t.word_jaccard(F.col("x"), F.col("y"))
+    g = p.groupBy("conv_id", "turn").agg(F.max(F.struct(sim.alias("sim"), "past")).alias("m"))
+    best = F.bround(F.col("m.sim"), 3)
+    return g.select("conv_id", "turn", best.alias("best"), F.when(F.col("m.sim") > 0, F.col("m.past")).alias("most_similar"), s.hook_penalty(best).alias("deduction"))
 
 
 _SENT = "list_filter(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), lambda l: list_transform(regexp_extract_all(l, '[^.?!~]+(?:[.?!~]+|$)'), lambda x: trim(x)))), lambda x: x <> '')"
@@ -80,21 +85,35 @@ def scene_plan(spark: SparkSession, d: str) -> DataFrame:
     return _scenes(spark, d).filter("scene_index > 1").select("doc_id", "scene_index", "category", "n", ((F.col("scene_index") - 1) * 28).alias("start_tenths"), (F.col("scene_index") * 28).alias("end_tenths"))
 
 
-def _scenes(spark: SparkSession, d: str) -> DataFrame:
-    b = sentence_split(spark, d)
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence with all categories: struct<score, o, n, category, w>; of equal scores the first category is the greatest."""
     counts = F.array(*[F.struct(F.size(t.matches(F.col("sentence"), p)).cast("long").alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("category"), F.lit(w).alias("w")) for i, (c, p, w) in enumerate(CATEGORIES)])
     scored = F.transform(counts, lambda x: F.struct((x["n"] * x["w"]).alias("score"), x["o"].alias("o"), x["n"].alias("n"), x["category"].alias("category"), x["w"].alias("w")))
+    return sentence_split(spark, d).select("doc_id", "scene_index", scored.alias("scored"))
+
+
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
     # an explode in place of a filter: a pushed filter would match every pattern once more
-    best = F.explode(F.filter(F.array(F.array_max(scored)), lambda m: m["n"] > 0))
-    return b.select("doc_id", "scene_index", best.alias("m")).select("doc_id", "scene_index", "m.category", "m.n", "m.w")
+    best = F.explode(F.filter(F.array(F.array_max("scored")), lambda m: m["n"] > 0))
+    return _scored(spark, d).select("doc_id", "scene_index", best.alias("m")).select("doc_id", "scene_index", "m.category", "m.n", "m.w")
 
 
 @query(f"""WITH b AS ({ORACLES['sentence_split']}), m AS ({_CASE}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scene_index ORDER BY n * w DESC, o) rn FROM m WHERE n > 0),
-k AS (SELECT doc_id, scene_index, category, n, row_number() OVER (PARTITION BY doc_id, category ORDER BY n DESC, scene_index) AS p FROM r WHERE rn = 1)
-SELECT doc_id, category, scene_index, n FROM k WHERE p = 1""")
+x AS (SELECT doc_id, 2.8 * max(scene_index) AS total, CASE WHEN 2.8 * max(scene_index) >= 45 THEN 34.0 ELSE greatest(5.6, 2.8 * max(scene_index) * 0.55) END AS ideal FROM b GROUP BY 1),
+y AS (SELECT r.*, rn = 1 AS best, round_even((scene_index - 1) * 2.8::DOUBLE, 2) AS t, total::DOUBLE AS total, ideal::DOUBLE AS ideal FROM r JOIN x ON r.doc_id = x.doc_id WHERE scene_index > 1),
+f AS (SELECT *, greatest(0.2::DOUBLE, 1 - abs(t - ideal) / greatest(15.0::DOUBLE, total)) AS near FROM y),
+k AS (SELECT *, floor((n * CASE WHEN best THEN 1.2::DOUBLE ELSE 0.8 END + w) * CASE WHEN t BETWEEN 28 AND 42 THEN near + 0.35 WHEN t < 10 THEN near * 0.4 ELSE near END * CASE WHEN best THEN 1 ELSE 0.85::DOUBLE END * 1000 + 0.5) / 1000 AS score FROM f)
+SELECT doc_id, category, scene_index, n, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY score DESC, scene_index) AS p FROM k) WHERE p = 1""")
 def primary_candidate(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id", "category").orderBy(F.desc("n"), "scene_index")
-    return _scenes(spark, d).withColumn("p", F.row_number().over(w)).filter("p = 1").select("doc_id", "category", "scene_index", "n")
+    """Of each category the scene of the greatest score: a sentence's best category and, for less, its others."""
+    every = _scored(spark, d).select("doc_id", "scene_index", F.array_max("scored").alias("top"), F.explode(F.filter("scored", lambda m: m["n"] > 0)).alias("m"))
+    last = sentence_split(spark, d).groupBy("doc_id").agg(F.max("scene_index").alias("scenes"))
+    at, total = F.bround((F.col("scene_index") - 1) * F.lit(2.8), 2), F.col("scenes") * F.lit(2.8)
+    of = lambda f: f(F.col("m.n"), F.col("m.w"), at, s.ideal_time(total), total)
+    score = F.floor(F.when(F.col("m.o") == F.col("top.o"), of(s.candidate_score)).otherwise(of(s.secondary_score)) * 1000 + 0.5) / 1000
+    k = every.filter("scene_index > 1").join(last, "doc_id").select("doc_id", "scene_index", "m.category", "m.n", score.alias("score"))
+    best = k.groupBy("doc_id", "category").agg(F.max(F.struct("score", (-F.col("scene_index")).alias("o"), "n")).alias("b"))
+    return best.select("doc_id", "category", (-F.col("b.o")).alias("scene_index"), "b.n", "b.score")
 
 
 ENTITIES = ["the", "that", "les", "der", "que", "para", "und"]
@@ -118,11 +137,11 @@ def number_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_QUANTITY = f"""WITH p AS ({{paired}}), k(kind, pattern) AS (VALUES ('date', '{words.DATE}'), ('rank', '{words.RANK}'), ('amount', '{words.AMOUNT}')),
-f AS (SELECT DISTINCT doc_id, article, kind, pattern, {_TRIM.format('m')} AS token FROM (SELECT doc_id, article, kind, pattern, unnest(CASE kind WHEN 'date' THEN regexp_extract_all(text, '{words.DATE}') WHEN 'rank' THEN regexp_extract_all(text, '{words.RANK}') ELSE regexp_extract_all(text, '{words.AMOUNT}') END) AS m FROM p, k)),
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m FROM p WHERE regexp_matches(text, '[0-9]')" for k, p in (("date", words.DATE), ("rank", words.RANK), ("amount", words.AMOUNT)))
+_QUANTITY = f"""WITH p AS MATERIALIZED ({{paired}}), g AS MATERIALIZED (SELECT DISTINCT doc_id, kind, {_TRIM.format('m')} AS token FROM ({_FOUND})), f AS (SELECT g.doc_id, article, kind, token FROM g JOIN p ON g.doc_id = p.doc_id),
 q AS (SELECT doc_id, article, kind, token, CASE kind WHEN 'date' THEN token WHEN 'rank' THEN regexp_extract(token, '{words.RANK}', 1) ELSE replace(regexp_extract(token, '{words.AMOUNT}', 1), ',', '') || regexp_extract(token, '{words.AMOUNT}', 2) END AS num FROM f
 WHERE kind <> 'amount' OR ((regexp_extract(token, '{words.AMOUNT}', 2) <> '' OR regexp_extract(token, '{words.AMOUNT}', 3) <> '') AND token NOT IN ({', '.join(map(repr, words.BENIGN_NUMBERS))}))),
-r AS (SELECT *, replace(replace(article, ',', ''), ' ', '') AS plain, regexp_replace(num, '[^0-9]', '', 'g') AS digits, regexp_extract(token, '[0-9]+') AS n FROM q),
+r AS MATERIALIZED (SELECT *, replace(replace(article, ',', ''), ' ', '') AS plain, regexp_replace(num, '[^0-9]', '', 'g') AS digits, regexp_extract(token, '[0-9]+') AS n FROM q),
 b AS (SELECT *, contains(article, token) OR contains(plain, replace(replace(token, ',', ''), ' ', '')) OR (num <> '' AND contains(plain, replace(num, ' ', ''))) OR (length(digits) >= 3 AND contains(plain, digits))
  OR (kind = 'rank' AND CASE WHEN n = '1' THEN regexp_matches(article, '{'|'.join(words.FIRST_RANK)}') ELSE contains(plain, n || '위') OR contains(plain, n || '등') END) AS ok,
  regexp_matches(token, '{'|'.join(words.MAJOR_SCALES)}') OR (contains(token, '만') AND regexp_matches(token, '{'|'.join(words.MAJOR_UNITS)}')) OR kind = 'rank' AS major FROM r),
@@ -340,10 +359,11 @@ def candidate_rank_json(spark: SparkSession, d: str) -> DataFrame:
     return m.select("user_id", (-F.col("m.e")).alias("event_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (props->>'k')::INT END AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 IN (3, 5) THEN NULL ELSE (props->>'k')::INT END AS k FROM events")
 def lenient_json(spark: SparkSession, d: str) -> DataFrame:
-    """Objects out of replies: plain, fenced, amid prose, or broken (null)."""
-    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("Here: "), "props", F.lit(" ok"))).otherwise(F.lit("{broken"))
+    """Objects out of replies: plain, fenced, amid prose, broken (null), the first of a list, a list that begins with none (null)."""
+    k, p = F.col("event_id") % 6, F.col("props")
+    raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), p, F.lit(" ok"))).when(k == 3, F.lit("{broken")).when(k == 4, F.concat(F.lit("["), p, F.lit(', {"k": 1}]'))).otherwise(F.concat(F.lit("[1, "), p, F.lit("]")))
     return load(spark, d, "events").select("event_id", F.get_json_object(t.lenient_json(raw), "$.k").try_cast("int").alias("k"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import catalogue, text
+from loomwork.plans import catalogue, ledger, text
 
-_MODULES = (catalogue, text)
+_MODULES = (catalogue, ledger, text)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
