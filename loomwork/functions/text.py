@@ -45,6 +45,20 @@ def long_sentences(x: Column, most: int = 80) -> Column:
     return F.when((F.size(s) <= 1) & (F.length(x) > most), ends).otherwise(s)
 
 
+def trimmed(x: Column, most: int) -> Column:
+    """A text of more than ``most`` characters cut to its leading sentences, joined by spaces, up to the first that does
+    not fit with a separator; if none fits, to the first characters of the first."""
+    each = F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def step(a: Column, s: Column) -> Column:
+        fits = a["open"] & (F.length(a["text"]) + F.length(s) + 1 <= most)
+        return F.struct(F.when(fits, F.concat(a["text"], F.when(a["text"] != "", " ").otherwise(""), s)).otherwise(a["text"]).alias("text"), fits.alias("open"))
+
+    kept = F.nullif(F.aggregate(each, start, step, lambda a: a["text"]), F.lit(""))
+    return F.when(F.length(x) <= most, x).otherwise(F.coalesce(kept, F.left(F.try_element_at(each, F.lit(1)), F.lit(most)), x))
+
+
 def count_of(x: Column, term: Column) -> Column:
     """Occurrences that do not overlap; an empty term occurs never."""
     return F.when(F.length(term) > 0, (F.length(x) - F.length(F.replace(x, term, F.lit("")))) / F.length(term)).otherwise(0).cast("long")

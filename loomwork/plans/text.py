@@ -99,10 +99,10 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({ORACLES['sentence_split']}), m AS ({_CASE}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scene_index ORDER BY n * w DESC, o) rn FROM m WHERE n > 0),
-x AS (SELECT doc_id, 2.8 * max(scene_index) AS total, CASE WHEN 2.8 * max(scene_index) >= 45 THEN 34.0 ELSE greatest(5.6, 2.8 * max(scene_index) * 0.55) END AS ideal FROM b GROUP BY 1),
+x AS (SELECT doc_id, 2.8::DOUBLE * max(scene_index) AS total, CASE WHEN 2.8::DOUBLE * max(scene_index) >= 45 THEN 34.0 ELSE greatest(5.6, 2.8::DOUBLE * max(scene_index) * 0.55::DOUBLE) END AS ideal FROM b GROUP BY 1),
 y AS (SELECT r.*, rn = 1 AS best, round_even((scene_index - 1) * 2.8::DOUBLE, 2) AS t, total::DOUBLE AS total, ideal::DOUBLE AS ideal FROM r JOIN x ON r.doc_id = x.doc_id WHERE scene_index > 1),
 f AS (SELECT *, greatest(0.2::DOUBLE, 1 - abs(t - ideal) / greatest(15.0::DOUBLE, total)) AS near FROM y),
-k AS (SELECT *, floor((n * CASE WHEN best THEN 1.2::DOUBLE ELSE 0.8 END + w) * CASE WHEN t BETWEEN 28 AND 42 THEN near + 0.35 WHEN t < 10 THEN near * 0.4 ELSE near END * CASE WHEN best THEN 1 ELSE 0.85::DOUBLE END * 1000 + 0.5) / 1000 AS score FROM f)
+k AS (SELECT *, floor((n * CASE WHEN best THEN 1.2::DOUBLE ELSE 0.8 END + w) * CASE WHEN t BETWEEN 28 AND 42 THEN near + 0.35::DOUBLE WHEN t < 10 THEN near * 0.4::DOUBLE ELSE near END * CASE WHEN best THEN 1 ELSE 0.85::DOUBLE END * 1000 + 0.5) / 1000 AS score FROM f)
 SELECT doc_id, category, scene_index, n, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY score DESC, scene_index) AS p FROM k) WHERE p = 1""")
 def primary_candidate(spark: SparkSession, d: str) -> DataFrame:
     """Of each category the scene of the greatest score: a sentence's best category and, for less, its others."""
@@ -130,10 +130,17 @@ def entity_detect_weighted(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_max(each).alias("m")).filter("m.score > 0").select("doc_id", "m.entity", "m.score")
 
 
-@query(r"SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9][0-9,]*'))::VARCHAR[] IS NOT NULL AS ok, len(list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,]*'), lambda x: replace(x, ',', ''))))::BIGINT AS n_numbers FROM documents WHERE text IS NOT NULL")
+_KOREAN = [
+    ("누적 1,300만 뷰를 넘어", "1300만 뷰:뷰"), ("5월 12일 공연", "5월 12일:date"), ("차트 1위 등극", "1위:rank"), ("그냥 7 이라고", ""), ("60초 동안", ""), ("2024년 3월 1일에 100억 원", "2024년 3월 1일:date|100억 원:원"),
+]
+
+
+@query("SELECT event_id, tokens FROM events JOIN (VALUES " + ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(_KOREAN)) + f") v(i, tokens) ON event_id % {len(_KOREAN)} = i")
 def number_tokens(spark: SparkSession, d: str) -> DataFrame:
-    n = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[0-9][0-9,]*"), 0), lambda x: F.replace(x, F.lit(","), F.lit(""))))
-    return _docs(spark, d).select("doc_id", F.lit(True).alias("ok"), F.size(n).cast("long").alias("n_numbers"))
+    """Numbers with their unit: dates, ranks, amounts; bare and idle numbers are left out."""
+    x = F.element_at(F.array(*[F.lit(x) for x, _ in _KOREAN]), (F.col("event_id") % len(_KOREAN) + 1).cast("int"))
+    shown = F.transform(ground.quantities(x), lambda q: F.concat(F.replace(q["token"], F.lit(","), F.lit("")), F.lit(":"), q["unit"]))
+    return load(spark, d, "events").select("event_id", F.array_join(shown, "|").alias("tokens"))
 
 
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -193,18 +200,7 @@ _SHORT = "(CASE WHEN n < 350 THEN 2 WHEN n < 400 THEN 1 WHEN n <= 550 THEN 0 ELS
 _BLOG = "(CASE WHEN n < 1800 THEN 4 WHEN n < 2160 THEN 2 WHEN n <= 2900 THEN 0 ELSE 1 END)"
 
 
-@query(f"SELECT doc_id, total, critical > 0 OR total < 15 AS is_critical, total >= 21 AND NOT (critical > 0 OR total < 15) AS passed FROM (SELECT *, greatest(0, least(30, 8 + 10 + greatest(0, 8 - 4 * critical - 2 * clickbait) + 4 - {_SHORT}))::DOUBLE AS total FROM ({_GROUND}))")
-def factual_total(spark: SparkSession, d: str) -> DataFrame:
-    """Terms and length alone: full points for entities, numbers and blog, as its SQL has it; all parts: ``factual_whole``."""
-    g = _grounding(spark, d)
-    zero = F.lit(0)
-    parts = [s.entity_score(F.lit(None).cast("boolean"), F.lit(False), zero, zero), s.number_fidelity(zero, zero), s.term_score(F.col("critical"), F.col("clickbait")), F.lit(4.0), -s.shorts_band(F.col("n"))]
-    total = g.withColumn("total", s.clamp_total(parts, 30.0))
-    crit = (F.col("critical") > 0) | (F.col("total") < 15)
-    return total.select("doc_id", "total", crit.alias("is_critical"), ((F.col("total") >= 21) & ~crit).alias("passed"))
-
-
-#: Stand-ins of the other word lists, for ``factual_whole``: names by which an entity is also called, and programs.
+#: Stand-ins of the other word lists, for ``factual_total``: names by which an entity is also called, and programs.
 ALIASES, PROGRAMS = {"the": ["The", "THE"], "der": ["Der"], "les": ["Les"]}, ["License", "Copyright", "Menu", "Login"]
 _LIST = lambda terms: f"[{', '.join(map(repr, terms))}]"
 _NAMES = " ".join(f"WHEN '{e}' THEN {_LIST([*ALIASES.get(e, []), e])}" for e in ENTITIES)
@@ -220,7 +216,7 @@ SELECT doc_id, artist, entity, numbers, terms, blog, total, grave OR total < 15
 
 
 @query(_WHOLE)
-def factual_whole(spark: SparkSession, d: str) -> DataFrame:
+def factual_total(spark: SparkSession, d: str) -> DataFrame:
     """The whole check of a text against its article, each part measured, with stand-in word lists.  The article's
     first line is its title; the tables hold no blog, so its points are full."""
     j = _paired(spark, d).withColumn("title", F.split("article", "\n")[0])
@@ -255,7 +251,12 @@ def url_filter(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").filter(u.rlike("(/en/|/fr/)") & ~u.rlike(r"(ref=|//m\.)")).select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
-@query()
+_WORDS = "SELECT conv_id, turn, l[i] AS w, i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS l FROM conversations), unnest(range(1, len(l) + 1)) AS g(i)"
+
+
+@query(f"""WITH RECURSIVE w AS MATERIALIZED ({_WORDS}), r AS (SELECT conv_id, turn, i, w AS now, 1 AS n, 0 AS cap, w FROM w WHERE i = 1 UNION ALL
+SELECT conv_id, turn, i, CASE WHEN cut THEN w ELSE now || ' ' || w END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN cap + 1 ELSE cap END, w FROM (SELECT w.conv_id, w.turn, w.i, r.now, r.n, r.cap, w.w, length(r.now) + 1 + length(w.w) > 13 OR r.n >= 4 OR regexp_matches(r.now, '[.!?,~]$') AS cut FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn AND w.i = r.i + 1))
+SELECT conv_id, turn, cap AS i, string_agg(w, ' ' ORDER BY r.i) AS caption FROM r GROUP BY 1, 2, 3""")
 def caption_pack(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     return load(spark, d, "conversations").select("conv_id", "turn", F.posexplode(t.pack_captions(words)).alias("i", "caption"))
@@ -266,18 +267,6 @@ def srt_format(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", t.srt_time(F.col("l_quantity") * 77.25).alias("start"))
 
 
-@query("SELECT l_orderkey, l_linenumber, floor(l_quantity * 77.25 * 1000)::BIGINT / 1000 * 2 AS doubled FROM lineitem")
-def srt_rescale(spark: SparkSession, d: str) -> DataFrame:
-    return srt_format(spark, d).select("l_orderkey", "l_linenumber", (t.parse_srt_time(F.col("start")) * 2).alias("doubled"))
-
-
-@query("SELECT conv_id, turn, count(*) AS cues, count(*) FILTER (len(string_split(b, chr(10))) > 1) AS multi FROM (SELECT conv_id, turn, unnest(string_split(text, '.' || chr(10))) AS b FROM conversations) GROUP BY 1, 2")
-def srt_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Cues of a block format (here: blocks end with a full stop and a line feed), and those of several lines."""
-    b = F.split("text", "\\.\n")
-    return load(spark, d, "conversations").select("conv_id", "turn", F.size(b).cast("long").alias("cues"), F.size(F.filter(b, lambda x: F.size(F.split(x, "\n")) > 1)).cast("long").alias("multi"))
-
-
 _CURSOR = """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
 r AS (SELECT l_orderkey, i, 0.0::DOUBLE AS s, floor(least(l_quantity / 8, 12.0) * 100 + 0.5) / 100 AS e FROM o WHERE i = 1
 UNION ALL SELECT o.l_orderkey, o.i, r.e, greatest(r.e, floor(least(r.e + o.l_quantity / 8, 12.0) * 100 + 0.5) / 100) FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.i = r.i + 1)
@@ -334,7 +323,10 @@ def duration_alloc(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).select("l_orderkey", "n", F.greatest(F.lit(2.0), 40.0 / n).alias("clip_dur"), cuts.alias("cuts"), (40.0 / cuts).alias("img_dur"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT l_orderkey, sum(l_quantity) AS total, list(l_quantity ORDER BY l_quantity) AS x FROM lineitem GROUP BY 1),
+c AS MATERIALIZED (SELECT l_orderkey, list_concat(CASE WHEN total >= 48 THEN [0.5::DOUBLE, 15, 30, 45, total - 1] ELSE [total * 1 / 10, total * 3 / 10, total * 5 / 10, total * 7 / 10, total * 9 / 10] END, x) AS l FROM g),
+r AS (SELECT l_orderkey, 0 AS i, []::DOUBLE[] AS acc FROM c UNION ALL SELECT r.l_orderkey, r.i + 1, CASE WHEN len(acc) < 10 AND len(list_filter(acc, lambda a: abs(a - l[r.i + 1]) < 1.5)) = 0 THEN list_append(acc, l[r.i + 1]) ELSE acc END FROM r JOIN c ON c.l_orderkey = r.l_orderkey WHERE r.i < len(l))
+SELECT r.l_orderkey, j - 1 AS i, acc[j] AS at FROM r JOIN c ON c.l_orderkey = r.l_orderkey AND r.i = len(l), unnest(range(1, len(acc) + 1)) AS h(j)""")
 def frame_plan(spark: SparkSession, d: str) -> DataFrame:
     """Base times first, then the starts of items; a time is taken if 1.5 s from all others, ten at most."""
     g = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total"), F.array_sort(F.collect_list("l_quantity")).alias("x"))
@@ -391,40 +383,12 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", "total", s.verdict(F.col("total"), F.col("toxic") == 1, F.col("doc_id") % 5 != 0).alias("status"))
 
 
-#: Patterns of the first-match ladder, in order.
-LADDER = [("purchase|signup", "conversion"), ("error", "fault"), ("view|click", "traffic")]
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'high' WHEN event_type = 'view' THEN 'low' ELSE 'medium' END AS severity, CASE WHEN event_type IN ('purchase', 'signup') THEN 'conversion' WHEN event_type = 'error' THEN 'fault' WHEN event_type IN ('view', 'click') THEN 'traffic' ELSE 'other' END AS issue_type, event_type IN ('error') AS repairable FROM events")
-def issue_normalise(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "info").otherwise(F.col("event_type"))
-    e = load(spark, d, "events").select("event_id", s.severity(kind).alias("severity"), s.issue_type(F.col("event_type"), LADDER, "other").alias("issue_type"))
-    return e.withColumn("repairable", F.col("issue_type") == "fault")
-
-
-@query(f"SELECT doc_id, concat_ws(',', CASE WHEN total < 70 THEN 'rewrite' END, CASE WHEN total < 90 THEN 'review' END, CASE WHEN status = 'PASS' THEN 'publish' END) AS advice FROM ({_VERDICT})")
-def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    total, status = F.col("total"), F.col("status")
-    rules = F.array(F.when(total < 70, "rewrite"), F.when(total < 90, "review"), F.when(status == "PASS", "publish"))
-    return verdict(spark, d).select("doc_id", F.array_join(F.array_distinct(F.array_compact(rules)), ",").alias("advice"))
-
-
 @query("SELECT doc_id, quality, rn FROM (SELECT l.doc_id, quality, source, row_number() OVER (PARTITION BY source ORDER BY l.doc_id DESC) AS rn FROM labels l JOIN documents d ON l.doc_id = d.doc_id) WHERE rn <= 10")
 def recent_qa_rows(spark: SparkSession, d: str) -> DataFrame:
     j = load(spark, d, "labels").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
     return j.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).cast("long")).filter("rn <= 10").select("doc_id", "quality", "rn")
 
 
-@query(f"""WITH o AS ({ORACLES.get('x', '')}SELECT 1 AS z), v AS (SELECT user_id, max(run_length) AS run FROM (WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events),
-n AS (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY rn) AS newest FROM r) SELECT user_id, coalesce(min(CASE WHEN event_type <> newest THEN rn END) - 1, count(*)) AS run_length FROM n GROUP BY 1) GROUP BY 1)
-SELECT user_id, 12.0 + 7.0 - CASE WHEN run >= 3 THEN 5.0 WHEN run = 2 THEN 3.0 ELSE 1.0 END + 6.0 AS total FROM v""".replace("WITH o AS (SELECT 1 AS z), v", "WITH v"))
-def repetition_total(spark: SparkSession, d: str) -> DataFrame:
-    from loomwork.operators.catalogue import streak
-
-    r = streak(load(spark, d, "events"), key="user_id", item="event_type", order="ts", tie="event_id")
-    return r.select("user_id", s.clamp_total([F.lit(12.0), F.lit(7.0) - s.streak_penalty(F.col("run_length")), F.lit(6.0)], 25.0).alias("total"))
-
-
 @query("SELECT page_id, regexp_extract(url, '([^/?#]*)[^/]*$', 1) AS base, left(sha256(page_id || '_' || url), 8) AS id, regexp_replace(left(url, 45), '[^A-Za-z0-9-]', '_', 'g') AS slug, least(100, greatest(10, page_id)) AS clamped FROM pages")
 def scalar_pack(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", F.regexp_extract("url", "([^/?#]*)[^/]*$", 1).alias("base"), F.left(F.sha2(F.concat_ws("_", "page_id", "url").cast("binary"), 256), F.lit(8)).alias("id"), F.regexp_replace(F.left("url", F.lit(45)), "[^A-Za-z0-9-]", "_").alias("slug"), F.least(F.lit(100), F.greatest(F.lit(10), "page_id")).alias("clamped"))
