@@ -83,10 +83,16 @@ def get_or_create(names: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def lookup_or_alias(wanted: DataFrame, known: DataFrame, *, want: str, name: str, key: str) -> DataFrame:
-    """For each wanted string: the exact match (case ignored) if any, else the first name containing it."""
-    w, k = F.lower(F.col(want)), F.lower(F.col(name))
-    exact = wanted.join(known, w == k).select(want, key, F.lit(0).alias("_tier"))
-    part = wanted.join(F.broadcast(known), k.contains(w)).select(want, key, F.lit(1).alias("_tier"))
+    """For each wanted string: the exact match (ASCII case ignored) if any, else the first name containing it."""
+    # ASCII case, as the exact match of a store's text columns does
+    fold = lambda c: F.translate(F.col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w, k = wanted.select(want, fold(want).alias("_w")), known.select(key, fold(name).alias("_k"))
+    exact = w.join(k, F.col("_w") == F.col("_k")).select(want, key, F.lit(0).alias("_tier"))
+    # a name contains a string if one of its substrings of that length is the string: an equi-join, not all pairs
+    lengths = w.agg(F.array_sort(F.collect_set(F.length("_w")))).scalar()  # no more numbers than the longest string has characters
+    cuts = F.flatten(F.transform("_lengths", lambda n: F.when(F.length("_k") >= n, F.transform(F.sequence(F.lit(1), F.length("_k") - n + 1), lambda i: F.substr("_k", i, n))).otherwise(F.array().cast("array<string>"))))
+    parts = k.withColumn("_lengths", lengths).select(key, F.explode(F.array_distinct(cuts)).alias("_w"))
+    part = w.join(parts, "_w").select(want, key, F.lit(1).alias("_tier"))
     both = exact.unionByName(part)
     return both.withColumn("_rn", F.row_number().over(Window.partitionBy(want).orderBy("_tier", key))).filter("_rn = 1").select(want, key, F.col("_tier").alias("tier"))
 
@@ -123,7 +129,12 @@ def tiered_fill(rows: DataFrame, quota: int, *, group: str, key: str, tier: str,
     best = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group, key).orderBy(tier, *order))).filter("_rn = 1").drop("_rn")
     if caps:
         cap = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(tier)), F.lit(2**31 - 1))
-        best = best.withColumn("_cap", cap).withColumn("_rn", F.row_number().over(Window.partitionBy(group, tier).orderBy(*order))).filter("_rn <= _cap").drop("_rn", "_cap")
+        # the first filter is a number, so each task keeps no more of a tier than the largest cap
+        most = max(caps.values())
+        ranked = best.withColumn("_cap", cap).withColumn("_rn", F.row_number().over(Window.partitionBy(group, tier).orderBy(*order)))
+        bounded = F.col("_rn") <= most
+        capped = F.col(tier).isin(list(caps))
+        best = ranked.filter(capped & bounded & (F.col("_rn") <= F.col("_cap"))).unionByName(ranked.filter(~capped)).drop("_rn", "_cap")
     place = F.row_number().over(Window.partitionBy(group).orderBy(tier, *order))
     return best.withColumn("place", place.cast("long")).filter(F.col("place") <= quota)
 
