@@ -16,18 +16,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that outlive an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is what the cluster names in ``spark.checkpoint.dir``.  Only where the session has no
-    such setting (tests on one machine) is a folder of our own taken.
+    Only on one machine (a local master, as in tests) that has no such setting is a folder of our own taken.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{os.getpid()}"
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder, which outlive an executor."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getpid()}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """How many partitions a shuffle of ``df`` should have: the session's setting, at least."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def release(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more: all that came of it is in later checkpoints."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
