@@ -14,6 +14,7 @@ from loomwork.functions import media as m
 from loomwork.functions import scoring as s
 from loomwork.functions import selection as sel
 from loomwork.functions import text as t
+from loomwork.operators import catalogue as c
 from loomwork.sources.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -209,3 +210,45 @@ def detected_singer(spark: SparkSession, d: str) -> DataFrame:
 def ideal_slot(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") * F.lit(2.8)).alias("total"))
     return n.join(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", s.ideal_time(F.col("total")).alias("ideal"))
+
+
+_SENTENCES = [("현장 관객들의 뜨거운 환호와 박수가 이어졌다", "audience"), ("많은 사람들이 눈물을 흘리며 감동했다", "emotion"), ("결국 병원에서 수술을 받고 치료 중이다", "hospital"), ("기부금 1억을 쾌척한 거액의 자산가", "money"), ("유튜브 조회수가 온라인에서 폭발했다", "smartphone"), ("전국투어 콘서트 무대에서 열창했다", "concert"), ("소속사와 전속계약을 맺고 광고 모델이 됐다", "business"), ("오늘은 날씨가 참 좋습니다", None)]
+
+
+@query("SELECT event_id, category FROM events JOIN (VALUES " + ", ".join(f"({i}, {c!r})" if c else f"({i}, NULL)" for i, (_, c) in enumerate(_SENTENCES)) + f") v(i, category) ON event_id % {len(_SENTENCES)} = i")
+def sentence_category(spark: SparkSession, d: str) -> DataFrame:
+    """The category of Korean sentences by the real patterns and weights; nothing without a keyword."""
+    x = _case(F.col("event_id") % len(_SENTENCES), *[x for x, _ in _SENTENCES])
+    return load(spark, d, "events").select("event_id", ground.best_category(x).alias("category"))
+
+
+_LINES = [("임영웅이 콘서트에서 큰 감동을 전했다", True), ("짧은 줄", False), ("본문 바로가기 메뉴를 눌러 주세요", False), ("문의는 press@news.co.kr 으로 보내 주세요", False), ("무단 전재 및 재배포 금지 안내입니다", False), ("▶ 관련 기사 더 보러 가기 여기", False), ("팬들은 끝까지 자리를 지키며 응원했다", True)]
+
+
+@query("SELECT event_id, text FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '" + "|".join(x for x, ok in _LINES if ok) + "' ELSE '" + "|".join(x for x, ok in reversed(_LINES) if ok) + "' END AS text FROM events)")
+def article_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an article without menus, addresses, rights and marks."""
+    page = F.when(F.col("event_id") % 2 == 0, "\n \n".join(x for x, _ in _LINES)).otherwise("\n".join(x for x, _ in reversed(_LINES)))
+    return load(spark, d, "events").select("event_id", F.array_join(ground.article_lines(page), "|").alias("text"))
+
+
+@query("SELECT p_partkey, p_size % 5 <> 0 AND NOT (p_partkey % 4 = 0) AS active, p_size % 5 <> 0 AND p_partkey % 4 = 0 AS deactivated FROM part")
+def missing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Media whose file is gone are no longer active; those that were are told apart, and no row is deleted."""
+    part = load(spark, d, "part").select("p_partkey", (F.col("p_size") % 5 != 0).alias("was"))
+    files = load(spark, d, "part").filter("p_partkey % 4 <> 0").select("p_partkey", F.lit(True).alias("there"))
+    j = part.join(files, "p_partkey", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    return j.select("p_partkey", (F.col("was") & F.col("there")).alias("active"), (F.col("was") & ~F.col("there")).alias("deactivated"))
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_size DESC, p_brand, p_partkey LIMIT 40")
+def ordered_by_list(spark: SparkSession, d: str) -> DataFrame:
+    """An order given as a list of columns and directions from a white list."""
+    order = c.order_columns([("p_size", "desc"), ("p_brand", "asc"), ("p_partkey", "asc")], {"p_partkey", "p_brand", "p_size"})
+    return load(spark, d, "part").select("p_partkey", "p_brand", "p_size").orderBy(*order).limit(40)
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS version FROM orders QUALIFY version = 1")
+def replace_history(spark: SparkSession, d: str) -> DataFrame:
+    """A project written again replaces its older entry: the newest id of each key stays."""
+    return c.recent_n(load(spark, d, "orders").select("o_custkey", "o_orderkey"), 1, key="o_custkey", order=[F.desc("o_orderkey")]).select("o_orderkey", F.col("rn").alias("version"))

@@ -43,6 +43,13 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.filter(~name.startswith("temp_")).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_hash"), name.alias("file_name"), tags.alias("tags"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def media_role(path: Column) -> Column:
+    """What a file of the catalogue is by its place and kind: a clip, a general clip, or a photo."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    video = p.rlike(r"\.(mp4|avi|mov|mkv|webm)$")
+    return F.when(F.contains(p, F.lit("clips")), "stage_clip").when(F.contains(p, F.lit("stock")), "general_broll").when(video, "stage_clip").otherwise("singer_photo")
+
+
 def new_files(listed: DataFrame, known: DataFrame) -> DataFrame:
     """Listed files whose path and content the catalogue does not have."""
     return listed.join(known.select("file_path"), "file_path", "left_anti").join(known.filter("file_hash is not null").select("file_hash"), "file_hash", "left_anti")
@@ -60,8 +67,9 @@ def json_lines(lines: DataFrame, column: str, fields: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
-    """The first ``k`` items of an RSS file, in the file's order."""
-    return spark.read.format("xml").option("rowTag", "item").load(path).limit(k)
+    """The first ``k`` items of an RSS file, in the file's order, with their ``place`` from 0."""
+    items = spark.read.format("xml").option("rowTag", "channel").load(path).select(F.posexplode("item").alias("place", "i"))
+    return items.filter(F.col("place") < k).select("place", "i.*")
 
 
 def decode_text(df: DataFrame, column: str, out: str = "text", charsets: tuple[str, ...] = ("utf-8", "euc-kr", "cp949"), need: str = r"[가-힣]") -> DataFrame:
@@ -92,6 +100,11 @@ def decode_text(df: DataFrame, column: str, out: str = "text", charsets: tuple[s
     return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def subtitle_text(df: DataFrame, column: str, out: str = "text") -> DataFrame:
+    """Bytes of a subtitle file to text: UTF-8 with or without a mark, then the two Korean charsets; no letter is asked for."""
+    return decode_text(df, column, out, ("utf-8-sig", "utf-8", "cp949", "euc-kr"), need="")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

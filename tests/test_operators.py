@@ -107,6 +107,28 @@ def test_listing_and_decoding(spark, tmp_path):
     assert [r["text"] for r in tables.decode_text(raw, "raw").collect()] == ["한글", "한글", "�", None]
 
 
+def test_subtitles_feeds_and_sinks(spark, tmp_path):
+    raw = spark.createDataFrame([("1\n자막".encode("utf-8-sig"),), ("자막".encode("cp949"),), (b"plain",), (None,)], "raw binary")
+    assert [r["text"] for r in tables.subtitle_text(raw, "raw").collect()] == ["1\n자막", "자막", "plain", None]
+    (tmp_path / "feed.xml").write_text("<rss><channel><title>t</title>" + "".join(f"<item><title>n{i}</title><link>l{i}</link></item>" for i in range(7)) + "</channel></rss>")
+    assert [(r["place"], r["title"], r["link"]) for r in tables.feed_items(spark, str(tmp_path / "feed.xml")).collect()] == [(i, f"n{i}", f"l{i}") for i in range(5)]
+    df = spark.createDataFrame([(1, "가"), (2, None)], "a int, b string")
+    tables.write_json(df, str(tmp_path / "j"))
+    assert sorted(spark.read.json(str(tmp_path / "j")).select("a", "b").collect()) == sorted(df.collect())
+    tables.write_lines(df, "a", str(tmp_path / "l"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["1", "2"]
+    roles = spark.createDataFrame([("C:\\x\\Clips\\a.png",), ("/m/stock/b.mp4",), ("/m/c.MOV",), ("/m/d.jpg",)], "p string")
+    assert [r[0] for r in roles.select(tables.media_role(F.col("p"))).collect()] == ["stage_clip", "general_broll", "stage_clip", "singer_photo"]
+
+
+def test_usage_windows(spark):
+    from loomwork.streaming import usage
+
+    events = spark.createDataFrame([("2024-01-01 01:00:00", 1), ("2024-01-01 23:00:00", 1), ("2024-01-02 00:00:00", 1), ("2024-01-01 05:00:00", 2)], "ts string, user_id int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = usage.usage_windows(events, key="user_id").collect()
+    assert sorted((r["user_id"], r["n"]) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
 def test_evolution_and_json_lines(spark):
     df = tables.evolve(spark.createDataFrame([(1, "x")], "id int, file_path string"), tables.MEDIA)
     assert df.schema == tables.MEDIA and df.first()["file_path"] == "x"
