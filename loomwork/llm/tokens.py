@@ -8,6 +8,7 @@ concatenated, are the ids of the whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -22,6 +23,10 @@ from .common import load
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin texts without "<", of which no special string can be part.
 _LATIN = re.compile(r"[\x00-;=-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+#: The words into which the tokenizer's pattern splits a Latin text, with its classes written out for those characters.
+_WORDS = re.compile(r" ?[A-Za-z\u00c0-\u017f]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r A-Za-z\u00c0-\u017f0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Words whose ids a worker remembers, and how long such words may be.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 19, 64
 BATCH_BYTES = 4 << 20
 SLICE_CHARS = 1 << 16
 
@@ -41,26 +46,23 @@ def slices(text: str, most: int = SLICE_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-def twin(path: str):
-    """The same vocabulary for the faster library, if its file of ranks lies beside ``path``."""
-    import base64
+def byte_letters() -> dict[int, int]:
+    """Byte-level tokenizers write a byte that is no visible Latin-1 character as one from U+0100 on, in order."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
-    import public_tokenizers
-    import tiktoken
 
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not path.endswith(".json") or not os.path.exists(ranks):
-        return None
-    with open(ranks, "rb") as f:
-        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+_LETTERS = byte_letters()
+_SPACE_LETTER = chr(_LETTERS[32])
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes, all of them from the tokenizer.
 
-    Latin texts go through the vocabulary's faster twin where there is one; all others (other scripts,
-    special strings) go through the tokenizer itself.  Both give the same ids.
+    A byte-level tokenizer without normaliser encodes each word of its split by itself.  So Latin texts are
+    split here, words that the worker has met before are looked up, and only new ones go to the tokenizer's
+    model.  All other texts (other scripts, special strings), and all texts of another kind of tokenizer,
+    go there whole.
     """
 
     def __init__(self, path: str):
@@ -68,12 +70,33 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.twin = twin(path)
+        self.model = self.tok.model
+        spec = json.loads(self.tok.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        added = all("<" in t["content"] for t in spec.get("added_tokens") or [])
+        self.by_word = bool(plain and added and spec.get("normalizer") is None and spec.get("model", {}).get("type", "BPE") == "BPE")
+        self.known: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        letters = word.replace(" ", _SPACE_LETTER) if plain else word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        quick = [self.twin is not None and _LATIN.fullmatch(x) is not None for x in texts]
-        slow = iter(self.tok.encode_batch_fast([x for x, q in zip(texts, quick) if not q], add_special_tokens=False))
-        return [array("I", self.twin.encode_ordinary(x) if q else next(slow).ids).tobytes() for x, q in zip(texts, quick)]
+        words = [_WORDS.findall(x) if self.by_word and _LATIN.fullmatch(x) else None for x in texts]
+        whole = iter(self.tok.encode_batch_fast([x for x, ws in zip(texts, words) if ws is None], add_special_tokens=False))
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        new = set().union(*[ws for ws in words if ws is not None]).difference(known)
+        for w in new:
+            known[w] = self._word(w)
+        out = [array("I", next(whole).ids).tobytes() if ws is None else b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > KNOWN_CHARS:
+                del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One bytes object for each text, in order, encoded in batches of bounded bytes."""
@@ -81,7 +104,7 @@ class Encoder:
         size = 0
         for i, x in enumerate(texts):
             batch.append(slices(x))
-            size += len(x)
+            size += len(x) if x.isascii() else len(x.encode())
             if size >= BATCH_BYTES or i == len(texts) - 1:
                 found = iter(self.batch([y for ys in batch for y in ys]))
                 for ys in batch:
