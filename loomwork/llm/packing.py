@@ -24,7 +24,9 @@ from .common import load, shared_checkpoint
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
-GRAINS = (16, 32)
+GRAINS = (16, 32, 128)
+#: Shares of the fitted repeats that are realised; the fewer, the more pieces best fit has for the gaps.
+SHARES = (1.0, 0.75, 0.5)
 DEPTH = 3
 
 
@@ -81,10 +83,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
     return x
 
 
-def plan_groups(counts: np.ndarray, capacity: int, grain: int, depth: int = DEPTH) -> list[tuple[int, tuple[int, ...]]]:
+def plan_groups(counts: np.ndarray, capacity: int, grain: int, depth: int = DEPTH, shares: tuple[float, ...] = (1.0,)) -> list[tuple[int, tuple[int, ...]]]:
     """Groups (repeats, lengths) that place ``counts[length]`` pieces of each length, all of them.
 
-    Pieces shorter than an eighth of the capacity are not fitted: they fill the gaps afterwards.
+    One fit, of which each of ``shares`` is realised; the one with the fewest sequences counts.  Pieces shorter than an eighth of the capacity are not fitted: they fill the gaps afterwards.
     """
     left = counts.astype(np.int64).copy()
     groups: list[tuple[int, tuple[int, ...]]] = [(int(left[capacity]), (capacity,))] if left[capacity] else []
@@ -97,15 +99,20 @@ def plan_groups(counts: np.ndarray, capacity: int, grain: int, depth: int = DEPT
     np.add.at(binned, -(-np.arange(capacity + 1) // grain), left)
     rows = patterns(bins, depth)
     rows = rows[((binned[rows] > 0) | (rows == 0)).all(1)]
-    if len(rows):
-        a = np.zeros((bins + 1, len(rows)))
-        for d in range(depth):
-            np.add.at(a, (rows[:, d], np.arange(len(rows))), 1.0)
-        weight = np.arange(bins + 1) / bins  # short pieces fill gaps easily: their misfit counts less
-        fit = np.floor(nnls(a * weight[:, None], binned * weight, 3 * bins) + 1e-6).astype(np.int64)
-        for j in sorted(np.flatnonzero(fit > 0), key=lambda j: tuple(-rows[j])):
-            groups += realise([int(b) for b in rows[j] if b], int(fit[j]), left, capacity, grain)
-    return best_fit(groups, left + small, capacity)
+    if not len(rows):
+        return best_fit(groups, left + small, capacity)
+    a = np.zeros((bins + 1, len(rows)))
+    for d in range(depth):
+        np.add.at(a, (rows[:, d], np.arange(len(rows))), 1.0)
+    weight = np.arange(bins + 1) / bins  # short pieces fill gaps easily: their misfit counts less
+    fit = nnls(a * weight[:, None], binned * weight, 3 * bins)
+    found = []
+    for share in shares:
+        repeats, rest, taken = np.floor(fit * share + 1e-6).astype(np.int64), left.copy(), list(groups)
+        for j in sorted(np.flatnonzero(repeats > 0), key=lambda j: tuple(-rows[j])):
+            taken += realise([int(b) for b in rows[j] if b], int(repeats[j]), rest, capacity, grain)
+        found.append(best_fit(taken, rest + small, capacity))
+    return min(found, key=lambda groups: sum(q for q, _ in groups))
 
 
 def longest(left: np.ndarray, low: int, high: int, used: dict[int, int]) -> int:
@@ -176,8 +183,8 @@ def best_fit(groups: list[tuple[int, tuple[int, ...]]], left: np.ndarray, capaci
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, grains: tuple[int, ...] = GRAINS) -> list[tuple[int, tuple[int, ...]]]:
-    """The fit with the fewest sequences over the grains of the length bins."""
-    fits = [plan_groups(counts, capacity, g) for g in grains if capacity % g == 0 and capacity // g >= 2] or [plan_groups(counts, capacity, 1)]
+    """The fit with the fewest sequences over the grains of the length bins and the shares of the fit."""
+    fits = [plan_groups(counts, capacity, g, shares=SHARES) for g in grains if capacity % g == 0 and capacity // g >= 2] or [plan_groups(counts, capacity, 1, shares=SHARES)]
     return min(fits, key=lambda groups: sum(q for q, _ in groups))
 
 
