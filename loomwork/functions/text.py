@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 TOKEN = r"[가-힣a-zA-Z0-9]+"
 
 
+#: White space of Unicode and the four separators of ASCII.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """All white space at both ends, not only spaces."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """All white space at both ends, not only spaces; no pattern, which would look at every character."""
+    return F.btrim(x, F.lit(WHITE))
 
 
 def tokens(x: Column) -> Column:

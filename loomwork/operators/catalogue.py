@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,20 +108,28 @@ def streak(facts: DataFrame, *, key: str, item: str, order: str, tie: str) -> Da
     return marked.groupBy(key).agg(F.max("newest").alias("item"), run.cast("long").alias("run_length"))
 
 
-def hamming_pairs(bits: DataFrame, threshold: int, *, key: str, words: list[str], blocks: list[str] | None = None) -> DataFrame:
+def flips(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` of them set."""
+    return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def hamming_pairs(bits: DataFrame, threshold: int, *, key: str, words: list[str], blocks: list[str] | None = None, width: int = 0, radius: int = 0) -> DataFrame:
     """Pairs a < b whose bit words differ in at most ``threshold`` places.
 
-    With ``blocks`` (more than ``threshold`` disjoint parts of the bits) candidates share a block: exact by
-    the pigeonhole principle, and an equi-join instead of all pairs.
+    With ``blocks`` (disjoint parts of the bits) candidates agree in one block but for ``radius`` of its ``width`` bits at
+    most: exact by the pigeonhole principle if blocks * (radius + 1) is above the threshold, and an equi-join instead of
+    all pairs.  Wider blocks with a radius let far fewer pairs meet by chance than more, narrower ones.
     """
     dist = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a.{words[0]}").bitwiseXOR(F.col(f"b.{words[0]}"))))
     if blocks is None:
         pairs = bits.alias("a").join(bits.alias("b"), (F.col(f"a.{key}") < F.col(f"b.{key}")) & (dist <= threshold))
         return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), dist.cast("long").alias("distance"))
-    if len(blocks) <= threshold:
-        raise ValueError("more blocks than the threshold are needed")
+    if len(blocks) * (radius + 1) <= threshold:
+        raise ValueError("more blocks or a larger radius are needed for the threshold")
     long = bits.select(key, *words, F.posexplode(F.array(*blocks)).alias("_i", "_block"))
-    pairs = long.alias("a").join(long.alias("b"), (F.col("a._i") == F.col("b._i")) & (F.col("a._block") == F.col("b._block")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (dist <= threshold))
+    masks = F.array(*[F.lit(x).cast("long") for x in flips(width, radius)])
+    near = long.select(key, *words, "_i", F.explode(F.transform(masks, lambda x: F.col("_block").bitwiseXOR(x))).alias("_block"))
+    pairs = near.alias("a").join(long.alias("b"), (F.col("a._i") == F.col("b._i")) & (F.col("a._block") == F.col("b._block")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (dist <= threshold))
     return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), dist.cast("long").alias("distance")).distinct()
 
 

@@ -195,8 +195,8 @@ def near_dup_hamming(spark: SparkSession, d: str) -> DataFrame:
 
 @query(NEAR_SQL + "12")
 def near_dup_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """At most 12 of 63 bits differ, so one of 13 blocks agrees: equi-joins, same rows as all pairs."""
-    return c.hamming_pairs(_bit_words(spark, d), 12, key="vec_id", words=["w1", "w2"], blocks=[f"k{i}" for i in range(13)])
+    """At most 12 of 63 bits differ, so one of 7 blocks of 9 bits agrees but for one bit: equi-joins, same rows as all pairs."""
+    return c.hamming_pairs(_bit_words(spark, d, blocks=7), 12, key="vec_id", words=["w1", "w2"], blocks=[f"k{i}" for i in range(7)], width=9, radius=1)
 
 
 _TIERS = """SELECT s_nationkey AS g, l_partkey AS k, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 ELSE 3 END AS tier FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
