@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, shared_checkpoint
 from .shingles import mix64, shingle_hashes
 
 BINS, BITS, WORDS = 256, 4, 5
 TRIES = 512
-#: Documents that one stretch of the id order holds, about, and how many stretches there are at most
-#: (beyond that stretches grow; they are streamed).
+#: Documents that one stretch of the id order holds, about, and how many stretches there are at most: their first rows
+#: are broadcast, 24 bytes each.  Beyond, stretches grow; they are sorted with spills and streamed, never held.
 STRETCH_DOCS, MOST_STRETCHES = 1000, 20_000
 
 
@@ -98,49 +98,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def stretch_edges(docs: DataFrame) -> np.ndarray:
-    """Ascending ids that end the stretches of the id order: quantiles, so stretches hold equally many rows."""
-    parts = min(MOST_STRETCHES, docs.count() // STRETCH_DOCS)
-    if parts < 2:
-        return np.empty(0, np.int64)
-    found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    return np.unique(np.array(found or [], np.int64))
+class Stretches:
+    """The order of documents (ids descending, null ids last, equal ids by descending hash of their texts), cut into stretches.
+
+    Edges are quantiles of the ids, so stretches hold equally many rows.  An id that takes several edges, and null
+    ids, are spread over as many stretches by their hashes.
+    """
+
+    def __init__(self, ids: DataFrame):
+        n, null = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+        parts = min(MOST_STRETCHES, (n - null) // STRETCH_DOCS)
+        self.null_parts = int(max(1, min(MOST_STRETCHES, null // STRETCH_DOCS)))
+        edges = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+        self.edges = np.array(edges or [], np.int64)
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        share = (hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) / 2.0**64
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        left, right = np.searchsorted(self.edges, known), np.searchsorted(self.edges, known, side="right")
+        at = len(self.edges) - left - np.floor(share * np.maximum(right - left, 1)).astype(np.int64).clip(0, np.maximum(right - left - 1, 0))
+        nulls = len(self.edges) + self.null_parts - np.floor(share * self.null_parts).astype(np.int64).clip(0, self.null_parts - 1)
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), nulls, at)
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
-    """(stretch, doc_id, text, mark, own): the rows of each stretch of the id order, with their fingerprints.
+    """(stretch, doc_id, hash, text, mark, own): the rows of each stretch of the order, with their fingerprints.
 
     The first row of the following stretch (of the first, after the last) comes along, not ``own``, so
     each stretch is complete: no window sees all rows, and texts are shuffled once.
     """
-    edges = stretch_edges(docs)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    ids = shared_checkpoint(docs.select("doc_id", "hash"))
+    cut = Stretches(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            at = len(edges) - np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False))
-            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges) + 1, at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, b.column("text"), pa.array([fingerprint(x) for x in texts], pa.binary())], ["stretch", "doc_id", "text", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(cut.of(b.column("doc_id"), b.column("hash")), pa.int64()), b.column("doc_id"), b.column("hash")], ["stretch", "doc_id", "hash"])
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "text").mapInArrow(run, "stretch long, doc_id long, text string, mark binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = pa.array(cut.of(b.column("doc_id"), b.column("hash")), pa.int64())
+            yield pa.RecordBatch.from_arrays([at, *b.columns, pa.array([fingerprint(x) for x in b.column("text").to_pylist()], pa.binary())], ["stretch", *b.schema.names, "mark"])
 
-    no_text = docs.select("doc_id", F.lit("").alias("text"))
-    heads = placed(no_text).groupBy("stretch").agg(F.max("doc_id").alias("head"))
+    heads = ids.mapInArrow(number, "stretch long, doc_id long, hash long").groupBy("stretch").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
     order = Window.orderBy("stretch")
     last = F.last("stretch").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    sent = heads.select(F.coalesce(F.lag("stretch").over(order), last).alias("to"), "head")
-    # at most MOST_STRETCHES + 2 rows
-    firsts = docs.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("head")))
-    copies = firsts.select(F.col("to").alias("stretch"), "doc_id", "text", F.lit(None).cast("binary").alias("mark"), F.lit(0).alias("own"))
-    return placed(docs).withColumn("own", F.lit(1)).unionByName(copies)
+    sent = heads.select(F.coalesce(F.lag("stretch").over(order), last).alias("to"), F.col("head.doc_id").alias("head"), F.col("head.hash").alias("mark_hash"))
+    # at most 2 * MOST_STRETCHES rows
+    firsts = docs.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("mark_hash")))
+    copies = firsts.select(F.col("to").alias("stretch"), "doc_id", "hash", "text", F.lit(None).cast("binary").alias("mark"), F.lit(0).alias("own"))
+    return docs.mapInArrow(run, "stretch long, doc_id long, hash long, text string, mark binary").withColumn("own", F.lit(1)).unionByName(copies)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with the next in descending order of doc_id, null ids last; equal ids in the order of their texts."""
+    """Each text with the next in descending order of doc_id, null ids last; equal ids in descending order of the hash of
+    their texts.  Null texts are empty; a single document is its own next; an empty table gives no rows."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # within a stretch the copied row comes last
-    placed = with_successor(docs).repartition("stretch").sortWithinPartitions("stretch", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    placed = with_successor(docs).repartition("stretch").sortWithinPartitions("stretch", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (stretch, doc_id, text, mark) that waits for its next document
