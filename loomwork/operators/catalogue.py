@@ -71,16 +71,28 @@ def merge_content(old: DataFrame, new: DataFrame, *, hash_col: str, patch: list[
     return joined.select(*fields, F.col(f"o.{hash_col}").isNotNull().alias("was_known"), (F.col(f"o.{hash_col}").isNotNull() & F.col(f"n.{hash_col}").isNotNull()).alias("is_duplicate"))
 
 
+def numbered(keys: DataFrame, key: str, out: str) -> DataFrame:
+    """``keys`` with ``out``: 1, 2, 3 ... without gaps, in the order of 4,096 buckets by hash and of the keys in them.
+
+    A window for each bucket and one over the buckets' counts: no task sees all rows.
+    """
+    placed = keys.withColumn("_b", F.left(F.md5(F.col(key).cast("binary")), F.lit(3)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", before.alias("_before"))
+    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return ranked.join(counts, "_b").withColumn(out, F.col("_before") + F.col("_rn")).drop("_b", "_rn", "_before")
+
+
 def get_or_create(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, id): ids of known names (ASCII case ignored) or aliases, new ids after the greatest for the rest."""
+    """(name, id) of each distinct name: ids of known names (ASCII case ignored) or aliases, new ids after the greatest for the rest."""
     fold = F.translate("name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    wanted = names.select("name", fold.alias("_k")).dropDuplicates(["_k"])
+    wanted = names.select("name", fold.alias("_k")).distinct()
     exact = known.select(fold.alias("_k"), F.col("id").alias("_exact")).groupBy("_k").agg(F.min("_exact").alias("_exact"))
     alias = known.select(F.explode("aliases").alias("name"), "id").select(fold.alias("_k"), "id").groupBy("_k").agg(F.min("id").alias("_alias"))
     found = wanted.join(exact, "_k", "left").join(alias, "_k", "left").withColumn("id", F.coalesce("_exact", "_alias"))
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = found.filter("id is null").withColumn("_rn", F.row_number().over(Window.orderBy("_k"))).join(F.broadcast(top), how="full_outer").filter("_k is not null")
-    return found.filter("id is not null").select("name", "id").unionByName(fresh.select("name", (F.col("_top") + F.col("_rn")).alias("id")))
+    fresh = numbered(found.filter("id is null").select("_k").distinct(), "_k", "_new")
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).scalar()
+    return found.join(fresh, "_k", "left").withColumn("_top", top).select("name", F.coalesce("id", F.col("_top") + F.col("_new")).alias("id"))
 
 
 def lookup_or_alias(wanted: DataFrame, known: DataFrame, *, want: str, name: str, key: str) -> DataFrame:

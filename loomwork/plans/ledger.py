@@ -212,6 +212,18 @@ def alias_backfill(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("aliases", sel.first_given("before", F.concat("name", F.lit(" fans"))))
 
 
+@query("""WITH k AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS k, lower(replace(n_name, '_', '-')) AS a FROM nation), w AS (SELECT upper(n_name) AS name FROM nation UNION SELECT replace(n_name, '_', '-') FROM nation UNION SELECT s_name FROM supplier UNION SELECT upper(s_name) FROM supplier),
+f AS (SELECT name, lower(name) AS k, coalesce((SELECT min(id) FROM k WHERE k.k = lower(w.name)), (SELECT min(id) FROM k WHERE k.a = lower(w.name))) AS id FROM w),
+n AS (SELECT k, row_number() OVER (ORDER BY left(md5(k), 3), k) AS r FROM (SELECT DISTINCT k FROM f WHERE id IS NULL)) SELECT name, coalesce(f.id, (SELECT max(id) FROM k) + r) AS id FROM f LEFT JOIN n ON f.k = n.k""")
+def names_to_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Known names and aliases keep their ids, whatever the case; all others get the next ones."""
+    nation, supplier = load(spark, d, "nation"), load(spark, d, "supplier")
+    dashed = F.replace(F.col("n_name"), F.lit("_"), F.lit("-"))
+    known = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.array(dashed).alias("aliases"))
+    names = nation.select(F.upper("n_name").alias("name")).union(nation.select(dashed)).union(supplier.select("s_name")).union(supplier.select(F.upper("s_name")))
+    return c.get_or_create(names, known)
+
+
 # --- near duplicates of new photos among stored ones ---
 
 
