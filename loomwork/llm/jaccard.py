@@ -73,8 +73,8 @@ def part_keys(every: np.ndarray, n: np.ndarray, num: int, den: int) -> list[tupl
     """For sets (``every``: their sorted elements, one set after the other; ``n``: their sizes), under the own tag and
     under the one before: (set, hash of a part, for each set how many parts must be another's too).
 
-    With ``differ + spare`` parts, two linking sets have ``spare`` alike at least.  Parts of fewer than two
-    elements say little; they are left out, and the number asked for is less by them, where that leaves any.
+    With ``differ + spare`` parts, two linking sets have ``spare`` alike at least.  Empty parts say nothing; they are
+    left out, and the number asked for is less by them, where that leaves any.
     """
     first, differ = size_tags(int(n.max(initial=1)), num, den)
     own = np.searchsorted(first, n, side="right") - 1
@@ -83,7 +83,7 @@ def part_keys(every: np.ndarray, n: np.ndarray, num: int, den: int) -> list[tupl
     out = []
     for tag in (own, own - 1):
         d = np.where((tag < 0) | (n == 0), 0, differ[np.maximum(tag, 0)])
-        spare = 1 + d // 5
+        spare = 2 + d // 4
         parts = np.where(d > 0, d + spare, 0)
         base = np.concatenate(([0], np.cumsum(parts)))
         used = parts[doc] > 0
@@ -98,10 +98,10 @@ def part_keys(every: np.ndarray, n: np.ndarray, num: int, den: int) -> list[tupl
         value = sums[ends] - sums[ends - count]
         which = np.arange(base[-1]) - base[owner]
         key = mix64(mix64(value + np.uint64(0x9E3779B97F4A7C15) * which.astype(np.uint64)) ^ (tag[owner].astype(np.uint64) << np.uint64(40)) ^ count.astype(np.uint64))
-        few = np.bincount(owner[count < 2], minlength=len(n))
+        few = np.bincount(owner[count == 0], minlength=len(n))
         whole = few >= spare  # rare: then all parts count, and one of them may do
         need = np.where(d == 0, _NEVER, np.where(whole, 1, spare - few))
-        sent = (count >= 2) | whole[owner]
+        sent = (count > 0) | whole[owner]
         out.append((owner[sent], key[sent], need))
     return out
 
