@@ -22,12 +22,13 @@ from pyspark.sql import types as T
 from .common import load
 from .quality import id_remainder
 
-#: Bounds of the training sample: documents a language, characters of each, characters of a language,
-#: and languages (the most frequent).
-TRAIN_DOCS, DOC_CHARS, LANG_CHARS, MOST_LANGS = 96, 2000, 16_000, 200
-SEGMENT, BLOCK_SEGMENTS = 256, 4096
-#: An automaton of more cells (states by letters) is held as sorted keys in place of a table.
-DENSE_CELLS = 1 << 22
+#: Bounds of the training sample of each language: documents, characters that slices spread over their whole texts
+#: give in all, and slices of a document.
+TRAIN_DOCS, LANG_CHARS, SLICES = 96, 24_576, 4
+#: Phrases do not cross the ends of segments of so many symbols, so that long texts can be parsed side by side.
+SEGMENT, BLOCK_SEGMENTS = 4096, 4096
+#: If the automata of all languages have more cells (states by letters), they are held as sorted keys in place of tables.
+DENSE_CELLS = 1 << 24
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -99,7 +100,7 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """The automaton of one text; its columns are the symbols that the text has, and 0 for all others."""
 
-    def __init__(self, codes: np.ndarray, symbols: int):
+    def __init__(self, codes: np.ndarray, symbols: int, languages: int = 1):
         own = np.unique(codes)
         self.width = len(own) + 1
         self.column = np.zeros(symbols + 1, np.int32)  # the last for no symbol
@@ -112,7 +113,7 @@ class Parser:
         keys = np.array([s * self.width + c for s, row in enumerate(nxt) for c in row], np.int64)
         ends = np.array([t for row in nxt for t in row.values()], np.int32)
         self.table = None
-        if len(nxt) * self.width <= DENSE_CELLS:
+        if len(nxt) * self.width * languages <= DENSE_CELLS:
             self.table = np.tile(self.ended, len(nxt))
             self.table[keys] = ends
         else:
@@ -128,13 +129,20 @@ class Parser:
         return np.where(self.keys[at] == key, self.ends[at], self.ended[column])
 
 
+@cache
+def _built(texts: tuple[tuple[str, str], ...]) -> tuple[Alphabet, list[Parser], np.ndarray]:
+    """Made once in a worker, however many tasks it runs."""
+    alphabet = Alphabet([t for _, t in texts])
+    codes = [alphabet.codes(t) for _, t in texts]
+    return alphabet, [Parser(c, alphabet.size, len(texts)) for c in codes], np.array([np.log2(max(len(c), 2)) for c in codes])
+
+
 class Model:
     """Automata of each language, built from bounded texts; small to ship, since only texts are pickled."""
 
     def __init__(self, texts: dict[str, str]):
         self.texts = dict(sorted(texts.items()))
         self.langs = list(self.texts)
-        self._ready = False
 
     def __getstate__(self):
         return {"texts": self.texts}
@@ -143,15 +151,10 @@ class Model:
         self.__init__(state["texts"])
 
     def build(self) -> None:
-        if not self._ready:
-            self.alphabet = Alphabet(list(self.texts.values()))
-            codes = [self.alphabet.codes(t) for t in self.texts.values()]
-            self.parsers = [Parser(c, self.alphabet.size) for c in codes]
-            self.weight = np.array([np.log2(max(len(c), 2)) for c in codes])
-            self._ready = True
+        self.alphabet, self.parsers, self.weight = _built(tuple(self.texts.items()))
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
-        """phrases[doc, lang].  Phrases do not cross the ends of segments of 256 symbols."""
+        """phrases[doc, lang]."""
         self.build()
         pad = self.alphabet.size
         sizes = [max(1, -(-len(c) // SEGMENT)) for c in codes]
@@ -202,34 +205,42 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     for lang, text in sorted(sample):
         by.setdefault(lang, []).append(text)
 
-    def model(rows: dict[str, list[str]], chars: int) -> Model:
-        share = {x: max(1, chars // len(ts)) for x, ts in rows.items() if ts}
-        return Model({x: "\n".join(t[: max(share[x], DOC_CHARS // 8)] for t in rows[x])[:chars] for x in share})
+    def model(rows: dict[str, list[str]]) -> Model:
+        return Model({x: "\n".join(ts) for x, ts in rows.items() if ts})
 
     if len(by) > 1 and min(map(len, by.values())) >= 8:
         kept: dict[str, list[str]] = {}
         for half in (0, 1):
-            judge = model({x: ts[1 - half :: 2] for x, ts in by.items()}, LANG_CHARS // 2)
+            judge = model({x: ts[1 - half :: 2] for x, ts in by.items()})
             for x, ts in by.items():
                 mine = ts[half::2]
                 kept.setdefault(x, []).extend(t for t, (p, _) in zip(mine, judge.predict(list(mine))) if p == x)
         by = {x: kept[x] if 2 * len(kept[x]) >= len(ts) else ts for x, ts in by.items()}
-    return model(by, LANG_CHARS)
+    return model(by)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from documents with a language whose id's remainder of 4 is not 2: a sample by hash."""
+    """Learn from documents with a language whose id's remainder of 4 is not 2: TRAIN_DOCS of each language at most, by
+    hash of the id (null ids take no part).  Of their texts, SLICES slices spread from beginning to end are read, so long that a language
+    gives about LANG_CHARS characters; shorter texts are read whole.  Every language has its share.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (id_remainder(F.col(id_col), 4) != 2))
-    known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     least = known.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("salt")).agg(F.min("h").alias("h")).drop("salt")
-    chosen = least.join(F.broadcast(langs.select("lang")), "lang")  # MOST_LANGS * TRAIN_DOCS rows at most
-    rows = known.join(F.broadcast(chosen), ["lang", "h"]).select("lang", F.substring("t", 1, DOC_CHARS).alias("t")).distinct()
-    return fit([(r["lang"], r["t"]) for r in rows.limit(2 * MOST_LANGS * TRAIN_DOCS).toLocalIterator()])
+    # TRAIN_DOCS rows a language at most
+    chosen = least.join(least.groupBy("lang").agg(F.floor(F.lit(LANG_CHARS) / F.count("*")).alias("share")), "lang")
+    n, wide = F.char_length("t"), F.floor(F.col("share") / SLICES)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substr("t", (F.lit(1) + F.floor(i * (n - wide) / (SLICES - 1))).cast("int"), wide.cast("int"))), "\n")
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.when(n <= F.col("share"), F.col("t")).otherwise(spread)).alias("t"))
+    return fit([(r["lang"], r["t"]) for r in rows.toLocalIterator()])
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score.  Texts that are null or without letters are ``und`` with 0."""
+    """``docs`` with lang_pred and lang_score (input columns of these names are replaced).
+
+    Texts that are null or without letters are ``und`` with 0; of languages that need equally little the first by name is taken.
+    """
+    docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index(text_col)
 
@@ -246,7 +257,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), train(docs))
-    return out.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 QUERIES = {"op10_language_id": op10_language_id}
