@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import jaccard, langid, mixing, packing, quality
-from loomwork.llm.common import load
+from loomwork.llm.common import load, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,23 +28,29 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs.select(COLUMNS), model).filter(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of the whole row, so neither null nor repeated ids matter; equal rows share it."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked at 0.8 over five-word shingles, the least id stays.
+    """Of each group of documents linked at 0.8 over five-word shingles, the one with the least id stays (null ids last).
 
-    Rows that repeat an id stay once; rows without an id stay as they are.
+    Rows that share an id but not the text are documents of their own; equal rows are a group.  Texts without words
+    link with nothing and stay.
     """
-    found = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.select(COLUMNS).filter("doc_id is null"))
+    rows = keyed(docs)
+    found = jaccard.jaccard_components(rows, words=5, num=80, den=100, row_col="_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row"))
+    kept = found.filter("n_shingles > 0").groupBy("class_id").agg(first.alias("m")).select("m._row").unionByName(found.filter("n_shingles = 0").select("_row").distinct())
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    key = F.coalesce("doc_id", -F.abs(F.xxhash64("text", "source")))
-    keyed = docs.select(COLUMNS).withColumn("_key", key)
-    copies = mixing.mix(keyed, id_col="_key").groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    once = keyed.dropDuplicates(["_key"]).join(copies, "_key")
+    """Each document as often as the mix takes it: not at all, once or twice.  Equal rows are taken together."""
+    rows = keyed(docs)
+    copies = mixing.mix(rows, id_col="_row").groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    once = rows.dropDuplicates(["_row"]).join(copies, "_row")
     return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(COLUMNS)
 
 
@@ -60,9 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what lies between them is written to the folder that the cluster shares."""
     docs = load(spark, sf_dir, "documents")
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "/tmp/checkpoints"
-    home = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
