@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, load, shared_checkpoint
+from .sharding import counted_in_parts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -80,10 +81,21 @@ def _meet(level: int):
     return step
 
 
+def _copies(bag: Column) -> Column:
+    """Each element of a bag of (e, _n) so often, each time with a random number of its own."""
+
+    def again(x: Column) -> Column:
+        e = x["e"]
+        return F.transform(F.sequence(F.lit(1).cast("long"), x["_n"]), lambda i: F.struct(e["o"].alias("o"), F.xxhash64(e["u"], i).alias("u"), e["id"].alias("id"), e["w"].alias("w"), e["p"].alias("p"), e["base"].alias("base")).cast(_ELEM))
+
+    return F.flatten(F.transform(bag, again))
+
+
 def _round_level(rows: DataFrame, level: int) -> DataFrame:
-    """One level of the tree: (source, bucket, e) -> (source, bucket, carry, out)."""
+    """One level of the tree: (source, bucket, e) -> (source, bucket, carry, out); at level 0 ``e`` holds its count too."""
     start = F.struct(F.lit(None).cast(_ELEM).alias("carry"), F.array().cast("array<struct<id:bigint,w:bigint,copies:bigint>>").alias("out"))
-    bags = rows.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    bag = F.collect_list("e")
+    bags = rows.groupBy("source", "bucket").agg(F.sort_array(bag if level else _copies(bag)).alias("es"))
     return bags.select("source", "bucket", F.aggregate("es", start, _meet(level)).alias("acc")).select("source", "bucket", "acc.carry", "acc.out")
 
 
@@ -95,17 +107,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     rounded each by itself; an empty table gives no rows; other columns are not read.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RE)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("w"))
-    rows = shared_checkpoint(rows)
+    rows = shared_checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("w")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("w").alias("source_size"), F.count("*").alias("n_docs")), weights=weights, share=share, most=most)
     targets = shared_checkpoint(targets)
-    joined = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    # equal rows (id, source, words) are counted and go a few together: no id that many rows share meets in one bucket
+    joined = counted_in_parts(rows).alias("r").join(targets.alias("t"), F.col("r._row.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    u = F.xxhash64(F.lit(seed), F.col("id"))
+    u = F.xxhash64(F.lit(seed), "_row", "_part")
+    w = F.col("_row.w")
     # the long ones meet first: what is left over at the end is short more often
-    e = F.struct((-F.col("w")).alias("o"), u.alias("u"), F.col("id"), F.col("w"), (rate - F.floor(rate)).alias("p"), F.floor(rate).cast("long").alias("base"))
+    e = F.struct((-w).alias("o"), u.alias("u"), F.col("_row.id").alias("id"), w.alias("w"), (rate - F.floor(rate)).alias("p"), F.floor(rate).cast("long").alias("base"))
     buckets = F.ceil(F.col("n_docs") / BUCKET_DOCS)
-    level_rows = joined.select(F.col("r.source").alias("source"), F.pmod(F.xxhash64(u), buckets).alias("bucket"), e.cast(_ELEM).alias("e"))
+    level_rows = joined.select(F.col("r._row.source").alias("source"), F.pmod(F.xxhash64(u), buckets).alias("bucket"), F.struct(e.cast(_ELEM).alias("e"), "_n").alias("e"))
     biggest = targets.agg(F.max(F.ceil(F.col("n_docs") / BUCKET_DOCS))).first()[0] or 0
     outs, level = [], 0
     while True:
