@@ -111,12 +111,16 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Fit on labelled documents of which the id's remainder of 5 is not 0: ``rows`` at most, by hash."""
+    """Fit on labelled documents of which the id's remainder of 5 is not 0: ``rows`` at most, by hash of the id.
+
+    Null ids and labels take no part.  An id counts once: with the mean of its labels, and one of its texts.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & (id_remainder(F.col(id_col), 5) != 0)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"), F.xxhash64(id_col).alias("h"))
+    known = known.groupBy("id", "h").agg(F.avg("y").alias("y"))  # an id that is labelled twice counts once
     n = known.count()
     if n > 1.2 * rows:  # else the sort below would see far more than it keeps
         known = known.filter(F.pmod("h", F.lit(1_000_000)) < int(1_200_000 * rows / n) + 1)
-    sample = known.orderBy("h", "id", "y").limit(rows)
+    sample = known.orderBy("h", "id").limit(rows)
     chosen = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
     joined = chosen.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("doc", "y", "t")
 
@@ -124,14 +128,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("y"), pa.array([statistics(t).tolist() for t in b.column("t").to_pylist()], pa.list_(pa.float64()))], ["doc", "y", "x"])
 
-    got = sorted((r["doc"], r["y"], tuple(r["x"])) for r in joined.mapInArrow(run, f"doc {chosen.schema['doc'].dataType.simpleString()}, y double, x array<double>").toLocalIterator())
-    got = got[: 4 * rows]  # repeated rows of one id
+    kind = chosen.schema["doc"].dataType.simpleString()
+    # of documents that share an id the one with the least statistics counts, so `rows` rows come here at most
+    found = joined.mapInArrow(run, f"doc {kind}, y double, x array<double>").groupBy("doc").agg(F.min(F.struct("x", "y")).alias("m")).select("doc", "m.*")
+    got = sorted((r["doc"], r["y"], tuple(r["x"])) for r in found.toLocalIterator())
     x = np.array([r[2] for r in got]).reshape(-1, N_FEATURES)
-    return fit(x, np.array([r[1] for r in got]))
+    return fit(x, (np.array([r[1] for r in got]) > 0.5).astype(float))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``.  Null texts are scored as empty; rows and columns stay as they are."""
+    """``docs`` with ``score_col`` (an input column of that name is replaced).  Null texts are scored as empty; rows
+    and the other columns stay as they are; an empty table gives no rows."""
+    docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
@@ -147,7 +155,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], *, text_col: str = "tex
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, load(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op9_quality_classifier": op9_quality_classifier}
