@@ -64,6 +64,31 @@ def test_slices_do_not_change_ids():
     assert b"".join(e.batch(tokens.slices(text, 40))) == e.batch([text])[0]
 
 
+def test_ids_of_words_are_those_of_whole_texts():
+    e, tok, rng = tokens.encoder(tokens.default_tokenizer()), library(), random.Random(7)
+    assert e.by_word
+    letters = "abcXYZ 's'tre've   \n\t\r\x0b\x0c\x1c\x1f\x00 .,;!?0123456789éàÿſĀ'\"-_~^|=>"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choices(letters + "<|endoftext|>×÷한я\u2028\xa0\x85", k=rng.randrange(1, 40))) for _ in range(1000)]
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [memoryview(x).cast("I").tolist() for x in e.encode(texts)] == want
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "9", "'", "é", " \n", "\u3000", "한"])
+def test_long_runs(unit):
+    text = unit * (2_000_000 // len(unit)) + "end"
+    got = next(iter(tokens.encoder(tokens.default_tokenizer()).encode([text])))
+    assert memoryview(got).cast("I").tolist() == library().encode(text, add_special_tokens=False).ids
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 10)
+    e = tokens.Encoder(tokens.default_tokenizer())
+    texts = [f"word{i} other{i} " + "z" * 100 for i in range(50)]
+    assert [e.batch([t])[0] for t in texts] == tokens.Encoder(tokens.default_tokenizer()).batch(texts)
+    assert len(e.known) < 20
+
+
 def check_packing(spark, df, capacity):
     tok = library()
     got = packing.pack_documents(df, capacity=capacity).toPandas()
@@ -98,6 +123,37 @@ def test_plan_places_every_piece():
         assert sum(q for q, _ in groups) <= 1.1 * (np.arange(257) * counts).sum() / 256 + 1
 
 
+def fewest(items, capacity):
+    """The least number of sequences, by trying everything."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(room)
+            return
+        for k, r in enumerate(room):
+            if r >= items[i] and r not in room[:k]:
+                room[k] -= items[i]
+                go(i + 1, room)
+                room[k] += items[i]
+        room.append(capacity - items[i])
+        go(i + 1, room)
+        room.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_against_the_optimum():
+    rng, more = np.random.default_rng(4), 0
+    for _ in range(40):
+        items = rng.integers(1, 65, 10)
+        more += sum(q for q, _ in packing.plan(np.bincount(items, minlength=65), 64)) - fewest(items.tolist(), 64)
+    assert 0 <= more <= 2
+
+
 def test_nnls_solves_a_known_system():
     a = np.array([[1.0, 0, 1], [0, 1, 1], [1, 1, 0]])
     x = np.array([2.0, 0, 3])
@@ -159,27 +215,108 @@ def test_jaccard_awkward(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_both_halves_of_the_join(spark, monkeypatch):
+    """Many small sets over few words, so their lists are long and subsets pay, and large ones beside them."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.sample([f"w{j}" for j in range(9)], rng.choice([7, 8])))) for i in range(300)]
+    for i in range(300, 360):
+        w = [f"x{(i % 4) * 100 + j}" for j in range(60)]
+        w[rng.randrange(60)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    chosen, old = [], jaccard.boundary
+    monkeypatch.setattr(jaccard, "boundary", lambda *a: chosen.append(old(*a)) or chosen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, words=1, num=85).collect()}
+    assert got == brute_components(rows, 1, 85, 100) and chosen[0] > 0
+    for rounds, meet in ((6, 0), (0, 0)):  # every round against pivots, and none
+        monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "MEET", meet)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, words=1, num=85).collect()} == got
+
+
+def test_linking_sets_share_parts():
+    rng = np.random.default_rng(2)
+    for num, base in ((70, 12), (80, 40), (85, 300), (85, 5)):
+        sets = []
+        for _ in range(12):
+            one = rng.integers(0, 2**64, base, np.uint64)
+            for _ in range(6):  # copies with a few elements replaced, left out and added
+                k = rng.integers(0, max(2, base // 8))
+                sets.append(np.unique(np.concatenate((one[k:], rng.integers(0, 2**64, rng.integers(0, k + 1), np.uint64)))))
+        n = np.array([len(x) for x in sets])
+        keys = [[set(), set()] for _ in sets]
+        found = jaccard.part_keys(np.concatenate(sets), n, num, 100)
+        for t, (owner, key, _) in enumerate(found):
+            for o, k in zip(owner, key):
+                keys[o][t].add(int(k))
+        links = 0
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * common >= num * (n[a] + n[b] - common) and common < max(n[a], n[b]):
+                    links += 1
+                    assert any((k := len(keys[a][t] & keys[b][v])) >= found[t][2][a] and k >= found[v][2][b] for t in (0, 1) for v in (0, 1))
+        assert links > 5 or base == 5
+
+
+def test_candidates_grow_in_proportion(spark, monkeypatch):
+    seen, old = [], jaccard.prefix_keys
+    monkeypatch.setattr(jaccard, "prefix_keys", lambda m, *a: seen.append(m.count()) or old(m, *a))
+    share = []
+    for sf in ("0.01", "0.1"):
+        found = jaccard.jaccard_components(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"), words=4, num=85)
+        share.append(seen[-1] / found.filter("component_id <> doc_id").count())  # rows that have an earlier copy
+    assert share[1] <= 1.5 * share[0]
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, b), (None, "alone here by itself now"), (3, ""), (None, None)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, num=85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter([(1, 4, 1), (1, 2, 1), (2, 4, 1), (None, 2, 1), (None, 2, 1), (None, 2, None), (3, 0, 3), (None, 0, None)])
+
+
 def test_boundary_follows_cost():
-    assert jaccard.boundary({20: (1000, 3000)}, 1.0, 85, 100) < 20
-    assert jaccard.boundary({4: (1000, 1000)}, 500.0, 85, 100) >= 4
+    assert jaccard.boundary({20: 1000}, [3000] * 25, 85, 100) < 20
+    assert jaccard.boundary({13: 1000}, [500_000 - 20_000 * s for s in range(25)], 85, 100) >= 13
 
 
 def test_sharding(spark, docs):
     rows = docs.select("doc_id", "text")
-    got = sharding.shard_rows(rows, shards=8, key="doc_id").toPandas()
+    got = sharding.shard_rows(rows, shards=8).toPandas()
     assert sorted(got.doc_id) == sorted(docs.toPandas().doc_id)
     sizes = got.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s))))
     assert sizes.all() and np.ptp(got.groupby("shard").size()) <= 1
-    again = sharding.shard_rows(rows, shards=8, key="doc_id").toPandas()
+    again = sharding.shard_rows(rows, shards=8).toPandas()
     assert set(zip(got.doc_id, got.shard, got.slot)) == set(zip(again.doc_id, again.shard, again.slot))
     assert abs(np.corrcoef(got.sort_values(["slot", "shard"]).doc_id, np.arange(len(got)))[0, 1]) < 0.3
-    odd = sharding.shard_rows(awkward(spark), shards=3, key="doc_id")
+    odd = sharding.shard_rows(awkward(spark), shards=3)
     assert odd.count() == 14 and odd.columns == [*awkward(spark).columns, "shard", "slot"]
-    assert sharding.shard_rows(empty(spark), shards=3, key="doc_id").count() == 0
+    assert sharding.shard_rows(empty(spark), shards=3).count() == 0
+
+
+def test_one_key_of_many_rows(spark):
+    """20,000 rows that share a null id, half of them equal, go over all buckets, and reruns agree whatever the settings."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 10_000, "same words").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"), F.lit(9).alias("shard"), F.lit(9).alias("position"))
+    got = sharding.shard_rows(rows, shards=8)
+    assert got.columns == ["doc_id", "text", "source", "position", "shard", "slot"]
+    first = Counter(map(tuple, got.collect()))
+    bags = sharding.counted_in_parts(rows)
+    assert bags.agg(F.max("_n"), F.sum("_n")).first()[:] == (64, 20_000)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert Counter(map(tuple, sharding.shard_rows(rows.repartition(3), shards=8).collect())) == first
+        assert sharding.shuffled_positions(rows).agg(F.countDistinct("position"), F.max("position")).first()[:] == (20_000, 19_999)
+        mixed = [tuple(r) for r in mixing.mix(rows).select("size", "copies").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(mixed) == 20_000 and abs(sum(s * c for s, c in mixed) - 60_000) <= 2  # 1.5 times 40,000 words
+    assert Counter(mixed) == Counter(tuple(r) for r in mixing.mix(rows).select("size", "copies").collect())
 
 
 def test_write_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=4, key="doc_id")
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
 
@@ -236,6 +373,44 @@ def test_html_keeps_wrappers_and_siblings():
     assert html.main_text(mixed) == "\n\n".join([*body, "More", "first thing", "second", "cell", "word", "sense", "Short end"])
 
 
+def test_html_words_of_classes_and_depth():
+    ps = "".join(f"<p>Sentence {i}, with a comma, and some more words to count.</p>" for i in range(5))
+    for kept in ("side-by-side", "related", "alert-free", "notice-board-history", "shareholder", "skip-level"):
+        if kept != "related":
+            assert html.main_text(f"<article>{ps}<div class='{kept}'><p>Inner text, kept.</p></div></article>").endswith("Inner text, kept."), kept
+    for cut in ("related", "related-links", "share-buttons", "cookie-notice", "notice", "left-sidebar", "comments", "reply-form", "ad"):
+        assert not html.main_text(f"<article>{ps}<div class='{cut}'><p>Inner text, cut.</p></div></article>").endswith("cut."), cut
+    deep = "<div>" * 5000 + "<script>var x = 1;</script><p>deep, text</p>" + "</div>" * 5000
+    assert html.main_text(deep) == "deep, text"
+    assert html.main_text("<div>" * 50_000 + "<p>a, b</p>" + "</section></i>" * 50_000) == "a, b"
+
+
+def slow_article(page):
+    """What the pages of the test tables hold as article, by cutting strings: blocks between the tags of the article."""
+    import html as escapes
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->|<div class=.ad.>.*?</div>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:p|h1|h2|ul|ol|li|div|blockquote)\b[^>]*>", inner)
+    texts = [" ".join(escapes.unescape(re.sub(r"<[^>]+>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_equals_a_slow_extractor(spark):
+    got = html.op5_html_extraction(spark, DATA).toPandas().set_index("page_id").text
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").toPandas()
+    for i, page in zip(pages.page_id, pages.html):
+        assert got[i] == slow_article(page), i
+
+
+def test_html_awkward(spark):
+    rows = [(1, None, "m"), (2, "", "m"), (3, "<p>a, b</p>", "m"), (3, "<p>a, b</p>", "m"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, main_text string")
+    assert Counter(map(tuple, html.extract(df).collect())) == Counter([(1, None, ""), (2, "", ""), (3, "<p>a, b</p>", "a, b"), (3, "<p>a, b</p>", "a, b"), (None, "x", "x")])
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_html_query(spark):
     got = html.op5_html_extraction(spark, DATA).toPandas()
     assert (got.n_chars == got.text.str.len()).all() and (got.n_chars > 0).all()
@@ -257,6 +432,45 @@ def test_audio_round_trip(spark):
     assert fmt["rate"] == 16000 and len(data) == 2 * 128
 
 
+def test_audio_query_equals_brute_force(spark, local):
+    got = {r["doc_id"]: r for r in audio.op7_media_audio(spark, DATA).collect()}
+    assert len(got) == len(local)
+    for i, t in list(zip(local.doc_id, local.text))[:40]:
+        raw = (t or "").encode()
+        pay = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = audio.write_wav(pay)
+        pcm = audio.MULAW_LINEAR[np.frombuffer(pay, np.uint8)].astype(float)
+        up = np.rint(np.interp(np.arange(2 * len(pcm)) / 2, np.arange(len(pcm)), pcm)).astype("<i2")
+        x = up.astype(np.int64)
+        feature = f"rate=16000;n={len(up)};peak={abs(x).max()};rms={(int((x * x).sum()) / len(up)) ** 0.5:.3f};zcr={int(((x[1:] < 0) != (x[:-1] < 0)).sum()) / len(up):.5f}"
+        want = (len(media), hashlib.sha256(media).hexdigest(), feature, 2 * len(up), hashlib.sha256(up.tobytes()).hexdigest())
+        assert tuple(got[i][c] for c in ("media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")) == want
+
+
+def test_resampling_in_slices(monkeypatch):
+    fmt = {"codec": audio.MULAW, "rate": 8000, "block": 1, "bits": 8}
+    data = memoryview(np.random.default_rng(1).integers(0, 256, 10_007, np.uint8).tobytes())
+    for to in (16_000, 11_025, 4000, 8000):
+        whole = np.concatenate(list(audio.resampled(fmt, data, to)))
+        pcm = audio.MULAW_LINEAR[np.frombuffer(data, np.uint8)].astype(float)
+        exact = np.interp(np.arange(len(whole)) * (8000 / to), np.arange(len(pcm)), pcm)
+        assert np.abs(whole - exact).max() <= 0.51
+        monkeypatch.setattr(audio, "FEATURE_SAMPLES", 97)
+        assert (np.concatenate(list(audio.resampled(fmt, data, to))) == whole).all()
+        monkeypatch.undo()
+
+
+def test_long_audio_takes_little_memory():
+    import tracemalloc
+
+    data = memoryview(bytes(24 << 20))
+    tracemalloc.start()
+    n = audio.pcm_digest({"codec": audio.MULAW, "rate": 8000, "block": 1, "bits": 8}, data, 16_000)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4 * len(data) and peak < 200 << 20
+
+
 def test_audio_codecs():
     assert [int(audio.MULAW_LINEAR[c]) for c in (0x00, 0x7F, 0x80, 0xFF)] == [-32124, 0, 32124, 0]
     assert [int(audio.ALAW_LINEAR[c]) for c in (0x55, 0xD5, 0x2A, 0xAA)] == [-8, 8, -32256, 32256]
@@ -290,6 +504,77 @@ def test_fingerprints(spark, docs, local):
     assert fingerprint.likeness(b"", b"") == 1.0 and fingerprint.likeness(b"", fingerprint.fingerprint("a b")) == 0.0
 
 
+def brute_neighbours(rows):
+    """(doc_id, text, next text) by the order that the query states."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = sorted(df.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"], r["text"]))
+    return [(r["doc_id"], r["text"], order[(i + 1) % len(order)]["text"]) for i, r in enumerate(order)]
+
+
+@pytest.mark.parametrize("kind", ["awkward", "one", "none", "same id"])
+def test_fingerprint_query_on_awkward_tables(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(fingerprint, "STRETCH_DOCS", 4)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    some = lambda: " ".join(rng.choices(words, k=rng.randrange(0, 30)))
+    rows = {"one": [(5, "only this one here, long enough")], "none": [], "same id": [(7, some()) for _ in range(60)] + [(8, "b"), (6, None)]}.get(kind)
+    if rows is None:
+        rows = [(i // 2, some()) for i in range(60)] + [(None, some()) for _ in range(40)] + [(3, None), (3, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op8_fingerprints(spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, a, b in brute_neighbours(rows) if rows else []:
+        e = fingerprint.edited(a, b)
+        x, y, z = map(fingerprint.fingerprint, (a, e, b))
+        want[(i, len(a), hashlib.sha256(e.encode()).hexdigest(), x.hex(), y.hex(), fingerprint.likeness(x, y), fingerprint.likeness(x, z))] += 1
+    assert Counter(map(tuple, got)) == want
+
+
+def test_trees_equal_a_slow_walk_and_search():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5)).round(1)
+    y = (x[:, 1] + x[:, 3] ** 2 + rng.normal(size=400) > 1).astype(float)
+    model = quality.fit(x, y)
+    assert len(model["leaf"]) == quality.TREES
+
+    def walk(row):
+        total = float(model["base"])
+        for feature, threshold, leaf in zip(model["feature"], model["threshold"], model["leaf"]):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(quality.predict(model, x), [walk(r) for r in x])
+    # the first split is the best of all cuts at the edges of the bins
+    p = 1 / (1 + np.exp(-float(model["base"])))
+    g, h = p - y, np.full(400, p * (1 - p))
+    best = (-1.0, 0, 0.0)
+    for f in range(5):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, f] <= cut
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + quality.LAMBDA) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.LAMBDA)
+                best = max(best, (gain, -f, -cut))
+    assert (model["feature"][0, 0], model["threshold"][0, 0]) == (-best[1], -best[2])
+    assert ((quality.predict(model, x) > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_quality_and_language_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(i % 40, "some plain words, and more of them. " * (i % 7 + 1), "en", "s", 1) for i in range(80)] + [(None, "no id", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (quality.op9_quality_classifier, langid.op10_language_id):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == 81 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in got)
+    twice = langid.predict(spark.createDataFrame([("a", 1.0)], "text string, lang_score double"), langid.Model({}))
+    assert twice.columns == ["text", "lang_pred", "lang_score"] and twice.first()[:] == ("a", "und", 0.0)
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -298,7 +583,7 @@ def test_quality(spark, docs):
     good, bad = held[held.quality == 1].score.to_numpy(), held[held.quality == 0].score.to_numpy()
     assert np.mean([(good > b).mean() for b in bad]) > 0.95
     model = quality.train(big, labels)
-    odd = quality.score(awkward(spark).drop("score"), model).collect()
+    odd = quality.score(awkward(spark), model).collect()
     assert len(odd) == 14 and all(0 <= r["score"] <= 1 for r in odd)
     none = quality.train(empty(spark), labels.limit(0))
     assert quality.score(docs.select("doc_id", "text"), none).count() == docs.count()
@@ -357,6 +642,32 @@ def test_large_alphabets_give_the_same_phrases(monkeypatch):
     assert [g[0] for g in dense.predict(["“—”", "\u0301\ufe0f"])] == ["und", "und"]
 
 
+def test_every_language_is_learned_from_whole_texts(spark):
+    """300 languages; the telling words stand at the end of long texts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(9)
+    own = {f"l{i:03d}": ["".join(rng.choices(letters, k=6)) for _ in range(8)] for i in range(300)}
+    # ids whose remainder is 2 are left out of training
+    rows = [(20 * i + k, "start of all texts " * 20 + " ".join(rng.choices(ws, k=120)), x) for i, (x, ws) in enumerate(own.items()) for k in range(6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+    few = list(own)[::30]
+    got = model.predict([" ".join(rng.choices(own[x], k=40)) for x in few])
+    assert np.mean([g == x for (g, _), x in zip(got, few)]) > 0.9
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, b), (None, "alone here by itself now"), (3, ""), (4, ""), (1, a)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, df, DATA).collect())
+    assert got == Counter([(1, a), (1, b), (None, "alone here by itself now"), (3, ""), (4, "")])
+    mixed = p.mixture(spark, df, DATA).collect()
+    assert mixed and {(r["doc_id"], r["text"]) for r in mixed} <= set(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -367,11 +678,15 @@ def test_pipeline(spark):
     brute = brute_components([(r["doc_id"], r["text"]) for r in source.collect()], 5, 80, 100)
     assert sorted(kept.doc_id) == sorted(i for i, (_, c) in brute.items() if c == i) and list(kept.columns) == p.COLUMNS
     mixed = p.mixture(spark, source, DATA).toPandas()
-    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(source).collect()}
-    assert Counter(mixed.doc_id) == Counter({i: n for i, n in taken.items() if n})
+    ids = {r["_row"]: r["doc_id"] for r in p.keyed(source).collect()}
+    taken = {ids[r["_row"]]: r["copies"] for r in mixing.mix(p.keyed(source), id_col="_row").collect()}
+    assert len(ids) == source.count() and Counter(mixed.doc_id) == Counter({i: n for i, n in taken.items() if n})
     odd = awkward(spark)
-    for _, stage in p.STAGES:
-        assert stage(spark, odd, DATA).count() >= 0
+    known = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, odd, DATA)
+        assert got.columns == p.COLUMNS and {(r["doc_id"], r["text"]) for r in got.collect()} <= known, name
+    assert p.pack(spark, odd, DATA).count() >= 14
     groups = defaultdict(int)
     for r in out.itertuples():
         groups[r.sequence_id] += r.length
