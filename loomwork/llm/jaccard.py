@@ -521,8 +521,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     if links is None:
         links = classes.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
     roots = links.select(F.col("a").alias("sid"), F.col("b").alias("root"))
-    rooted = classes.select("sid", "least").join(roots, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    ends = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sid", "root", "component")
+    linked = classes.select("sid", "least").join(roots.unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct(), "sid")
+    # written first, so the join below deals both sides anew and a large component can be split
+    ends = shared_checkpoint(linked.groupBy("root").agg(F.min("least").alias("component")))
+    linked = linked.select("sid", "root").join(ends, "root")
+    ends = classes.select("sid", "least").join(linked, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("component", "least").alias("component"))
     full = marked.filter("n is not null").join(ends, "sid", "left")
     out = full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("root").alias("class_id"), "row")
     return out.select("doc_id", "n_shingles", "component_id", "class_id", F.col("row").alias(row_col)) if row_col else out.drop("class_id", "row")
