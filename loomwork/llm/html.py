@@ -8,6 +8,7 @@ siblings that are not mostly links or, beside an article, score well are kept; m
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,10 +25,11 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 ENDS_P = BLOCK - {"body", "html"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html main blockquote".split())
-JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|sidebar|side|widget|related|recommend\w*|menu|nav|navbar|navigation|topbar|masthead|footer|toolbar|pagination|pager|replies|reply|respond|discussion|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of classes and ids: of parts that are no article wherever the word stands, and those that say so only alone or before a word of place.
+SURE = "ads?|advert\\w*|advertisement|sponsor\\w*|promo\\w*|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|sidebar|menu|nav|navbar|navigation|topbar|masthead|footer|toolbar|pagination|pager"
+UNSURE = "notice|alert|banner|overlay|share|sharing|social|side|widget|related|recommend\\w*|replies|reply|respond|discussion|skip"
+PLACE = "area|articles?|bar|block|box|btn|buttons?|col|column|container|content|form|icons?|items?|links?|list|panel|posts?|section|stories|text|title|to|tools?|widget|wrap|wrapper"
+JUNK = re.compile(rf"(?:^|[\s_-])(?:{SURE})(?:$|[\s_-])|(?:^|\s)(?:[a-z]+[_-])?(?:{UNSURE})(?:$|\s|[_-](?:{PLACE})(?:$|[\s_-]))", re.I)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 KEEP = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog toolbar".split())
@@ -35,22 +37,29 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "marked", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "junk", "marked", "points", "chars", "linked", "open_p", "in_article")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool, marked: bool = False):
         self.tag, self.parent, self.junk, self.marked = tag, parent, junk, marked
         self.kids: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
+        #: The <p> that a block's opening tag would end here, and whether an article or main is around.
+        self.open_p = self if tag == "p" else None if parent is None or tag in SCOPE else parent.open_p
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
 
 class Tree(HTMLParser):
-    """A tolerant tree: unclosed elements end where their parents or the next of their kind do."""
+    """A tolerant tree: unclosed elements end where their parents or the next of their kind do.
+
+    Pages may be nested as deeply as they like: nothing here or below recurses, and end tags without an open element
+    cost nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
-        self.depth = 0
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -58,51 +67,53 @@ class Tree(HTMLParser):
         if tag in VOID:
             self.at.kids.append(" " if tag != "hr" else Node("hr", self.at, False))
             return
-        if tag in ENDS_P:
-            self.end_open({"p"}, SCOPE)
+        if tag in ENDS_P and self.at.open_p is not None:
+            self.end(self.at.open_p)
         if tag in CLOSES:
             self.end_open(CLOSES[tag], SCOPE - {"div"} if tag in ("td", "th", "tr") else SCOPE)
         a = {k: v or "" for k, v in attrs}
         marks = f"{a.get('class', '')} {a.get('id', '')}"
-        header = tag == "header" and not self.inside("article", "main")
+        header = tag == "header" and not self.at.in_article
         junk = tag in DROP or header or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower()
         marked = tag not in KEEP and JUNK.search(marks) is not None
-        marked = marked or (tag not in KEEP and PAGE_HEADER.search(marks) is not None and not self.inside("article", "main"))
+        marked = marked or (tag not in KEEP and PAGE_HEADER.search(marks) is not None and not self.at.in_article)
         node = Node(tag, self.at, junk or marked, marked and not junk)
         self.at.kids.append(node)
-        if self.depth < 2000:  # deeper elements become siblings, so walks stay shallow
-            self.at, self.depth = node, self.depth + 1
+        self.at = node
+        self.open[tag] += 1
 
-    def inside(self, *tags: str) -> bool:
-        n = self.at
-        while n is not None:
-            if n.tag in tags:
-                return True
-            n = n.parent
-        return False
+    def end(self, node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def end_open(self, tags: set[str], scope: frozenset[str]) -> None:
-        n, up = self.at, 0
+        if not any(self.open[t] for t in tags):
+            return
+        n = self.at
         while n is not None and n.tag not in tags:
             if n.tag in scope:
                 return
-            n, up = n.parent, up + 1
+            n = n.parent
         if n is not None and n.parent is not None:
-            self.at, self.depth = n.parent, self.depth - up - 1
+            self.end(n)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in ("html", "body") or not self.open[tag]:
             return
-        n, up = self.at, 0
+        n = self.at
         while n is not None and n.tag != tag:
             if tag not in BLOCK and n.tag in BLOCK:
                 return  # an inline end tag does not end a block
-            n, up = n.parent, up + 1
+            n = n.parent
         if n is not None and n.parent is not None:
-            self.at, self.depth = n.parent, self.depth - up - 1
+            self.end(n)
 
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
@@ -186,29 +197,34 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     free_wrappers(tree.root)
-    scored: list[Node] = []
+    found = False
     for owner, text, linked in blocks(tree.root):
         n = owner
         while n.tag not in BLOCK and n.parent is not None:
             n = n.parent
-        value, share = points(text), 1.0
-        first = n.parent if n.tag in ("p", "pre", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt", "figcaption") and n.parent is not None else n
-        up: Node | None = first
-        while up is not None:
-            if up.points == 0:
-                scored.append(up)
-            up.points += value * share
-            up.chars += len(text)
-            up.linked += min(linked, len(text))
-            share /= 2
-            up = up.parent
-    if not scored:
+        if n.tag in ("p", "pre", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt", "figcaption") and n.parent is not None:
+            n = n.parent
+        n.points += points(text)
+        n.chars += len(text)
+        n.linked += min(linked, len(text))
+        found = True
+    if not found:
         return ""
+    scored, walk = [], [tree.root]
+    while walk:
+        n = walk.pop()
+        scored.append(n)
+        walk += [k for k in reversed(n.kids) if isinstance(k, Node) and not k.junk]
+    for n in reversed(scored):  # each element after what it holds: half of its points go up
+        if n.parent is not None:
+            n.parent.points += n.points / 2
+            n.parent.chars += n.chars
+            n.parent.linked += n.linked
 
     def worth(n: Node) -> float:
         return n.points * (1 - n.linked / max(n.chars, 1))
 
-    best = max(scored, key=worth)
+    best = max(scored, key=worth)  # of equals the one that the walk met first
     top = worth(best)
     n: Node | None = best
     while n is not None:
@@ -233,9 +249,14 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
-    """``pages`` with ``text_col``.  Null and empty pages, and pages without text, give an empty string."""
+    """``pages`` with ``text_col`` (an input column of that name is replaced).
+
+    Null and empty pages, and pages without text, give an empty string; repeated rows give repeated results, an
+    empty table none; pages may be of any length and depth.
+    """
     from pyspark.sql import types as T
 
+    pages = pages.drop(text_col)
     schema = T.StructType([*pages.schema.fields, T.StructField(text_col, T.StringType())])
     at = pages.columns.index(html_col)
 
