@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, shared_checkpoint
+from .common import few, load, shared_checkpoint
 
 PIECE_ENDS, WORD_GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 MAX_WORDS, MIN_COUNT, TOP, HELD_PERCENT = 5, 100, 2000, 100
@@ -88,8 +88,7 @@ def scored(counts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("ws", 1, F.col("k")), " ").alias("head"), F.array_join(F.slice("ws", F.col("k") + 1, F.size("ws")), " ").alias("tail"))
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
-    few = sizes.count() <= BROADCAST_LANGS
-    cuts = cuts.join(F.broadcast(sizes) if few else sizes, "lang")
+    cuts = cuts.join(few(sizes, BROADCAST_LANGS), "lang")
     score = F.expr("{a} * {n} * 1000BD div ({l} * {r})".format(**{c: f"cast({c} as decimal(17,0))" for c in "alrn"}))
     best = F.min(F.struct(score.alias("score"), "k", "l", "r"))
     return cuts.groupBy("lang", "phrase", "a", "n").agg(best.alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")

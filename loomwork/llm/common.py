@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -45,3 +46,8 @@ def release(df: DataFrame) -> None:
     if file.isDefined():
         path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which is counted; else as it is, for a join by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
