@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{os.getpid()}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that a query writes and reads again; it goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _gone_at_end(spark, folder)
+    return folder
+
+
+def _gone_at_end(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder, which outlive an executor."""
     sc = df.sparkSession.sparkContext
