@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .quality import id_remainder
 #: Bounds of the training sample of each language: documents, characters that slices spread over their whole texts
 #: give in all, and slices of a document.
 TRAIN_DOCS, LANG_CHARS, SLICES = 96, 24_576, 4
+#: So many languages are learned at most, those of the most training documents.
+MOST_LANGS = 2000
 #: Phrases do not cross the ends of segments of so many symbols, so that long texts can be parsed side by side.
 SEGMENT, BLOCK_SEGMENTS = 4096, 4096
 #: If the automata of all languages have more cells (states by letters), they are held as sorted keys in place of tables.
@@ -100,21 +102,23 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """The automaton of one text; its columns are the symbols that the text has, and 0 for all others."""
 
-    def __init__(self, codes: np.ndarray, symbols: int, languages: int = 1):
+    def __init__(self, codes: np.ndarray, symbols: int, languages: int, dense_cells: int):
         own = np.unique(codes)
         self.width = len(own) + 1
         self.column = np.zeros(symbols + 1, np.int32)  # the last for no symbol
         self.column[own] = np.arange(1, self.width)
         nxt = suffix_automaton(self.column[codes].tolist())
-        fresh = np.zeros(self.width, np.int32)
+        #: Where documents begin and what a lacking symbol leads to: whatever follows starts a phrase.
+        self.closed = len(nxt)
+        fresh = np.full(self.width, self.closed, np.int32)
         for c, s in nxt[0].items():
             fresh[c] = s
         self.ended = ~fresh
         keys = np.array([s * self.width + c for s, row in enumerate(nxt) for c in row], np.int64)
         ends = np.array([t for row in nxt for t in row.values()], np.int32)
         self.table = None
-        if len(nxt) * self.width * languages <= DENSE_CELLS:
-            self.table = np.tile(self.ended, len(nxt))
+        if (self.closed + 1) * self.width * languages <= dense_cells:
+            self.table = np.tile(self.ended, self.closed + 1)
             self.table[keys] = ends
         else:
             order = np.argsort(keys)
@@ -129,12 +133,12 @@ class Parser:
         return np.where(self.keys[at] == key, self.ends[at], self.ended[column])
 
 
-@cache
-def _built(texts: tuple[tuple[str, str], ...]) -> tuple[Alphabet, list[Parser], np.ndarray]:
-    """Made once in a worker, however many tasks it runs."""
+@lru_cache(maxsize=1)
+def _built(texts: tuple[tuple[str, str], ...], dense_cells: int) -> tuple[Alphabet, list[Parser], np.ndarray]:
+    """Made once in a worker, however many tasks it runs; only the last one is kept."""
     alphabet = Alphabet([t for _, t in texts])
     codes = [alphabet.codes(t) for _, t in texts]
-    return alphabet, [Parser(c, alphabet.size, len(texts)) for c in codes], np.array([np.log2(max(len(c), 2)) for c in codes])
+    return alphabet, [Parser(c, alphabet.size, len(texts), dense_cells) for c in codes], np.array([np.log2(max(len(c), 2)) for c in codes])
 
 
 class Model:
@@ -151,7 +155,7 @@ class Model:
         self.__init__(state["texts"])
 
     def build(self) -> None:
-        self.alphabet, self.parsers, self.weight = _built(tuple(self.texts.items()))
+        self.alphabet, self.parsers, self.weight = _built(tuple(self.texts.items()), DENSE_CELLS)
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """phrases[doc, lang]."""
@@ -173,7 +177,7 @@ class Model:
             live = (steps != pad).sum(1)
             for k, parser in enumerate(self.parsers):
                 columns = parser.column[steps]
-                state, count = np.zeros(len(part), np.int32), np.ones(len(part), np.int32)
+                state, count = np.full(len(part), parser.closed, np.int32), np.zeros(len(part), np.int32)
                 for row, n in zip(columns, live):
                     if n == 0:
                         break
@@ -181,7 +185,6 @@ class Model:
                     ended = t >> 31
                     count[:n] -= ended
                     state[:n] = t ^ ended
-                count[live[0] :] = 0
                 np.add.at(out[:, k], owner[lo : lo + BLOCK_SEGMENTS][order], count)
         return out
 
@@ -222,12 +225,13 @@ def fit(sample: list[tuple[str, str]]) -> Model:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from documents with a language whose id's remainder of 4 is not 2: TRAIN_DOCS of each language at most, by
     hash of the id (null ids take no part).  Of their texts, SLICES slices spread from beginning to end are read, so long that a language
-    gives about LANG_CHARS characters; shorter texts are read whole.  Every language has its share.
+    gives about LANG_CHARS characters; shorter texts are read whole.  Every language has its share, up to MOST_LANGS languages.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (id_remainder(F.col(id_col), 4) != 2))
     known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     least = known.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("salt")).agg(F.min("h").alias("h")).drop("salt")
     # TRAIN_DOCS rows a language at most
+    least = least.join(F.broadcast(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")), "lang")
     chosen = least.join(least.groupBy("lang").agg(F.floor(F.lit(LANG_CHARS) / F.count("*")).alias("share")), "lang")
     n, wide = F.char_length("t"), F.floor(F.col("share") / SLICES)
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substr("t", (F.lit(1) + F.floor(i * (n - wide) / (SLICES - 1))).cast("int"), wide.cast("int"))), "\n")

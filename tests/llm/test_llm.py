@@ -598,21 +598,33 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(awkward(spark), langid.train(empty(spark))).collect()} == {"und"}
 
 
-def test_cross_parsing_equals_brute_force():
-    text = "the cat sat on the mat and the dog sat on the log"
-    model = langid.Model({"x": text, "y": "le chat est sur la table et le chien aussi"})
+def slow_phrases(text, known):
+    """Longest matches, one after the other; a symbol that is not known is a phrase of its own."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in known:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 0])
+def test_cross_parsing_equals_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+    rng = random.Random(cells)
+    words = {"x": "the cat sat on mat and dog log", "y": "le chat est sur la table et chien aussi", "z": "kot je na stole a pes také"}
+    texts = {k: " ".join(rng.choices(w.split(), k=150)) for k, w in words.items()}
+    model = langid.Model(texts)
     model.build()
-    for probe in ("the cat and the dog", "le chien", "zzz the", "a"):
-        codes = model.alphabet.codes(probe)
-        for k, known in enumerate(model.texts.values()):
-            have = "".join(chr(200 + c) for c in model.alphabet.codes(known))
-            s, n, at = "".join(chr(200 + c) for c in codes), 0, 0
-            while at < len(s):
-                end = at + 1
-                while end < len(s) and s[at : end + 1] in have:
-                    end += 1
-                n, at = n + 1, end
-            assert abs(model.phrases([codes])[0, k] - n) <= 1
+    assert (model.parsers[0].table is None) == (cells == 0)
+    probes = ["le d chat d sur d la d table d le d chien", "chatdchatd" * 9, "zzz the", "a", "", "?", "ж", "жж the ж"]
+    probes += ["".join(rng.choices("abcdefghijlmnotuwxyzéж  .", k=rng.randrange(300))) for _ in range(150)]
+    probes += [" ".join(rng.choices(" ".join(words.values()).split(), k=rng.randrange(80))) for _ in range(150)]
+    codes = [model.alphabet.codes(t) for t in probes]
+    known = ["".join(chr(200 + c) for c in model.alphabet.codes(t)) for t in model.texts.values()]
+    want = [[slow_phrases("".join(chr(200 + x) for x in c), k) for k in known] for c in codes]
+    assert model.phrases(codes).tolist() == want
 
 
 def test_language_tells_scripts_apart():
