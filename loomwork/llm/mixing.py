@@ -5,6 +5,8 @@ is rounded so that a source's words stay at its target.  Two documents with frac
 words) moves from one to the other, in a random direction whose odds keep the expectations, until one
 fraction is 0 or 1; the other document goes on.  Each bucket of a source ends with one fraction at most;
 those residuals meet in ever fewer buckets, a reduction tree, until one is left and is rounded to the nearest.
+The words by which that misses are made good by documents of the same source that were rounded up or down: a few of each
+class of lengths are drawn, and of them the longest that fit change sides, so the mix misses by half a short document.
 No row of a bucket depends on another bucket, so a source that holds most rows is spread like any other.
 """
 
@@ -19,7 +21,10 @@ from .sharding import counted_in_parts
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BUCKET_DOCS, FAN_IN = 128, 64
+#: Documents of each class of lengths (powers of two) that may make good what rounding the last fraction misses.
+MENDERS = 8
 _ELEM = "struct<o:bigint,u:bigint,id:bigint,w:bigint,p:double,base:bigint>"
+_DONE = "array<struct<u:bigint,id:bigint,w:bigint,base:bigint,bit:bigint>>"
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -63,7 +68,7 @@ def _meet(level: int):
         moved = F.when(rise, up).otherwise(-down)
 
         def done(x: Column, bit: Column) -> Column:
-            return F.struct(x["id"].alias("id"), x["w"].alias("w"), (x["base"] + bit).alias("copies"))
+            return F.struct(x["u"].alias("u"), x["id"].alias("id"), x["w"].alias("w"), x["base"].alias("base"), bit.alias("bit"))
 
         def with_p(x: Column, p: Column) -> Column:
             return F.struct(x["o"].alias("o"), x["u"].alias("u"), x["id"].alias("id"), x["w"].alias("w"), p.alias("p"), x["base"].alias("base"))
@@ -71,9 +76,9 @@ def _meet(level: int):
         c_done, e_done = c_full | c_void, e_full | e_void
         empty = F.lit(None).cast(_ELEM)
         left = F.when(~c_done, with_p(c, c["p"] + moved / c["w"])).when(~e_done, with_p(e, e["p"] - moved / e["w"])).otherwise(empty)
-        out = F.concat(F.when(c_done, F.array(done(c, c_full.cast("long")))).otherwise(F.array().cast("array<struct<id:bigint,w:bigint,copies:bigint>>")), F.when(e_done, F.array(done(e, e_full.cast("long")))).otherwise(F.array().cast("array<struct<id:bigint,w:bigint,copies:bigint>>")))
+        out = F.concat(F.when(c_done, F.array(done(c, c_full.cast("long")))).otherwise(F.array().cast(_DONE)), F.when(e_done, F.array(done(e, e_full.cast("long")))).otherwise(F.array().cast(_DONE)))
         return (
-            F.when(settled, F.struct(c.alias("carry"), F.concat(acc["out"], F.array(done(e, F.lit(0)))).alias("out")))
+            F.when(settled, F.struct(c.alias("carry"), F.concat(acc["out"], F.array(done(e, F.lit(0).cast("long")))).alias("out")))
             .when(none, F.struct(e.alias("carry"), acc["out"].alias("out")))
             .otherwise(F.struct(left.alias("carry"), F.concat(acc["out"], out).alias("out")))
         )
@@ -93,12 +98,54 @@ def _copies(bag: Column) -> Column:
 
 def _round_level(rows: DataFrame, level: int) -> DataFrame:
     """One level of the tree: (source, bucket, e) -> (source, bucket, carry, out); at level 0 ``e`` holds its count too."""
-    start = F.struct(F.lit(None).cast(_ELEM).alias("carry"), F.array().cast("array<struct<id:bigint,w:bigint,copies:bigint>>").alias("out"))
+    start = F.struct(F.lit(None).cast(_ELEM).alias("carry"), F.array().cast(_DONE).alias("out"))
     bag = F.collect_list("e")
     bags = rows.groupBy("source", "bucket").agg(F.sort_array(bag if level else _copies(bag)).alias("es"))
     return bags.select("source", "bucket", F.aggregate("es", start, _meet(level)).alias("acc")).select("source", "bucket", "acc.carry", "acc.out")
 
 
+def _menders(settled: DataFrame, last: DataFrame) -> DataFrame:
+    """(source, u, turn): the documents that change sides, and by how much their copies change.
+
+    ``last`` has (source, id, w, u, p) of each source's last fraction.  From the longest to the shortest, a document
+    changes sides if what is missed gets less by that.  At most MENDERS documents of a side and class of lengths
+    are looked at, drawn by hash.
+    """
+    bit = (F.col("p") >= 0.5).cast("long")
+    missed = last.select("source", ((bit - F.col("p")) * F.col("w")).alias("missed"))
+    able = settled.alias("s").join(F.broadcast(missed).alias("m"), F.col("s.source").eqNullSafe(F.col("m.source")) & (F.col("s.w") > 0))
+    drawn = able.groupBy(F.col("s.source").alias("source"), F.floor(F.log2("s.w")).alias("class"), "s.bit", F.pmod(F.xxhash64("s.u"), F.lit(MENDERS)).alias("draw"))
+    drawn = drawn.agg(F.min(F.struct(F.xxhash64("s.u", F.lit(1)).alias("h"), F.col("s.u").alias("u"), F.col("s.w").alias("w"))).alias("d"), F.first("missed").alias("missed"))
+    bags = drawn.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("d.w")).alias("o"), "d.u", (1 - 2 * F.col("bit")).alias("turn")))).alias("es"), F.first("missed").alias("missed"))
+    start = F.struct(F.col("missed"), F.array().cast("array<struct<u:bigint,turn:bigint>>").alias("turned"))
+
+    def step(acc: Column, e: Column) -> Column:
+        after = acc["missed"] - e["o"] * e["turn"]
+        return F.when((F.abs(after) < F.abs(acc["missed"])) & (after * acc["missed"] >= 0), F.struct(after.alias("missed"), F.concat(acc["turned"], F.array(F.struct(e["u"].alias("u"), e["turn"].alias("turn")))).alias("turned"))).otherwise(acc)
+
+    greedy = bags.select("source", "es", F.aggregate("es", start, step).alias("a"))
+    rest = greedy.select("source", "a.*", F.filter("es", lambda e: ~F.array_contains(F.transform("a.turned", lambda t: t["u"]), e["u"])).alias("es"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("d"), F.array().cast("array<struct<u:bigint,turn:bigint>>").alias("t")))
+
+    def some(side: Column, two: bool) -> Column:
+        """No document of a side, one, or two, with the words that they bring."""
+        one = F.transform(side, lambda e: F.struct((-e["o"] * e["turn"]).alias("d"), F.array(F.struct(e["u"].alias("u"), e["turn"].alias("turn"))).alias("t")))
+        if not two:
+            return F.concat(none, one)
+        pairs = F.transform(one, lambda x, i: F.transform(F.slice(one, i + 2, F.size(one)), lambda y: F.struct((x["d"] + y["d"]).alias("d"), F.concat(x["t"], y["t"]).alias("t"))))
+        return F.concat(none, one, F.flatten(pairs))
+
+    downs, ups = F.filter("es", lambda e: e["turn"] < 0), F.filter("es", lambda e: e["turn"] > 0)
+
+    def nearest(x: Column, y: Column) -> Column:
+        return F.array_min(F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: F.struct(F.abs(F.col("missed") + a["d"] + b["d"]).alias("left"), a["t"].alias("x"), b["t"].alias("y"))))))
+
+    sides = rest.select("source", "missed", "turned", downs.alias("downs"), ups.alias("ups"))
+    sides = sides.select("source", "missed", "turned", some(F.col("downs"), False).alias("d1"), some(F.col("downs"), True).alias("d2"), some(F.col("ups"), False).alias("u1"), some(F.col("ups"), True).alias("u2"))
+    best = sides.select("source", "turned", F.least(nearest(F.col("d2"), F.col("u1")), nearest(F.col("d1"), F.col("u2"))).alias("b"))
+    return best.select("source", F.explode(F.concat("turned", "b.x", "b.y")).alias("t")).select("source", "t.*")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 4) -> DataFrame:
     """Copies of each document: id, source, size, source_size, target, copies.
 
@@ -128,15 +175,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         outs.append(level_rows.select("source", F.explode("out").alias("d")).select("source", "d.*"))
         carried = level_rows.filter("carry is not null")
         if biggest <= 1:
-            last = F.col("carry.base") + (F.col("carry.p") >= 0.5).cast("long")
-            outs.append(carried.select("source", F.col("carry.id").alias("id"), F.col("carry.w").alias("w"), last.alias("copies")))
             break
         level_rows = carried.select("source", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), F.col("carry").alias("e"))
         biggest, level = -(-biggest // FAN_IN), level + 1
+    last = shared_checkpoint(carried.select("source", "carry.*"))  # one row a source at most
+    outs.append(last.select("source", "u", "id", "w", "base", (F.col("p") >= 0.5).cast("long").alias("bit")))
     settled = outs[0]
     for o in outs[1:]:
         settled = settled.unionByName(o)
-    full = settled.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+    turned = _menders(settled, last).alias("m")  # a hundred rows a source at most
+    mended = settled.alias("s").join(F.broadcast(turned), F.col("s.source").eqNullSafe(F.col("m.source")) & (F.col("s.u") == F.col("m.u")), "left")
+    copies = (F.col("base") + F.col("bit") + F.coalesce("turn", F.lit(0))).alias("copies")
+    full = mended.select("s.source", "id", "w", copies).alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     return full.select(F.col("id").alias(id_col), F.col("s.source").alias("source"), F.col("w").alias("size"), "source_size", "target", "copies")
 
 
