@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from .common import load
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of the main text.
 DROP = frozenset("script style noscript template iframe object embed svg canvas math audio video form button input select option textarea label fieldset dialog menu nav footer aside head title".split())
+#: Of those, the ones that some pages are wrapped in.
+WRAPS = frozenset("form fieldset aside dialog".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag that ends an open <p>, and which open elements another one of their kind ends.
 ENDS_P = BLOCK - {"body", "html"}
@@ -74,8 +76,9 @@ class Tree(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         marks = f"{a.get('class', '')} {a.get('id', '')}"
         header = tag == "header" and not self.at.in_article
-        junk = tag in DROP or header or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower()
-        marked = tag not in KEEP and JUNK.search(marks) is not None
+        junk = (tag in DROP and tag not in WRAPS) or header
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        marked = tag in WRAPS or hidden or a.get("role", "").lower() in ROLES or (tag not in KEEP and JUNK.search(marks) is not None)
         marked = marked or (tag not in KEEP and PAGE_HEADER.search(marks) is not None and not self.at.in_article)
         node = Node(tag, self.at, junk or marked, marked and not junk)
         self.at.kids.append(node)
@@ -155,13 +158,17 @@ def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
         yield owner, t, linked
 
 
+def weigh(chars: int, commas: int) -> float:
+    return 1.0 + commas + min(chars // 100, 3)
+
+
 def points(text: str) -> float:
-    return 1.0 + text.count(",") + min(len(text) // 100, 3)
+    return weigh(len(text), text.count(","))
 
 
 def free_wrappers(root: Node) -> None:
-    """Elements cut only for their class or id are kept after all if they wrap the page: where nothing outside
-    them is an article or main and they hold one, or else more than three quarters of the paragraphs' points."""
+    """Elements cut for their class, id, role or style, and forms and the like, are kept after all if they wrap the page: where nothing outside
+    them is an article or main and they hold one, or else more than three quarters of the points."""
     walk, order = [root], []
     while walk:
         n = walk.pop()
@@ -170,10 +177,17 @@ def free_wrappers(root: Node) -> None:
     if not any(n.marked for n in order):
         return
     inner: dict[Node, tuple[float, bool]] = {}
+    bare: dict[Node, tuple[int, int]] = {}  # characters and commas that belong to the next block around
     for n in reversed(order):  # each after what it holds
+        own = [(len(k.strip()), k.count(",")) if isinstance(k, str) else bare.get(k, (0, 0)) for k in n.kids]
+        chars, commas = sum(c for c, _ in own), sum(c for _, c in own)
         kids = [inner[k] for k in n.kids if isinstance(k, Node) and k in inner]
-        own = points(t) if n.tag == "p" and (t := next((x for _, x, _ in blocks(n)), "")) else 0.0
-        inner[n] = (own + sum(v for v, _ in kids), n.tag in ("article", "main") or any(h for _, h in kids))
+        mine = 0.0
+        if n.tag not in BLOCK and n is not root:
+            bare[n] = chars, commas
+        elif chars:
+            mine = weigh(chars, commas)
+        inner[n] = (mine + sum(v for v, _ in kids), n.tag in ("article", "main") or any(h for _, h in kids))
     whole, held = inner[root]
     walk, cut = [root], []
     while walk:
@@ -233,19 +247,45 @@ def main_text(html: str | None) -> str:
             if n.tag == "article":
                 break
         n = n.parent
-    keep = [best]
-    if best.parent is not None:
-        keep = []
-        for k in best.parent.kids:
-            if k is best:
-                keep.append(k)
-            elif isinstance(k, Node) and not k.junk and k.tag not in ("a", "hr"):
-                text = sum(len(t) for _, t, _ in blocks(k))
-                links = sum(min(x, len(t)) for _, t, x in blocks(k))
-                loose = best.tag not in ("article", "main") and text and links <= text / 4
-                if loose or (worth(k) >= max(0.2 * top, 1.0) and links <= text / 4 and k.tag == best.tag):
-                    keep.append(k)
-    return "\n\n".join(t for k in keep for _, t, _ in blocks(k))
+    return "\n\n".join(t for k in beside(best, top, worth) for _, t, _ in blocks(k))
+
+
+def beside(best: Node, top: float, worth: Callable[[Node], float]) -> list[Node]:
+    """The best container with what stands next to it, in page order.
+
+    Beside an article or main, its like that score well; beside any other container, all that is not mostly links, bare
+    text too.  Further up, as long as there is no other block, bare text that is not mostly links.
+    """
+    keep, n = [best], best
+    loose = best.tag not in ("article", "main")
+    while n.parent is not None:
+        before, after = [], []
+        alone = not any(isinstance(k, Node) and k is not n and not k.junk and k.tag in BLOCK for k in n.parent.kids)
+        if n is not best and not (loose and alone):
+            break
+        side, run = before, Node("span", None, False)
+        for k in [*n.parent.kids, None]:
+            if k is not None and k is not n and (isinstance(k, str) or (not k.junk and k.tag not in BLOCK)):
+                run.kids.append(k)
+                continue
+            if loose and run.kids and mostly_text(run):
+                side.append(run)
+            run = Node("span", None, False)
+            if k is n:
+                side = after
+            elif k is not None and not k.junk and k.tag != "hr" and (loose or (k.tag == best.tag and worth(k) >= max(0.2 * top, 1.0))) and mostly_text(k):
+                side.append(k)
+        keep = [*before, *keep, *after]
+        n = n.parent
+    return keep
+
+
+def mostly_text(n: Node) -> bool:
+    text = links = 0
+    for _, t, linked in blocks(n):
+        text += len(t)
+        links += min(linked, len(t))
+    return text > 0 and links <= text / 4
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "main_text") -> DataFrame:

@@ -405,6 +405,24 @@ def test_html_words_of_classes_and_depth():
     assert html.main_text("<div>" * 50_000 + "<p>a, b</p>" + "</section></i>" * 50_000) == "a, b"
 
 
+def test_html_keeps_pages_in_forms_and_bare_text():
+    ps = "".join(f"<p>Sentence {i}, with a comma, and some more words to count.</p>" for i in range(5))
+    want = html.main_text(f"<article>{ps}</article>")
+    menu = "<nav><a href=x>Home</a></nav><form id=search><p>Search, here</p><input name=q></form>"
+    for inner in (f"<article>{ps}</article>", f"<main>{ps}</main>", f"<div>{ps}</div>"):
+        for wrap in ("<form id=aspnetForm>{}</form>", "<fieldset>{}</fieldset>", "<aside>{}</aside>", "<div style='display: none'>{}</div>", "<div hidden>{}</div>", "<div role=dialog>{}</div>", "<form><div class=page><form>{}</form></div></form>"):
+            assert html.main_text(wrap.format(menu + inner + "<select><option>one</option></select>")) == want, (wrap, inner[:9])
+        assert html.main_text(f"{inner}<form><p>Your mail, please</p></form><aside><p>More, more</p></aside><div hidden><p>x, y</p></div>") == want
+    around = f"<div>Intro text <div>{ps}</div> closing <b>text</b></div>"
+    assert html.main_text(around) == f"Intro text\n\n{want}\n\nclosing text"
+    assert html.main_text(f"<div>First <div><div>{ps}</div></div> last</div>") == f"First\n\n{want}\n\nlast"
+    assert html.main_text(f"<div><a href=x>Home</a> <a href=y>About</a><div>{ps}</div></div>") == want
+    lines = "<br>".join(f"Line {i}, of an article, that has no paragraphs" for i in range(6))
+    flat = " ".join(f"Line {i}, of an article, that has no paragraphs" for i in range(6))
+    assert html.main_text(f"{menu}<div class=text>{lines}</div><footer>Foot</footer>") == flat
+    assert html.main_text(f"<table><tr><td><a href=x>Home</a></td><td>{ps}</td></tr></table>").endswith(want)
+
+
 def slow_article(page):
     """What the pages of the test tables hold as article, by cutting strings: blocks between the tags of the article."""
     import html as escapes
