@@ -50,6 +50,7 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
+        _gone_at_end(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 

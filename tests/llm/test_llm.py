@@ -315,6 +315,20 @@ def test_one_key_of_many_rows(spark):
     assert Counter(mixed) == Counter(tuple(r) for r in mixing.mix(rows).select("size", "copies").collect())
 
 
+def test_buckets_follow_bytes_and_maps_travel(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"), F.create_map(F.lit("k"), F.col("id"), F.lit("a"), F.lit(1)).alias("m"), F.array(F.struct("id")).alias("list"))
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 100_000)
+    seen = []
+    keep = type(rows).repartitionById
+    monkeypatch.setattr(type(rows), "repartitionById", lambda self, n, *c: seen.append(n) or keep(self, n, *c))
+    got = sharding.shard_rows(rows, shards=5).collect()
+    assert 30 <= seen[0] <= 40  # 3 MB of text
+    assert {(r["doc_id"], r["m"]["k"], r["list"][0]["id"]) for r in got} == {(i, i, i) for i in range(3000)}
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, i) for k in range(5) for i in range(600)]
+    with pytest.raises(ValueError):
+        sharding.shard_rows(rows.select(F.array("m").alias("x")), shards=2)
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -485,6 +499,14 @@ def test_audio_query_equals_brute_force(spark, local):
         assert tuple(got[i][c] for c in ("media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")) == want
 
 
+def test_digest_of_null_and_broken_media(spark):
+    good = audio.store_audio(spark.createDataFrame([(1, "abc")], "doc_id long, text string"))
+    bad = spark.createDataFrame([(2, 3, None), (3, 3, b""), (4, 3, b"RIFFxxxxWAVEfmt "), (5, 3, b"\0" * 99)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in audio.audio_digest(good.unionByName(bad)).collect()}
+    assert got[1]["payload_bytes"] == 64 and got[1]["error"] is None
+    assert all(got[i]["payload_sha256"] is None and got[i]["n_bytes"] == 3 and got[i]["error"] for i in (2, 3, 4, 5))
+
+
 def test_resampling_in_slices(monkeypatch):
     fmt = {"codec": audio.MULAW, "rate": 8000, "block": 1, "bits": 8}
     data = memoryview(np.random.default_rng(1).integers(0, 256, 10_007, np.uint8).tobytes())
