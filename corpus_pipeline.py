@@ -6,13 +6,11 @@ as the next one's ``docs``.  All but the last return the columns of ``documents`
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import jaccard, langid, mixing, packing, quality
-from loomwork.llm.common import load, shared_folder
+from loomwork.llm.common import load, scratch_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,14 +41,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.jaccard_components(rows, words=5, num=80, den=100, row_col="_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row"))
     kept = found.filter("n_shingles > 0").groupBy("class_id").agg(first.alias("m")).select("m._row").unionByName(found.filter("n_shingles = 0").select("_row").distinct())
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
+    return rows.join(kept, "_row", "left_semi").select(COLUMNS).distinct()
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.  Equal rows are taken together."""
     rows = keyed(docs)
     copies = mixing.mix(rows, id_col="_row").groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    once = rows.dropDuplicates(["_row"]).join(copies, "_row")
+    once = rows.distinct().join(copies, "_row")
     return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(COLUMNS)
 
 
@@ -66,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what lies between them is written to the folder that the cluster shares."""
     docs = load(spark, sf_dir, "documents")
-    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    home = scratch_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
