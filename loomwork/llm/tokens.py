@@ -46,6 +46,20 @@ def slices(text: str, most: int = SLICE_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
+def balanced(texts: list[str]) -> Iterator[list[list[str]]]:
+    """The texts as lists of slices, in batches of about BATCH_BYTES."""
+    batch: list[list[str]] = []
+    size = 0
+    for x in texts:
+        batch.append(slices(x))
+        size += len(x) if x.isascii() else len(x.encode())
+        if size >= BATCH_BYTES:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
 def byte_letters() -> dict[int, int]:
     """Byte-level tokenizers write a byte that is no visible Latin-1 character as one from U+0100 on, in order."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -62,7 +76,7 @@ class Encoder:
     A byte-level tokenizer without normaliser encodes each word of its split by itself.  So Latin texts are
     split here, words that the worker has met before are looked up, and only new ones go to the tokenizer's
     model.  All other texts (other scripts, special strings), and all texts of another kind of tokenizer,
-    go there whole.
+    go there whole.  ``lengths`` takes no such way: it has all texts encoded in batches.
     """
 
     def __init__(self, path: str):
@@ -100,16 +114,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One bytes object for each text, in order, encoded in batches of bounded bytes."""
-        batch: list[list[str]] = []
-        size = 0
-        for i, x in enumerate(texts):
-            batch.append(slices(x))
-            size += len(x) if x.isascii() else len(x.encode())
-            if size >= BATCH_BYTES or i == len(texts) - 1:
-                found = iter(self.batch([y for ys in batch for y in ys]))
-                for ys in batch:
-                    yield next(found) if len(ys) == 1 else b"".join(next(found) for _ in ys)
-                batch, size = [], 0
+        for batch in balanced(texts):
+            found = iter(self.batch([y for ys in batch for y in ys]))
+            for ys in batch:
+                yield next(found) if len(ys) == 1 else b"".join(next(found) for _ in ys)
+
+    def lengths(self, texts: list[str]) -> Iterator[int]:
+        """The number of ids of each text, in order, by the tokenizer's own batch encoding."""
+        for batch in balanced(texts):
+            found = map(len, self.tok.encode_batch_fast([y for ys in batch for y in ys], add_special_tokens=False))
+            for ys in batch:
+                yield sum(next(found) for _ in ys)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,7 +151,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             texts = [x or "" for x in b.column("t").to_pylist()]
             n_bytes = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
-            n_tokens = np.fromiter((len(x) // 4 for x in enc.encode(texts)), np.int64, len(texts))
+            n_tokens = np.fromiter(enc.lengths(texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = chosen.schema["id"].dataType.simpleString()
