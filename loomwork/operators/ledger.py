@@ -35,6 +35,25 @@ def reused(current: DataFrame, past: DataFrame, *, who: str, pos: str) -> DataFr
     return out.withColumn("dup", there("hash") | there("path") | (there("base") & F.col("_again"))).drop("_again", "_in_hash", "_in_path", "_in_base")
 
 
+def near_repeats(current: DataFrame, past: DataFrame, *, who: str, pos: str, words: list[str], threshold: int) -> DataFrame:
+    """(who, pos) of the items whose bit words differ in at most ``threshold`` places from an item of another path: of the
+    past, or before it in ``current``.
+
+    ``words`` are columns of 32 bits.  They are cut into blocks of 8; where more blocks than the threshold, two near ones agree
+    in a block by the pigeonhole principle, so candidates come from equi-joins within each ``who``.
+    """
+    if 4 * len(words) <= threshold:
+        raise ValueError("more words are needed for the threshold")
+    blocks = F.posexplode(F.array(*[F.shiftright(F.col(w), 8 * i).bitwiseAND(255) for w in words for i in range(4)])).alias("_i", "_block")
+    dist = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
+    mine = current.select(who, pos, "path", *words, blocks).alias("a")
+    older = past.select(who, F.lit(None).cast("long").alias(pos), "path", *words).distinct().select("*", blocks)
+    earlier = current.select(who, F.col(pos).cast("long").alias(pos), "path", *words, blocks)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (who, "_i", "_block")]
+    near = (dist <= threshold) & (F.col("a.path") != F.col("b.path")) & (F.col(f"b.{pos}").isNull() | (F.col(f"b.{pos}") < F.col(f"a.{pos}")))
+    return mine.join(older.unionByName(earlier).alias("b"), [*same, near], "left_semi").select(who, pos).distinct()
+
+
 def clip_runs(current: DataFrame, past: DataFrame, *, who: str, pos: str, most: int) -> DataFrame:
     """(who, pos, run): in how many projects in a row, from the newest one back, a clip was used already.
 

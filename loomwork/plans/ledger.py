@@ -29,11 +29,20 @@ def query(sql: str):
 
 _ITEM = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 _ORDER = ", ".join(_ITEM)
+#: A photo's dHash as two words of 32 bits: contents (l_partkey % 97) of nine families, in each with up to three bits of their own.
+_CONTENT = "(l_partkey % 97)"
+_DHASH = [f"xor(({_CONTENT} % 9 * 2654435761) % 4294967296, 1::BIGINT << ({_CONTENT} % 32)::INT)", f"xor(({_CONTENT} % 9 * 2246822519) % 4294967296, xor(1::BIGINT << ({_CONTENT} * 7 % 32)::INT, 1::BIGINT << ({_CONTENT} * 11 % 32)::INT))"]
 _HISTORY = f"""p AS (SELECT o_orderkey, o_custkey AS who, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS back FROM orders),
-i AS (SELECT who, back, l_partkey, 'h' || (l_partkey % 97) AS hash, (l_partkey % 50) || '/' || (l_suppkey % 40) || '.jpg' AS path, (l_suppkey % 40) || '.jpg' AS base, row_number() OVER (PARTITION BY who, back ORDER BY {_ORDER}) AS pos FROM lineitem JOIN p ON l_orderkey = o_orderkey WHERE back <= 5),
+i AS (SELECT who, back, l_partkey, 'h' || (l_partkey % 97) AS hash, (l_partkey % 50) || '/' || (l_suppkey % 40) || '.jpg' AS path, (l_suppkey % 40) || '.jpg' AS base, {_DHASH[0]} AS w1, {_DHASH[1]} AS w2, row_number() OVER (PARTITION BY who, back ORDER BY {_ORDER}) AS pos FROM lineitem JOIN p ON l_orderkey = o_orderkey WHERE back <= 5),
 c AS (SELECT *, row_number() OVER (PARTITION BY who, hash ORDER BY pos) > 1 AS again FROM i WHERE back = 0), b AS (SELECT * FROM i WHERE back > 0)"""
 
 
+def _dhash(content: Column) -> list[Column]:
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), (content * n % 32).cast("int"))
+    family = lambda n: content % 9 * n % (1 << 32)
+    return [family(2654435761).bitwiseXOR(bit(1)).alias("w1"), family(2246822519).bitwiseXOR(bit(7)).bitwiseXOR(bit(11)).alias("w2")]
+
+
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The items of each customer's newest order, and of the five before it."""
     orders = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), "o_orderdate")
@@ -41,22 +50,28 @@ def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i = load(spark, d, "lineitem").select("l_orderkey", *_ITEM).join(p, F.col("l_orderkey") == F.col("o_orderkey"))
     base = F.concat((F.col("l_suppkey") % 40).cast("string"), F.lit(".jpg"))
     pos = F.row_number().over(Window.partitionBy("who", "back").orderBy(*_ITEM)).cast("long")
-    i = i.select("who", "back", "l_partkey", F.concat(F.lit("h"), (F.col("l_partkey") % 97).cast("string")).alias("hash"), F.concat_ws("/", (F.col("l_partkey") % 50).cast("string"), base).alias("path"), base.alias("base"), pos.alias("pos"))
+    i = i.select("who", "back", "l_partkey", F.concat(F.lit("h"), (F.col("l_partkey") % 97).cast("string")).alias("hash"), F.concat_ws("/", (F.col("l_partkey") % 50).cast("string"), base).alias("path"), base.alias("base"), *_dhash(F.col("l_partkey") % 97), pos.alias("pos"))
     return i.filter("back = 0"), i.filter("back > 0")
 
 
-_PHOTO = f"""{_HISTORY}, f AS (SELECT c.who, EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.hash = c.hash) OR EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.path = c.path) OR (again AND EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.base = c.base)) AS dup FROM c),
-photo AS (SELECT who, n, dup, percent, 12.0::DOUBLE - CASE WHEN dup < 2 THEN 0 WHEN percent >= 50 THEN 10 WHEN percent >= 20 THEN 4 ELSE 0 END AS photo FROM (SELECT who, count(*) AS n, count(*) FILTER (dup) AS dup, round_even(100.0::DOUBLE * count(*) FILTER (dup) / count(*), 1) AS percent FROM f GROUP BY 1))"""
+#: Photos are near duplicates if at most so many bits of their dHashes differ.
+_NEAR = 5
+_CLOSE = f"x.path <> c.path AND bit_count(xor(c.w1, x.w1)) + bit_count(xor(c.w2, x.w2)) <= {_NEAR}"
+_PHOTO = f"""{_HISTORY}, near AS (SELECT DISTINCT c.who, c.pos FROM c JOIN b x ON x.who = c.who AND {_CLOSE} UNION SELECT DISTINCT c.who, c.pos FROM c JOIN c x ON x.who = c.who AND x.pos < c.pos AND {_CLOSE}),
+f AS (SELECT c.who, EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.hash = c.hash) OR EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.path = c.path) OR (again AND EXISTS (SELECT 1 FROM b WHERE b.who = c.who AND b.base = c.base)) AS exact, near.who IS NOT NULL AS close FROM c LEFT JOIN near ON near.who = c.who AND near.pos = c.pos),
+photo AS (SELECT who, n, dup, near_dup, percent, 12.0::DOUBLE - CASE WHEN dup < 2 THEN 0 WHEN percent >= 50 THEN 10 WHEN percent >= 20 THEN 4 ELSE 0 END AS photo FROM (SELECT who, count(*) AS n, count(*) FILTER (exact OR close) AS dup, count(*) FILTER (close AND NOT exact) AS near_dup, round_even(100.0::DOUBLE * count(*) FILTER (exact OR close) / count(*), 1) AS percent FROM f GROUP BY 1))"""
 
 
 @query(f"WITH {_PHOTO} SELECT * FROM photo")
 def photo_diversity(spark: SparkSession, d: str) -> DataFrame:
-    """Photos of the newest project that the five before it had, by any of three rules; one is no fault; the share is rounded before the bands."""
+    """Photos of the newest project that the five before it had, by any of three rules or nearly so by dHash, and those near an earlier one of their own project; one is no fault; the share is rounded before the bands."""
     return _photo(*_history(spark, d))
 
 
 def _photo(now: DataFrame, past: DataFrame) -> DataFrame:
-    n = g.reused(now, past, who="who", pos="pos").groupBy("who").agg(F.count("*").alias("n"), F.count_if("dup").alias("dup"))
+    near = g.near_repeats(now, past, who="who", pos="pos", words=["w1", "w2"], threshold=_NEAR).withColumn("close", F.lit(True))
+    met = g.reused(now, past, who="who", pos="pos").join(near, ["who", "pos"], "left").withColumn("close", F.coalesce("close", F.lit(False)))
+    n = met.groupBy("who").agg(F.count("*").alias("n"), F.count_if(F.col("dup") | F.col("close")).alias("dup"), F.count_if(F.col("close") & ~F.col("dup")).alias("near_dup"))
     n = n.withColumn("percent", F.bround(F.lit(100.0) * F.col("dup") / F.col("n"), 1))
     return n.withColumn("photo", F.lit(12.0) - s.overlap_penalty(F.col("dup"), F.col("percent")))
 
