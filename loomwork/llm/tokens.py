@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
@@ -46,13 +47,13 @@ def slices(text: str, most: int = SLICE_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-def balanced(texts: list[str]) -> Iterator[list[list[str]]]:
-    """The texts as lists of slices, in batches of about BATCH_BYTES."""
+def balanced(texts: list[str], sizes: np.ndarray | None = None) -> Iterator[list[list[str]]]:
+    """The texts as lists of slices, in batches of about BATCH_BYTES; ``sizes`` are their bytes, if they are known."""
     batch: list[list[str]] = []
     size = 0
-    for x in texts:
+    for x, n in zip(texts, sizes.tolist() if sizes is not None else (len(x) if x.isascii() else len(x.encode()) for x in texts)):
         batch.append(slices(x))
-        size += len(x) if x.isascii() else len(x.encode())
+        size += n
         if size >= BATCH_BYTES:
             yield batch
             batch, size = [], 0
@@ -119,9 +120,9 @@ class Encoder:
             for ys in batch:
                 yield next(found) if len(ys) == 1 else b"".join(next(found) for _ in ys)
 
-    def lengths(self, texts: list[str]) -> Iterator[int]:
+    def lengths(self, texts: list[str], sizes: np.ndarray) -> Iterator[int]:
         """The number of ids of each text, in order, by the tokenizer's own batch encoding."""
-        for batch in balanced(texts):
+        for batch in balanced(texts, sizes):
             found = map(len, self.tok.encode_batch_fast([y for ys in batch for y in ys], add_special_tokens=False))
             for ys in batch:
                 yield sum(next(found) for _ in ys)
@@ -150,8 +151,8 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         enc = encoder(path)
         for b in batches:
             texts = [x or "" for x in b.column("t").to_pylist()]
-            n_bytes = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
-            n_tokens = np.fromiter(enc.lengths(texts), np.int64, len(texts))
+            n_bytes = pc.fill_null(pc.binary_length(b.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            n_tokens = np.fromiter(enc.lengths(texts, n_bytes), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = chosen.schema["id"].dataType.simpleString()
