@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import dictionaries as d
 from . import scoring as s
-from .text import count_of, lenient_json, lines, matches, strip, ungrounded_terms
+from .text import count_of, lenient_json, lines, matches, plain_pattern, strip, ungrounded_terms
 
 _CUT = "\u0001"
 
@@ -79,13 +79,15 @@ def detected_artist(title: Column, content: Column, name: Column, artists: list[
     return F.coalesce(F.nullif(strip(name), F.lit("")), in_title, most)
 
 
-def fact_check(title: Column, content: Column, script: Column, blog: Column, name: Column, *, artists: list[str] = d.ARTISTS, aliases: dict[str, list[str]] = d.ALIASES, programs: list[str] = d.PROGRAMS, critical_terms: list[str] = d.CRITICAL_TERMS, clickbait: list[str] = d.CLICKBAIT) -> Column:
-    """struct<artist, entity, numbers, terms, blog, total, critical, passed> of a script against its article.
+def fact_parts(title: Column, content: Column, script: Column, blog: Column, name: Column, *, artists: list[str] = d.ARTISTS, aliases: dict[str, list[str]] = d.ALIASES, programs: list[str] = d.PROGRAMS, critical_terms: list[str] = d.CRITICAL_TERMS, clickbait: list[str] = d.CLICKBAIT, target: Column | None = None, missing: Column | None = None) -> Column:
+    """struct<artist, entity, numbers, terms, blog, short, grave>: the parts of the check of a script against its article.
 
-    Nulls count as empty; without a blog its points are full.
+    Nulls count as empty; without a blog its points are full.  ``target`` (of ``detected_artist``) and ``missing`` (of
+    ``ungrounded_quantities`` against title and text) may be given as columns that are there already, since both are used often.
     """
     title, content, script, blog, name = (F.coalesce(x, F.lit("")) for x in (title, content, script, blog, name))
-    article, target = F.concat_ws("\n", title, content), detected_artist(title, content, name, artists)
+    article = F.concat_ws("\n", title, content)
+    target = detected_artist(title, content, name, artists) if target is None else target
     lacks = lambda text, terms: F.size(ungrounded_terms(text, article, terms))
     called = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), _words(v))])
     names = F.array_append(F.coalesce(F.try_element_at(called, target), F.array().cast("array<string>")), target)
@@ -93,7 +95,7 @@ def fact_check(title: Column, content: Column, script: Column, blog: Column, nam
     others = F.size(F.filter(_words(artists), lambda a: (a != target) & F.contains(script, a) & ~F.contains(article, a))) > 0
     quotes = F.size(F.filter(quoted_entities(script), lambda q: ~F.contains(article, q)))
     entity = s.entity_score(named(script), others, quotes, lacks(script, programs))
-    missing = ungrounded_quantities(script, article)
+    missing = ungrounded_quantities(script, article) if missing is None else missing
     major = F.size(F.filter(missing, major_claim))
     numbers = s.number_fidelity(major, F.size(missing) - major)
     terms = s.term_score(lacks(script, critical_terms), lacks(script, clickbait))
@@ -101,23 +103,37 @@ def fact_check(title: Column, content: Column, script: Column, blog: Column, nam
     loose = ~((F.regexp_count(blog, F.lit(d.SECTION)) >= 3) | ((F.length(blog) >= 500) & F.contains(blog, F.lit("\n\n"))))
     lost = F.when(~F.coalesce(named(blog), F.lit(True)), 1.5).otherwise(0.0) + lacks(blog, critical_terms) * 2.0 + F.when(loose, 1.0).otherwise(0.0) + s.blog_band(F.length(strip(blog)))
     blog_score = F.when(none, 4.0).otherwise(F.greatest(F.lit(0.0), 4.0 - lost))
-    total = s.clamp_total([entity, numbers, terms, blog_score, -s.shorts_band(F.length(strip(script)))], 30.0)
     grave = F.coalesce(others & ~named(script), F.lit(False)) | (major >= 2) | (lacks(script, critical_terms) > 0) | (~none & (lacks(blog, critical_terms) > 0))
-    critical = grave | (total < 15)
-    return F.struct(target.alias("artist"), entity.alias("entity"), numbers.alias("numbers"), terms.alias("terms"), blog_score.alias("blog"), total.alias("total"), critical.alias("critical"), ((total >= 21) & ~critical).alias("passed"))
+    return F.struct(target.alias("artist"), entity.alias("entity"), numbers.alias("numbers"), terms.alias("terms"), blog_score.alias("blog"), s.shorts_band(F.length(strip(script))).alias("short"), grave.alias("grave"))
+
+
+def fact_total(p: Column) -> Column:
+    """struct<artist, entity, numbers, terms, blog, total, critical, passed> of the parts."""
+    total = s.clamp_total([p["entity"], p["numbers"], p["terms"], p["blog"], -p["short"]], 30.0)
+    critical = p["grave"] | (total < 15)
+    return F.struct(*[p[c].alias(c) for c in ("artist", "entity", "numbers", "terms", "blog")], total.alias("total"), critical.alias("critical"), ((total >= 21) & ~critical).alias("passed"))
+
+
+def fact_check(*texts: Column, **lists) -> Column:
+    """``fact_total`` of ``fact_parts``, for single rows; on tables give the parts a column of their own."""
+    return fact_total(fact_parts(*texts, **lists))
 
 
 def category_matches(x: Column) -> Column:
-    """array<struct<category, n, score>> of the categories that a sentence has, in dictionary order."""
+    """array<struct<category, n, score>> of the categories that a sentence has, in dictionary order.
+
+    One alternation of all patterns tells first whether there is any; only sentences that have one are matched category by category.
+    """
+    anyone = x.rlike("|".join(map(plain_pattern, d.CATEGORY_PATTERNS.values())))
     each = [F.struct(F.lit(c).alias("category"), F.size(matches(x, p)).alias("n"), F.lit(d.CATEGORY_WEIGHTS[c]).alias("w")) for c, p in d.CATEGORY_PATTERNS.items()]
-    return F.transform(F.filter(F.array(*each), lambda m: m["n"] > 0), lambda m: F.struct(m["category"].alias("category"), m["n"].alias("n"), (m["n"] * m["w"]).alias("score")))
+    found = F.transform(F.filter(F.array(*each), lambda m: m["n"] > 0), lambda m: F.struct(m["category"].alias("category"), m["n"].alias("n"), (m["n"] * m["w"]).alias("score")))
+    return F.when(anyone, found).otherwise(F.array().cast("array<struct<category:string,n:int,score:double>>"))
 
 
 def best_category(x: Column) -> Column:
     """The category of the greatest weighted count, the first of equals; null without any."""
-    found = category_matches(x)
-    top = F.array_max(F.transform(found, lambda m: m["score"]))
-    return F.try_element_at(F.filter(found, lambda m: m["score"] == top), F.lit(1))["category"]
+    ranked = F.transform(category_matches(x), lambda m, i: F.struct(m["score"].alias("score"), (-i).alias("o"), m["category"].alias("category")))
+    return F.array_max(ranked)["category"]
 
 
 def canonical_category(name: Column) -> Column:
@@ -140,13 +156,18 @@ def article_lines(x: Column) -> Column:
 
 
 def reviewed(raw: Column) -> Column:
-    """A reviewer's reply as struct<score, status, not_run, critical, n_issues, n_recommendations>.
+    """A reviewer's reply, whatever stands around its object, as ``reviewed_object`` reads it."""
+    return reviewed_object(lenient_json(raw))
+
+
+def reviewed_object(json: Column) -> Column:
+    """A reply's object as struct<score, status, not_run, critical, n_issues, n_recommendations>.
 
     Without an object or a number as its score the review was not run: null score.  A score is kept in
     0 to 25; an error, a high severity or a critical flag fails it, and then it is 14.5 if above 15.
     """
     fields = "score string, status string, critical_error boolean, issues array<struct<type string, severity string, message string, evidence string>>, recommendations array<string>"
-    j = F.from_json(lenient_json(raw), fields)
+    j = F.from_json(json, fields)
     number = j["score"].try_cast("double")
     score = F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(25.0), number)))  # least and greatest pass over nulls
     text = lambda s: strip(F.coalesce(s, F.lit("")))

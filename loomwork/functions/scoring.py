@@ -134,3 +134,25 @@ def secondary_score(n: Column, weight: Column, at: Column, ideal: Column, total:
 
 def ideal_time(total: Column, cut: float = 2.8) -> Column:
     return F.when(total >= 45, 34.0).otherwise(F.greatest(F.lit(2 * cut), total * 0.55))
+
+
+def exact_round(x: Column, places: int) -> Column:
+    """``x`` rounded half to even by its exact binary value, as Python's round does: 2.675 to 2 places is 2.67.
+
+    The product with the power of ten is split into a double and its exact error (Dekker), so ties and near ties are told
+    apart.  Exact where the product is below 2^52; beyond, and for NaN and infinities, ``x`` is rounded as a decimal.
+    """
+    ten = float(10**places)
+    split = 134217729.0  # 2^27 + 1
+    ten_high = split * ten - (split * ten - ten)
+    ten_low = ten - ten_high
+    x = x.cast("double")
+    high = x * split - (x * split - x)
+    low = x - high
+    product = x * ten
+    error = ((high * ten_high - product) + high * ten_low + low * ten_high) + low * ten_low
+    floor = F.floor(product).cast("double")
+    beyond = (product - floor - 0.5) + error  # the first difference is exact, and only its sign with the error counts
+    # an error below zero at a whole product lies under that whole number, where half is far: no case of its own
+    up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(F.pmod(floor, F.lit(2.0)))
+    return F.when(F.abs(product) < 2.0**52, (floor + up) / ten).otherwise(F.bround(x, places))

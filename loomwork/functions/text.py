@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,21 +70,22 @@ def count_of(x: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, (F.length(x) - F.length(F.replace(x, term, F.lit("")))) / F.length(term)).otherwise(0).cast("long")
 
 
-def matches(x: Column, pattern: str) -> Column:
-    """Distinct matches in their order, case ignored."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?iU){pattern}"), 0))
-
+def plain_pattern(pattern: str) -> str:
+    """The pattern as it is with case ignored and the classes of Unicode, but without those flags where it can be.
 
-def number_tokens(x: Column) -> Column:
-    """Numbers with a unit, commas removed: distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)? ?(?:년|월|일|위|억|조|만|천|회|뷰|원|명|표|%)"), 0), lambda t: F.replace(F.replace(t, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))))
+    The flags make every literal slow.  Classes and word ends are written out, and only literals with Latin letters ignore case.
+    """
+    space = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITE) + "]"
+    out = pattern.replace(r"\s", space).replace(r"\d", r"\p{Nd}")
+    out = re.sub(r"\\b(\w+)\\b", r"(?<![\\p{L}\\p{M}\\p{N}_])\1(?![\\p{L}\\p{M}\\p{N}_])", out)
+    if "\\b" in out or re.search(r"[a-z](?![^{]*\})", re.sub(r"\\u[0-9a-f]{4}|\\p\{\w+\}", "", out)):
+        return f"(?iU){pattern}"
+    return re.sub(r"(?<![{A-Za-z])([A-Z]{2,})(?![}A-Za-z])", r"(?iu:\1)", out)
 
 
-def grounded(token: Column, source: Column) -> Column:
-    """A token is in the source as it is, without spaces and commas, or by its digits if there are three or more."""
-    plain = F.replace(F.replace(source, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
-    digits = F.regexp_replace(token, "[^0-9]", "")
-    return F.contains(source, token) | F.contains(plain, token) | ((F.length(digits) >= 3) & F.contains(plain, digits))
+def matches(x: Column, pattern: str) -> Column:
+    """Distinct matches in their order, case ignored."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(plain_pattern(pattern)), 0))
 
 
 def ungrounded_terms(script: Column, article: Column, terms: list[str]) -> Column:

@@ -12,7 +12,6 @@ from loomwork.functions import dictionaries as words
 from loomwork.functions import grounding as ground
 from loomwork.functions import media as m
 from loomwork.functions import scoring as s
-from loomwork.functions import selection as sel
 from loomwork.functions import text as t
 from loomwork.operators import catalogue as c
 from loomwork.sources.tables import load
@@ -101,36 +100,6 @@ def category_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", ground.canonical_category(name).alias("category"))
 
 
-_REPLIES = [
-    # reply, score, status, not run, critical, issues, recommendations
-    ('{"score": 30, "critical_error": true}', "14.5", "FAIL", False, True, 0, 0),
-    ('{"score": null, "status": "PASS"}', "NULL", "AI_QA_NOT_RUN", True, False, 0, 0),
-    ("{broken", "NULL", "AI_QA_NOT_RUN", True, False, 0, 0),
-    ('{"score": 20.0, "issues": [{"type": "error", "message": "x"}]}', "14.5", "FAIL", False, False, 1, 0),
-    ('{"score": "17", "status": "odd", "issues": [{"severity": "low", "message": "m"}, {"message": " "}], "recommendations": ["a", " "]}', "17", "WARNING", False, False, 1, 1),
-    ('[{"score": 12}, {"score": 25}]', "12", "FAIL", False, False, 0, 0),
-    ('```json\n{"score": 22, "status": "WARNING"}\n```', "22", "PASS", False, False, 0, 0),
-    ('Result: {"score": -4, "status": "warning", "issues": [{"evidence": "e"}]} done', "0", "WARNING", False, False, 1, 0),
-]
-_OUTCOMES = ", ".join(f"({i}, {sc}::DOUBLE, '{st}', {nr}, {cr}, {ni}, {nrec})" for i, (_, sc, st, nr, cr, ni, nrec) in enumerate(_REPLIES))
-
-
-@query(f"SELECT event_id, score, status, not_run, critical, n_issues, n_recommendations FROM events JOIN (VALUES {_OUTCOMES}) v(i, score, status, not_run, critical, n_issues, n_recommendations) ON event_id % {len(_REPLIES)} = i")
-def review_replies(spark: SparkSession, d: str) -> DataFrame:
-    """A reviewer's replies made safe: bounds, wrong types, fences, lists, prose, and faults that fail it."""
-    raw = _case(F.col("event_id") % len(_REPLIES), *[r[0] for r in _REPLIES])
-    return load(spark, d, "events").select("event_id", ground.reviewed(raw).alias("r")).select("event_id", "r.*")
-
-
-_ROUTES = [("ai_qa_not_run", "", "x", "rerun_review"), ("x", "rerun_ai_qa", "x", "rerun_review"), ("x", "", "ai_review", "rerun_review"), ("blog_length_issue", "", "x", "extend_blog"), ("x", "grow_blog", "x", "extend_blog"), ("x", "rephrase_script", "x", "shorten_script"), ("shorts_length_issue", "", "x", "shorten_script"), ("tts_sync_issue", "", "x", "resync_script"), ("x", "tts_sync_fix", "x", "resync_script"), ("x", "", "x", None)]
-
-
-@query("SELECT event_id, repair FROM events JOIN (VALUES " + ", ".join(f"({i}, {r[3]!r})" if r[3] else f"({i}, NULL)" for i, r in enumerate(_ROUTES)) + f") v(i, repair) ON event_id % {len(_ROUTES)} = i")
-def repair_route(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % len(_ROUTES)
-    return load(spark, d, "events").select("event_id", m.repair(*[_case(k, *[r[j] for r in _ROUTES]) for j in range(3)]).alias("repair"))
-
-
 _CLOCK = "printf('%02d:%02d:%02d,%03d', ({x}) // 3600000, ({x}) // 60000 % 60, ({x}) // 1000 % 60, ({x}) % 1000)"
 
 
@@ -193,45 +162,12 @@ def known_images(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(stored, "h", "left").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count("hit").alias("known"))
 
 
-_SINGER = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '영탁 무대 영탁 이찬원' WHEN 1 THEN '이찬원 영탁' WHEN 2 THEN '홍길동 콘서트 열려' WHEN 3 THEN p_name ELSE '영탁' END AS script, CASE WHEN p_partkey % 5 = 4 THEN ' 송가인 ' END AS given FROM part"
-
-
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '영탁' WHEN 1 THEN '이찬원' WHEN 2 THEN '홍길동' WHEN 3 THEN '' ELSE '송가인' END AS singer FROM part")
-def detected_singer(spark: SparkSession, d: str) -> DataFrame:
-    """The name given, else the most frequent artist (the first of equals), else a name at the opening, else an empty text."""
-    k = F.col("p_partkey") % 5
-    script = _case(k, "영탁 무대 영탁 이찬원", "이찬원 영탁", "홍길동 콘서트 열려", F.col("p_name"), "영탁")
-    given = F.when(k == 4, " 송가인 ")
-    singer = F.coalesce(ground.detected_artist(F.lit(""), script, given), sel.name_by_opening(script), F.lit(""))
-    return load(spark, d, "part").select("p_partkey", singer.alias("singer"))
-
-
 @query("SELECT o_orderkey, CASE WHEN total >= 45 THEN 34.0::DOUBLE ELSE greatest(5.6::DOUBLE, total * 0.55::DOUBLE) END AS ideal FROM (SELECT o_orderkey, count(*) * 2.8::DOUBLE AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
 def ideal_slot(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") * F.lit(2.8)).alias("total"))
     return n.join(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", s.ideal_time(F.col("total")).alias("ideal"))
 
 
-_SENTENCES = [("현장 관객들의 뜨거운 환호와 박수가 이어졌다", "audience"), ("많은 사람들이 눈물을 흘리며 감동했다", "emotion"), ("결국 병원에서 수술을 받고 치료 중이다", "hospital"), ("기부금 1억을 쾌척한 거액의 자산가", "money"), ("유튜브 조회수가 온라인에서 폭발했다", "smartphone"), ("전국투어 콘서트 무대에서 열창했다", "concert"), ("소속사와 전속계약을 맺고 광고 모델이 됐다", "business"), ("오늘은 날씨가 참 좋습니다", None)]
-
-
-@query("SELECT event_id, category FROM events JOIN (VALUES " + ", ".join(f"({i}, {c!r})" if c else f"({i}, NULL)" for i, (_, c) in enumerate(_SENTENCES)) + f") v(i, category) ON event_id % {len(_SENTENCES)} = i")
-def sentence_category(spark: SparkSession, d: str) -> DataFrame:
-    """The category of Korean sentences by the real patterns and weights; nothing without a keyword."""
-    x = _case(F.col("event_id") % len(_SENTENCES), *[x for x, _ in _SENTENCES])
-    return load(spark, d, "events").select("event_id", ground.best_category(x).alias("category"))
-
-
-_LINES = [("임영웅이 콘서트에서 큰 감동을 전했다", True), ("짧은 줄", False), ("본문 바로가기 메뉴를 눌러 주세요", False), ("문의는 press@news.co.kr 으로 보내 주세요", False), ("무단 전재 및 재배포 금지 안내입니다", False), ("▶ 관련 기사 더 보러 가기 여기", False), ("팬들은 끝까지 자리를 지키며 응원했다", True)]
-
-
-@query("SELECT event_id, text FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '" + "|".join(x for x, ok in _LINES if ok) + "' ELSE '" + "|".join(x for x, ok in reversed(_LINES) if ok) + "' END AS text FROM events)")
-def article_text(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of an article without menus, addresses, rights and marks."""
-    page = F.when(F.col("event_id") % 2 == 0, "\n \n".join(x for x, _ in _LINES)).otherwise("\n".join(x for x, _ in reversed(_LINES)))
-    return load(spark, d, "events").select("event_id", F.array_join(ground.article_lines(page), "|").alias("text"))
-
-
 @query("SELECT p_partkey, p_size % 5 <> 0 AND NOT (p_partkey % 4 = 0) AS active, p_size % 5 <> 0 AND p_partkey % 4 = 0 AS deactivated FROM part")
 def missing_files(spark: SparkSession, d: str) -> DataFrame:
     """Media whose file is gone are no longer active; those that were are told apart, and no row is deleted."""

@@ -11,7 +11,7 @@ from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.functions.article import news_articles
 from loomwork.operators.catalogue import padded, round_robin
-from loomwork.sources.tables import load
+from loomwork.sources.tables import load, spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,7 +69,7 @@ _SENT = "list_filter(flatten(list_transform(list_filter(list_transform(string_sp
 
 @query(f"SELECT doc_id, i::BIGINT AS scene_index, s[i] AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents), unnest(range(1, len(s) + 1)) AS g(i)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("scene_index"), "sentence")
+    return spread(_docs(spark, d)).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("scene_index"), "sentence")
 
 
 #: Category, pattern and weight, in the order that breaks ties.
@@ -132,32 +132,6 @@ def entity_detect_weighted(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", best.alias("m")).select("doc_id", "m.entity", "m.score")
 
 
-_KOREAN = [
-    ("누적 1,300만 뷰를 넘어", "1300만 뷰:뷰"), ("5월 12일 공연", "5월 12일:date"), ("차트 1위 등극", "1위:rank"), ("그냥 7 이라고", ""), ("60초 동안", ""), ("2024년 3월 1일에 100억 원", "2024년 3월 1일:date|100억 원:원"),
-]
-
-
-@query("SELECT event_id, tokens FROM events JOIN (VALUES " + ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(_KOREAN)) + f") v(i, tokens) ON event_id % {len(_KOREAN)} = i")
-def number_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers with their unit: dates, ranks, amounts; bare and idle numbers are left out."""
-    x = F.element_at(F.array(*[F.lit(x) for x, _ in _KOREAN]), (F.col("event_id") % len(_KOREAN) + 1).cast("int"))
-    shown = F.transform(ground.quantities(x), lambda q: F.concat(F.replace(q["token"], F.lit(","), F.lit("")), F.lit(":"), q["unit"]))
-    return load(spark, d, "events").select("event_id", F.array_join(shown, "|").alias("tokens"))
-
-
-_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m FROM p WHERE regexp_matches(text, '[0-9]')" for k, p in (("date", words.DATE), ("rank", words.RANK), ("amount", words.AMOUNT)))
-_QUANTITY = f"""WITH p AS MATERIALIZED ({{paired}}), g AS MATERIALIZED (SELECT DISTINCT doc_id, kind, {_TRIM.format('m')} AS token FROM ({_FOUND})), f AS (SELECT g.doc_id, article, kind, token FROM g JOIN p ON g.doc_id = p.doc_id),
-q AS (SELECT doc_id, article, kind, token, CASE kind WHEN 'date' THEN token WHEN 'rank' THEN regexp_extract(token, '{words.RANK}', 1) ELSE replace(regexp_extract(token, '{words.AMOUNT}', 1), ',', '') || regexp_extract(token, '{words.AMOUNT}', 2) END AS num FROM f
-WHERE kind <> 'amount' OR ((regexp_extract(token, '{words.AMOUNT}', 2) <> '' OR regexp_extract(token, '{words.AMOUNT}', 3) <> '') AND token NOT IN ({', '.join(map(repr, words.BENIGN_NUMBERS))}))),
-r AS MATERIALIZED (SELECT *, replace(replace(article, ',', ''), ' ', '') AS plain, regexp_replace(num, '[^0-9]', '', 'g') AS digits, regexp_extract(token, '[0-9]+') AS n FROM q),
-b AS (SELECT *, contains(article, token) OR contains(plain, replace(replace(token, ',', ''), ' ', '')) OR (num <> '' AND contains(plain, replace(num, ' ', ''))) OR (length(digits) >= 3 AND contains(plain, digits))
- OR (kind = 'rank' AND CASE WHEN n = '1' THEN regexp_matches(article, '{'|'.join(words.FIRST_RANK)}') ELSE contains(plain, n || '위') OR contains(plain, n || '등') END) AS ok,
- regexp_matches(token, '{'|'.join(words.MAJOR_SCALES)}') OR (contains(token, '만') AND regexp_matches(token, '{'|'.join(words.MAJOR_UNITS)}')) OR kind = 'rank' AS major FROM r),
-c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT ok) AS missing, count(*) FILTER (NOT ok AND major) AS major FROM b GROUP BY 1)
-SELECT p.doc_id, coalesce(n, 0)::BIGINT AS n_quantities, coalesce(missing, 0)::BIGINT AS n_missing, coalesce(major, 0)::BIGINT AS n_major, greatest(0, 10 - 3.0 * coalesce(major, 0) - 1.5 * (coalesce(missing, 0) - coalesce(major, 0)))::DOUBLE AS score, coalesce(major, 0) >= 2 AS critical FROM p LEFT JOIN c ON p.doc_id = c.doc_id"""
-
-
 TERMS, BAIT = ["worthless", "pathetic", "stupid", "idiot"], ["!!", "$$$", "***"]
 #: Each document beside the article that its id falls on, of all articles.
 _PAIRED = "SELECT d.doc_id, d.text, b.text AS article FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
@@ -182,15 +156,6 @@ def term_grounding(spark: SparkSession, d: str) -> DataFrame:
     return _grounding(spark, d).select("doc_id", "critical", "clickbait", s.term_score(F.col("critical"), F.col("clickbait")).alias("score"))
 
 
-@query(_QUANTITY.replace("{paired}", _PAIRED))
-def number_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities of a text that its article lacks; the pairs are those of ``term_grounding``."""
-    j = _paired(spark, d).select("doc_id", "article", ground.quantities(F.col("text")).alias("q"))
-    j = j.withColumn("missing", F.filter("q", lambda x: ~ground.quantity_grounded(x, F.col("article"))))
-    n = j.select("doc_id", F.size("q").cast("long").alias("n_quantities"), F.size("missing").cast("long").alias("n_missing"), F.size(F.filter("missing", ground.major_claim)).cast("long").alias("n_major"))
-    return n.withColumn("score", s.number_fidelity(F.col("n_major"), F.col("n_missing") - F.col("n_major"))).withColumn("critical", F.col("n_major") >= 2)
-
-
 @query()
 def html_article(spark: SparkSession, d: str) -> DataFrame:
     """Title and text of each page by known places, with the lines that are not text left out."""
@@ -202,32 +167,6 @@ _SHORT = "(CASE WHEN n < 350 THEN 2 WHEN n < 400 THEN 1 WHEN n <= 550 THEN 0 ELS
 _BLOG = "(CASE WHEN n < 1800 THEN 4 WHEN n < 2160 THEN 2 WHEN n <= 2900 THEN 0 ELSE 1 END)"
 
 
-#: Stand-ins of the other word lists, for ``factual_total``: names by which an entity is also called, and programs.
-ALIASES, PROGRAMS = {"the": ["The", "THE"], "der": ["Der"], "les": ["Les"]}, ["License", "Copyright", "Menu", "Login"]
-_LIST = lambda terms: f"[{', '.join(map(repr, terms))}]"
-_NAMES = " ".join(f"WHEN '{e}' THEN {_LIST([*ALIASES.get(e, []), e])}" for e in ENTITIES)
-_WHOLE = f"""WITH a AS (SELECT doc_id, text, article, string_split(article, chr(10))[1] AS title FROM ({_PAIRED})), nums AS ({_QUANTITY.replace("{paired}", _PAIRED)}), ground AS ({_GROUND}),
-most AS (SELECT doc_id, arg_max(e, n * 100 - o) AS e FROM (SELECT doc_id, e, o, {_COUNT.format(x='article', e='#').replace("'#'", 'e')} AS n FROM a, (VALUES {', '.join(f"({i}, '{e}')" for i, e in enumerate(ENTITIES))}) v(o, e)) WHERE n > 0 GROUP BY 1),
-aim AS (SELECT a.*, coalesce(list_filter({_LIST(ENTITIES)}, lambda x: contains(title, x))[1], most.e) AS target FROM a LEFT JOIN most ON a.doc_id = most.doc_id),
-part AS (SELECT doc_id, text, target, len(list_filter(CASE target {_NAMES} END, lambda x: contains(text, x))) > 0 AS present, coalesce(len(list_filter({_LIST(ENTITIES)}, lambda x: x <> target AND contains(text, x) AND NOT contains(article, x))), 0) > 0 AS others,
-len(list_filter(list_transform(regexp_extract_all(text, '{words.QUOTED.replace("'", "''")}', 1), lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 2 AND NOT contains(article, x))) AS quotes, len(list_filter({_LIST(PROGRAMS)}, lambda x: contains(text, x) AND NOT contains(article, x))) AS programs FROM aim),
-e AS (SELECT doc_id, target AS artist, coalesce(others AND NOT present, FALSE) AS mismatched, length({_TRIM.format('text')}) AS n, CASE WHEN target IS NULL THEN 8 ELSE greatest(0, CASE WHEN others AND NOT present THEN 0 WHEN others THEN 5 WHEN NOT present THEN 4 ELSE 8 END - quotes - 1.5 * programs) END::DOUBLE AS entity FROM part),
-s AS (SELECT e.doc_id, artist, entity, nums.score AS numbers, greatest(0, 8 - 4 * ground.critical - 2 * clickbait)::DOUBLE AS terms, 4.0::DOUBLE AS blog, mismatched OR nums.critical OR ground.critical > 0 AS grave, {{short}} AS short FROM e JOIN nums ON e.doc_id = nums.doc_id JOIN ground ON e.doc_id = ground.doc_id),
-z AS (SELECT *, greatest(0, least(30, entity + numbers + terms + blog - short))::DOUBLE AS total FROM s)
-SELECT doc_id, artist, entity, numbers, terms, blog, total, grave OR total < 15 AS critical, total >= 21 AND NOT (grave OR total < 15) AS passed FROM z""".replace("{short}", _SHORT.replace("WHEN n", "WHEN e.n"))
-
-
-@query(_WHOLE)
-def factual_total(spark: SparkSession, d: str) -> DataFrame:
-    """The whole check of a text against its article, each part measured, with stand-in word lists.  The article's
-    first line is its title; the tables hold no blog, so its points are full."""
-    j = _paired(spark, d).withColumn("title", F.split("article", "\n")[0])
-    rest = F.substr("article", F.length("title") + 2)
-    none = F.lit(None).cast("string")
-    check = ground.fact_check(F.col("title"), rest, F.col("text"), none, none, artists=ENTITIES, aliases=ALIASES, programs=PROGRAMS, critical_terms=TERMS, clickbait=BAIT)
-    return j.select("doc_id", check.alias("c")).select("doc_id", "c.*")
-
-
 @query(f"SELECT doc_id, n, {_SHORT}::DOUBLE AS shorts, {_BLOG}::DOUBLE AS blog, CASE WHEN n = 0 THEN 'empty' WHEN n < 350 THEN 'serious_short' WHEN n < 400 THEN 'slight_short' WHEN n <= 500 THEN 'optimal' WHEN n <= 550 THEN 'slight_long' ELSE 'excessive' END AS class FROM (SELECT doc_id, length(trim(text, ' ' || chr(10))) AS n FROM documents)")
 def length_bands(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import catalogue, ledger, media, text
+from loomwork.plans import catalogue, ledger, media, scripts, text
 
-_MODULES = (catalogue, ledger, media, text)
+_MODULES = (catalogue, ledger, media, text, scripts)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -29,6 +29,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt to all cores if it comes in fewer partitions than there are; for costly work on each row.
+
+    Only for a table straight from ``load``: large tables have more partitions than cores and stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def evolve(df: DataFrame, to: T.StructType) -> DataFrame:
     """Additive schema evolution: columns of ``to`` that ``df`` lacks are null, those it has are cast."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in to.fields])

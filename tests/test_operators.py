@@ -52,12 +52,6 @@ def test_sentences(spark):
     assert value(spark, t.sentences(F.lit("?!"))) == []
 
 
-def test_numbers_and_grounding(spark):
-    assert value(spark, t.number_tokens(F.lit("1,300만 회, 2위 그리고 2 위"))) == ["1300만", "2위"]
-    assert value(spark, t.grounded(F.lit("1300만"), F.lit("총 1,300 만 회"))) is True
-    assert value(spark, t.grounded(F.lit("9위"), F.lit("1위"))) is False
-
-
 def test_captions(spark):
     words = F.split(F.lit("aa bb cc dd ee. ff"), " ")
     assert value(spark, t.pack_captions(words, 100, 3)) == ["aa bb cc", "dd ee.", "ff"]
