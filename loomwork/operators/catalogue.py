@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.scratch import checkpointed
+
 
 def usage_state(media: DataFrame, facts: DataFrame, *, media_id: str, fact_id: str, at: str) -> DataFrame:
     """Media with use_count and last_used_at derived from append-only usage facts (unused: 0, null)."""
@@ -160,6 +163,32 @@ def tiered_fill(rows: DataFrame, quota: int, *, group: str, key: str, tier: str,
     return best.withColumn("place", place.cast("long")).filter(F.col("place") <= quota)
 
 
+def cascade(demand: DataFrame, tiers: list[tuple[DataFrame, int | None]], *, group: str, key: str, need: str, order: list[Column]) -> DataFrame:
+    """(group, key, tier, place): each group's ``need`` filled from tier after tier; a later one is asked only for groups that lack.
+
+    ``tiers`` are (rows, cap): no more than the cap comes from one, and no key twice.  What each tier gave is kept in files, and
+    with it the demand that remains, which then filters the next tier's rows by a join before they are ranked.
+    """
+    lacking = checkpointed(demand.select(group, F.col(need).cast("long").alias("_need")).filter("_need > 0"))
+    parts: list[DataFrame] = []
+    for i, (rows, cap) in enumerate(tiers, 1):
+        offered = rows.join(lacking, group)
+        if parts:
+            offered = offered.join(reduce(DataFrame.unionByName, [p.select(group, key) for p in parts]), [group, key], "left_anti")
+        once = offered.withColumn("_n", F.row_number().over(Window.partitionBy(group, key).orderBy(*order))).filter("_n = 1")
+        most = F.col("_need") if cap is None else F.least("_need", F.lit(cap).cast("long"))
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order, key)).cast("long")
+        taken = checkpointed(once.withColumn("_at", rank).filter(F.col("_at") <= most).select(group, key, F.lit(i).alias("tier"), "_at"))
+        parts.append(taken)
+        given = taken.groupBy(group).agg(F.count("*").alias("_given"))
+        left = F.col("_need") - F.coalesce("_given", F.lit(0).cast("long"))
+        lacking = checkpointed(lacking.join(given, group, "left").select(group, left.alias("_need")).filter("_need > 0"))
+        if i < len(tiers) and lacking.isEmpty():
+            break
+    place = F.row_number().over(Window.partitionBy(group).orderBy("tier", "_at")).cast("long")
+    return reduce(DataFrame.unionByName, parts).select(group, key, "tier", place.alias("place"))
+
+
 def round_robin(rows: DataFrame, kinds: list[str], *, group: str, kind: str, order: list[Column]) -> DataFrame:
     """Each group's rows with their ``place``: the first of every kind in the order of ``kinds``, then the second, and so on.
 

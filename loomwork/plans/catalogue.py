@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import scoring as s
@@ -218,6 +218,38 @@ def first_tier_hit(spark: SparkSession, d: str) -> DataFrame:
     return m.select("nation", F.col("m.t").alias("tier"), F.col("m.l_partkey").alias("part"))
 
 
+#: Five tiers of a supplier's parts: (condition, cap).
+CASCADE = [("l_returnflag = 'A' AND l_quantity >= 44", None), ("l_returnflag = 'A' AND l_discount >= 0.09", 12), ("l_returnflag = 'N' AND l_quantity >= 46", 10), ("l_returnflag = 'N'", 8), ("l_returnflag = 'R'", None)]
+
+
+def _cascade_sql(ask: str) -> str:
+    steps = [f"d0 AS (SELECT s_suppkey AS supplier, {ask} AS need FROM supplier)"]
+    for i, (where, cap) in enumerate(CASCADE, 1):
+        before = " UNION ALL ".join(f"SELECT supplier, part FROM t{j}" for j in range(1, i)) or "SELECT NULL::BIGINT AS supplier, NULL::BIGINT AS part WHERE FALSE"
+        steps.append(f"t{i} AS (SELECT supplier, part, {i} AS tier, row_number() OVER (PARTITION BY supplier ORDER BY part) AS nth, need FROM (SELECT DISTINCT l_suppkey AS supplier, l_partkey AS part, need FROM lineitem JOIN d{i - 1} ON supplier = l_suppkey WHERE need > 0 AND {where} AND (l_suppkey, l_partkey) NOT IN ({before})) QUALIFY nth <= {f'least(need, {cap})' if cap else 'need'})")
+        steps.append(f"d{i} AS (SELECT d.supplier, d.need - count(t.part) AS need FROM d{i - 1} d LEFT JOIN t{i} t ON t.supplier = d.supplier GROUP BY d.supplier, d.need)")
+    every = " UNION ALL ".join(f"SELECT supplier, part, tier, nth FROM t{i}" for i in range(1, len(CASCADE) + 1))
+    return f"WITH {', '.join(steps)} SELECT supplier, part, tier, row_number() OVER (PARTITION BY supplier ORDER BY tier, nth) AS place FROM ({every})"
+
+
+def _cascade(spark: SparkSession, d: str, ask: Column) -> DataFrame:
+    rows = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "l_returnflag", "l_quantity", "l_discount")
+    demand = load(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), ask.alias("need"))
+    return c.cascade(demand, [(rows.filter(where).select("supplier", "part"), cap) for where, cap in CASCADE], group="supplier", key="part", need="need", order=[F.asc("part")])
+
+
+@query(_cascade_sql("20 + s_suppkey % 50"))
+def tier_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Five sources of a supplier's parts, each asked only for what the ones before did not give."""
+    return _cascade(spark, d, F.col("s_suppkey") % 50 + 20)
+
+
+@query(_cascade_sql("1"))
+def first_source(spark: SparkSession, d: str) -> DataFrame:
+    """The first source that has anything: a cascade for one part; later sources are not read for suppliers that have it."""
+    return _cascade(spark, d, F.lit(1))
+
+
 @query("SELECT p_partkey, md5(p_partkey::VARCHAR || '-7') AS h FROM part ORDER BY h LIMIT 20")
 def random_k_seeded(spark: SparkSession, d: str) -> DataFrame:
     """A repeatable random sample: the k least keyed hashes."""
