@@ -11,6 +11,7 @@ from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.functions.article import news_articles
 from loomwork.operators.catalogue import padded, round_robin
+from loomwork.operators.terms import contained_terms
 from loomwork.sources.tables import load, spread
 
 QUERIES, ORACLES = {}, {}
@@ -156,6 +157,18 @@ def term_grounding(spark: SparkSession, d: str) -> DataFrame:
     return _grounding(spark, d).select("doc_id", "critical", "clickbait", s.term_score(F.col("critical"), F.col("clickbait")).alias("score"))
 
 
+_TERMS = "SELECT DISTINCT term FROM (SELECT p_name AS term FROM part UNION ALL SELECT unnest(string_split(text, ' ')) FROM benchmark) WHERE term <> ''"
+
+
+@query(f"SELECT doc_id, count(*) AS n, min(term) AS first, max(term) AS last FROM documents JOIN ({_TERMS}) ON contains(text, term) GROUP BY 1")
+def dictionary_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of a table (names of parts, words of the benchmark) that each document holds."""
+    names = load(spark, d, "part").select(F.col("p_name").alias("term"))
+    terms = names.unionByName(load(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("term")))
+    found = contained_terms(spread(load(spark, d, "documents").select("doc_id", "text")), terms, key="doc_id", text="text", term="term")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
 @query()
 def html_article(spark: SparkSession, d: str) -> DataFrame:
     """Title and text of each page by known places, with the lines that are not text left out."""
