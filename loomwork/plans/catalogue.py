@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scoring as s
 from loomwork.operators import catalogue as c
+from loomwork.sources.scratch import scratch_folder
 from loomwork.sources.tables import load
+from loomwork.streaming import cache
 
 QUERIES, ORACLES = {}, {}
 
@@ -135,6 +137,27 @@ def cache_latest_valid(spark: SparkSession, d: str) -> DataFrame:
     return c.latest_valid(_cache(spark, d), keys=["user_id", "event_type"], at="ts", expires="expires", as_of=as_of, tie="event_id").select("user_id", "event_type", "event_id")
 
 
+@query(f"SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) rn FROM ({_CACHE}) WHERE expires IS NULL OR expires > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)) WHERE rn = 1")
+def cache_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The cache as a stream over the events, asked at its last watermark: the newest version of each key that is valid then."""
+    home, store = scratch_folder(spark, "cache"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        log = spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+        k = F.get_json_object("props", "$.k").cast("int")
+        at = F.col("ts").cast("timestamp")
+        versions = log.select("user_id", "event_type", "event_id", at.alias("ts"), F.when(k % 10 != 0, at + F.make_dt_interval(k)).alias("expires"))
+        told = cache.valid_versions(versions, keys=["user_id", "event_type"], id="event_id", at="ts", expires="expires")
+        # a batch that is run again after a failure writes the same folder again
+        kept = told.writeStream.outputMode("update").option("checkpointLocation", f"{home}/progress").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{home}/told/{i}"))
+        kept.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    answers = spark.read.parquet(f"{home}/told/*").groupBy("user_id", "event_type").agg(F.max_by("id", F.struct("batch", "asked")).alias("event_id"))
+    return answers.filter("event_id is not null")
+
+
 @query("SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS updated_at, max(ts) + INTERVAL 30 DAY AS expires_at, count(*) AS versions FROM events GROUP BY ALL")
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Appended versions folded to the newest for each key; it lives 30 days more."""
