@@ -137,9 +137,17 @@ def hamming_between(left: DataFrame, right: DataFrame, threshold: int, *, key: s
 
 
 def shuffled_groups(rows: DataFrame, *, score: str, key: str, seed: int) -> DataFrame:
-    """``rows`` with ``place``: by descending score, equal scores in a random order that the seed fixes."""
-    shuffle = F.md5(F.concat_ws("-", F.lit(seed), F.col(key)).cast("binary"))
-    within = F.row_number().over(Window.partitionBy(score).orderBy(shuffle, key)).cast("long")
-    sizes = rows.groupBy(score).agg(F.count("*").alias("_n"))  # one row for each score
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("_at", within).join(before.drop("_n"), score).withColumn("place", F.col("_before") + F.col("_at")).drop("_at", "_before")
+    """``rows`` with ``place``: by descending score, equal scores in a random order that the seed fixes.
+
+    The order is that of a hash; its first three digits are buckets, which are ranked side by side, so a score that many rows
+    share is no single task.  Windows see buckets' counts only.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), F.col(key)).cast("binary"))).withColumn("_b", F.left("_h", F.lit(3)))
+    within = F.row_number().over(Window.partitionBy(score, "_b").orderBy("_h", key)).cast("long")
+    sizes = hashed.groupBy(score, "_b").agg(F.count("*").alias("_n"))
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_score = sizes.withColumn("_before", upto(Window.partitionBy(score).orderBy("_b"))).drop("_n")
+    scores = sizes.groupBy(score).agg(F.sum("_n").alias("_n"))  # one row for each score
+    higher = scores.withColumn("_higher", upto(Window.orderBy(F.desc(score)))).drop("_n")
+    placed = hashed.withColumn("_at", within).join(in_score, [score, "_b"]).join(higher, score)
+    return placed.withColumn("place", F.col("_higher") + F.col("_before") + F.col("_at")).drop("_at", "_before", "_higher", "_h", "_b")

@@ -15,7 +15,8 @@ from loomwork.functions import media as m
 from loomwork.functions import scoring as s
 from loomwork.functions import selection as sel
 from loomwork.functions import text as t
-from loomwork.sources.tables import load
+from loomwork.sources.scratch import scratch_folder
+from loomwork.sources.tables import decode_text, json_lines, load, read_subtitles, write_lines, write_subtitles
 
 QUERIES, ORACLES = {}, {}
 
@@ -313,3 +314,58 @@ def exact_rounding(spark: SparkSession, d: str) -> DataFrame:
     """Products rounded half to even by their exact binary values."""
     x = F.col("l_extendedprice")
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", s.exact_round(x * F.col("l_discount") / 3, 2).alias("cents"), s.exact_round(F.col("l_quantity") * 0.125, 2).alias("ties"), s.exact_round(x * F.col("l_tax"), 1).alias("tenths"))
+
+
+# --- files: subtitles, lines of JSON, other charsets ---
+
+_MS = "(turn * 2500 + 120 * (conv_id % 7))"
+_CUE = "regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '^[ \t\r]+|[ \t\r]+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, count(*) AS cues, count(*) FILTER (turn % 3 = 0) AS stacked, max(length({_CUE}) + CASE WHEN turn % 3 = 0 THEN 5 ELSE 0 END)::BIGINT AS longest, min({_MS}) / 1000 AS starts, (max({_MS}) + 1900) / 1000 AS ends FROM conversations WHERE {_CUE} <> '' GROUP BY 1")
+def subtitle_files(spark: SparkSession, d: str) -> DataFrame:
+    """A subtitle file for each conversation, written, read again and parsed: a turn's first line is a cue."""
+    start = F.col("turn") * 2500 + 120 * (F.col("conv_id") % 7)
+    first = F.regexp_replace(F.split(F.coalesce("text", F.lit("")), "\n")[0], r"^[ \t\r]+|[ \t\r]+$", "")
+    said = load(spark, d, "conversations").select("conv_id", "turn", start.alias("start"), first.alias("said")).filter("said <> ''")
+    clock = lambda ms: t.srt_time(ms / 1000)
+    block = F.concat(F.lit("\n"), clock(F.col("start")), F.lit(" --> "), clock(F.col("start") + 1900), F.lit("\n"), "said", F.when(F.col("turn") % 3 == 0, "\n<i>more</i>").otherwise(""))
+    cues = F.array_sort(F.collect_list(F.struct("turn", "start", block.alias("block"))))
+    srt = F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), x["block"])), "\n\n")
+    home = scratch_folder(spark, "subtitles")
+    write_subtitles(said.groupBy("conv_id").agg(cues.alias("c")).select("conv_id", srt.alias("srt")), home, name="conv_id", text="srt")
+    read = read_subtitles(spark, home, "conv_id").select(F.col("conv_id").cast("long").alias("conv_id"), "text")
+    times = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+:\d+:\d+,\d+) --> (\d+:\d+:\d+,\d+)"), 1), t.parse_srt_time)
+    ends = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+:\d+:\d+,\d+) --> (\d+:\d+:\d+,\d+)"), 2), t.parse_srt_time)
+    found = read.select("conv_id", once(m.cues(F.col("text")).alias("c"), times.alias("s"), ends.alias("e")))
+    return found.select("conv_id", F.size("c").cast("long").alias("cues"), F.size(F.filter("c", lambda x: x["stacked"])).cast("long").alias("stacked"), F.array_max(F.transform("c", lambda x: F.length(x["text"]))).cast("long").alias("longest"), F.array_min("s").alias("starts"), F.array_max("e").alias("ends"))
+
+
+@query("SELECT event_id, event_type AS kind, value FROM events WHERE event_id % 7 < 5")
+def json_line_file(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of JSON, written and read again; blank lines and broken ones, two of seven, are skipped."""
+    e = load(spark, d, "events")
+    line = F.when(F.col("event_id") % 7 == 5, " ").when(F.col("event_id") % 7 == 6, '{"event_id": broken').otherwise(F.concat(F.lit("  "), F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), "value"))))
+    home = scratch_folder(spark, "lines")
+    write_lines(e.select(line.alias("line")), "line", home)
+    return json_lines(spark.read.text(home), "value", "event_id bigint, kind string, value double")
+
+
+_BYTES = "CASE WHEN (k + pos) % 5 = 3 THEN '<meta charset=euc-kr> ' || text ELSE text END"
+
+
+@query(f"WITH {_SENTENCES} SELECT id AS l_orderkey, pos, CASE WHEN (k + pos) % 5 = 4 THEN chr(65533) || ' plain ' || k ELSE {_BYTES} END AS text FROM w")
+def charset_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences in UTF-8, in both Korean charsets, with a declared one, and broken ones, as bytes and back."""
+    import pyarrow as pa
+
+    kind = (F.col("k") + F.col("pos")) % 5
+    text = F.when(kind == 4, F.concat(F.lit("plain "), F.col("k").cast("string"))).when(kind == 3, F.concat(F.lit("<meta charset=euc-kr> "), "text")).otherwise(F.col("text"))
+
+    def encode(batches):
+        for b in batches:
+            raw = [b"\xff " + x.encode() if n == 4 else x.encode(("utf-8", "euc-kr", "cp949", "euc-kr")[n]) for x, n in zip(b.column("text").to_pylist(), b.column("kind").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("l_orderkey"), b.column("pos"), pa.array(raw, pa.binary())], ["l_orderkey", "pos", "raw"])
+
+    raw = _sentences(spark, d).select(F.col("id").alias("l_orderkey"), "pos", kind.cast("int").alias("kind"), text.alias("text")).mapInArrow(encode, "l_orderkey bigint, pos bigint, raw binary")
+    return decode_text(raw, "raw").select("l_orderkey", "pos", "text")

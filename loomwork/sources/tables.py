@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,31 +85,89 @@ def feed_items(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
     return items.filter(F.col("place") < k).select("place", "i.*")
 
 
+#: Charsets whose texts can be decoded side by side: line feeds and zeros are bytes of their own in them.
+_SIDE_BY_SIDE = ("utf-8", "euc-kr", "cp949")
+_GAP = b"\n\0\n"
+
+
+def valid_utf8(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the texts flat[start:end] are UTF-8, by masks over all bytes at once.  Three bytes of ASCII stand
+    between any two and after the last, so none reaches into the next."""
+
+    def after(mask: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(len(mask), bool)
+        out[k:] = mask[:-k]
+        return out
+
+    two, three, four = (flat >= 0xC2) & (flat <= 0xDF), (flat >= 0xE0) & (flat <= 0xEF), (flat >= 0xF0) & (flat <= 0xF4)
+    follows = (flat & 0xC0) == 0x80
+    wanted = after(two | three | four, 1) | after(three | four, 2) | after(four, 3)
+    wrong = (follows != wanted) | (flat == 0xC0) | (flat == 0xC1) | (flat >= 0xF5)
+    for lead, low, high in ((0xE0, 0xA0, 0xBF), (0xED, 0x80, 0x9F), (0xF0, 0x90, 0xBF), (0xF4, 0x80, 0x8F)):
+        wrong |= after(flat == lead, 1) & ((flat < low) | (flat > high))
+    upto = np.concatenate([[0], np.cumsum(wrong)])
+    return upto[ends + 1] == upto[starts]
+
+
+def decoded(raws: list[bytes], charset: str) -> list[str | None]:
+    """The texts of a batch, None where the bytes are not of the charset.
+
+    All of them are decoded at once; where that fails, those that are not UTF-8 are told by masks, and of other charsets halves
+    are tried, down to the text at fault.
+    """
+    if not raws:
+        return []
+    if charset.lower() in _SIDE_BY_SIDE and len(raws) > 1 and not any(_GAP in r for r in raws):
+        try:
+            return list(_GAP.join(raws).decode(charset).split(_GAP.decode()))
+        except UnicodeDecodeError:
+            pass
+        if charset.lower() == "utf-8":
+            sizes = np.array([len(r) for r in raws])
+            starts = np.cumsum(sizes + 3) - sizes - 3
+            good = valid_utf8(np.frombuffer(b"\n\n\n".join([*raws, b""]), np.uint8), starts, starts + sizes)
+            texts = iter(decoded([r for r, ok in zip(raws, good) if ok], charset))
+            return [next(texts) if ok else None for ok in good]
+        half = len(raws) // 2
+        return decoded(raws[:half], charset) + decoded(raws[half:], charset)
+    out: list[str | None] = []
+    for r in raws:
+        try:
+            out.append(r.decode(charset))
+        except (UnicodeDecodeError, LookupError):
+            out.append(None)
+    return out
+
+
+def decode_batch(raws: list[bytes | None], charsets: tuple[str, ...], need: str) -> list[str | None]:
+    """The first decode of each text that has ``need``: by the charset that it declares, then by ``charsets``; else UTF-8 with
+    replacements.  Each charset is tried once for all texts that it may be of."""
+    out: list[str | None] = [None] * len(raws)
+    waiting = [i for i, r in enumerate(raws) if r is not None]
+    declared: dict[str, list[int]] = {}
+    for i in waiting:
+        if said := re.search(rb"charset=[\"']?([\w-]+)", raws[i][:2048], re.I):
+            declared.setdefault(said[1].decode(), []).append(i)
+    for charset, rows in [*declared.items(), *[(c, None) for c in charsets]]:
+        rows = [i for i in (waiting if rows is None else rows) if out[i] is None]
+        for i, text in zip(rows, decoded([raws[i] for i in rows], charset)):
+            if text is not None and re.search(need, text):
+                out[i] = text
+        waiting = [i for i in waiting if out[i] is None]
+    for i in waiting:
+        out[i] = raws[i].decode("utf-8", "replace")
+    return out
+
+
 def decode_text(df: DataFrame, column: str, out: str = "text", charsets: tuple[str, ...] = ("utf-8", "euc-kr", "cp949"), need: str = r"[가-힣]") -> DataFrame:
     """Bytes to text: a declared ``charset=`` first, then ``charsets``; the first decode that has ``need``
     wins, else UTF-8 with replacements.  Null stays null."""
-    import re
+    at = df.columns.index(column)
 
     def decode(batches):
-        import pyarrow as pa
-
-        def one(raw: bytes | None) -> str | None:
-            if raw is None:
-                return None
-            said = re.search(rb"charset=[\"']?([\w-]+)", raw[:2048], re.I)
-            for name in [*([said[1].decode()] if said else []), *charsets]:
-                try:
-                    text = raw.decode(name)
-                except (UnicodeDecodeError, LookupError):
-                    continue
-                if re.search(need, text):
-                    return text
-            return raw.decode("utf-8", "replace")
-
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(x) for x in b.column(at).to_pylist()], pa.string())], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decode_batch(b.column(at).to_pylist(), charsets, need), pa.string())], [*b.schema.names, out])
 
-    at = df.columns.index(column)
     return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
@@ -114,6 +176,16 @@ def subtitle_text(df: DataFrame, column: str, out: str = "text") -> DataFrame:
     return decode_text(df, column, out, ("utf-8-sig", "utf-8", "cp949", "euc-kr"), need="")
 
 
+def write_subtitles(df: DataFrame, path: str, *, name: str, text: str) -> None:
+    """A subtitle file for each row, in a folder of its ``name``; a task that is run again leaves no second file."""
+    df.select(name, F.col(text).cast("string").alias("value")).write.partitionBy(name).text(path)
+
+
+def read_subtitles(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, text) of the files of ``write_subtitles``."""
+    return spark.read.text(path, wholetext=True).select(name, F.col("value").alias("text"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
