@@ -117,6 +117,20 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.select(*keys).withColumn("is_new", F.lit(False)).unionByName(added.withColumn("is_new", F.lit(True)))
 
 
+def replace_on_path(media: DataFrame, tags: DataFrame, usage: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after ``incoming`` (ord, path, hash) replaced the media of the same paths: of equal paths the last ``ord`` stays.
+
+    What is replaced goes with its tags and its usage; what comes has a new id and was never used.  ``media``: id, path, hash,
+    use_count.
+    """
+    last = incoming.groupBy("path").agg(F.max_by("hash", "ord").alias("hash"))
+    gone = media.join(last.select("path"), "path", "left_semi").select(F.col("id").cast("string").alias("id"))
+    kept = media.join(last.select("path"), "path", "left_anti").select(F.col("id").cast("string").alias("id"), "path", "hash", "use_count")
+    fresh = last.select(new_id(F.col("hash")).alias("id"), "path", "hash", F.lit(0).cast("long").alias("use_count"))
+    still = lambda t: t.withColumn("id", F.col("id").cast("string")).join(gone, "id", "left_anti")
+    return kept.unionByName(fresh), still(tags), still(usage)
+
+
 def delete_cascade(media: DataFrame, tags: DataFrame, usage: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the media that ``wanted`` (what: an id in digits, or a path) names."""
     ids = media.join(wanted.filter(F.col("what").rlike("^[0-9]+$")).select(F.col("what").cast("long").alias("id")), "id", "left_semi").select("id")

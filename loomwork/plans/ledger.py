@@ -188,6 +188,26 @@ def delete_with_cascade(spark: SparkSession, d: str) -> DataFrame:
     return one("media", left[0]).unionByName(one("tags", left[1])).unionByName(one("usage", left[2]))
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, 'p/' || p_partkey AS path, 'h' || p_partkey AS hash FROM part WHERE p_partkey % 3 <> 0), u AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
+n AS (SELECT 'p/' || p_partkey AS path, CASE WHEN p_partkey % 10 = 0 THEN 'y' ELSE 'x' END || p_partkey AS hash FROM part WHERE p_partkey % 5 = 0),
+m AS (SELECT s.id::VARCHAR AS id, path, hash, coalesce(u.n, 0) AS use_count, (SELECT len(list_distinct(string_split(p_name, ' '))) FROM part WHERE p_partkey = s.id) AS tags, coalesce(u.n, 0) AS uses FROM s LEFT JOIN u ON u.id = s.id WHERE path NOT IN (SELECT path FROM n)
+UNION ALL SELECT 'n-' || left(md5(hash), 12), path, hash, 0, 0, 0 FROM n) SELECT * FROM m""")
+def replace_media(spark: SparkSession, d: str) -> DataFrame:
+    """Files written again to their paths: the older entries go with their tags and usage, the new ones begin unused; the last of two writes stays."""
+    k = F.col("p_partkey")
+    usage = load(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
+    used = usage.groupBy("id").agg(F.count("*").alias("n"))
+    media = load(spark, d, "part").filter(k % 3 != 0).select(k.alias("id"), F.concat(F.lit("p/"), _text(k)).alias("path"), F.concat(F.lit("h"), _text(k)).alias("hash"))
+    media = media.join(used, "id", "left").select("id", "path", "hash", F.coalesce("n", F.lit(0).cast("long")).alias("use_count"))
+    tags = load(spark, d, "part").select(k.alias("id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("tag"))
+    writes = load(spark, d, "part").filter(k % 5 == 0).select(F.explode(F.when(k % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("ord"), "p_partkey")
+    incoming = writes.select("ord", F.concat(F.lit("p/"), _text(k)).alias("path"), F.concat(F.when(F.col("ord") == 2, "y").otherwise("x"), _text(k)).alias("hash"))
+    media, tags, usage = g.replace_on_path(media, tags, usage, incoming)
+    count = lambda t, name: t.groupBy("id").agg(F.count("*").alias(name))
+    whole = media.join(count(tags, "tags"), "id", "left").join(count(usage, "uses"), "id", "left")
+    return whole.select("id", "path", "hash", "use_count", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("tags", "uses")])
+
+
 @query("SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN ' (edited)' ELSE '' END) AS file_hash, doc_id % 7 = 0 AS changed FROM documents")
 def rehash(spark: SparkSession, d: str) -> DataFrame:
     """Content hashes after an edit, and which of them changed."""

@@ -13,6 +13,7 @@ from loomwork.functions import grounding as ground
 from loomwork.functions import media as m
 from loomwork.functions import scoring as s
 from loomwork.functions import text as t
+from loomwork.functions.pixels import image_features
 from loomwork.operators import catalogue as c
 from loomwork.sources.tables import load
 
@@ -168,15 +169,44 @@ def ideal_slot(spark: SparkSession, d: str) -> DataFrame:
     return n.join(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", s.ideal_time(F.col("total")).alias("ideal"))
 
 
-@query("SELECT p_partkey, p_size % 5 <> 0 AND NOT (p_partkey % 4 = 0) AS active, p_size % 5 <> 0 AND p_partkey % 4 = 0 AS deactivated FROM part")
+@query("SELECT p_partkey, p_size % 5 <> 0 AND there AS active, p_size % 5 <> 0 AND NOT there AS deactivated FROM (SELECT *, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40) AS there FROM part)")
 def missing_files(spark: SparkSession, d: str) -> DataFrame:
-    """Media whose file is gone are no longer active; those that were are told apart, and no row is deleted."""
+    """Media whose file is not in a listing (the items of large quantities) are no longer active; those that were are told apart, and no row is deleted."""
     part = load(spark, d, "part").select("p_partkey", (F.col("p_size") % 5 != 0).alias("was"))
-    files = load(spark, d, "part").filter("p_partkey % 4 <> 0").select("p_partkey", F.lit(True).alias("there"))
-    j = part.join(files, "p_partkey", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    listed = load(spark, d, "lineitem").filter("l_quantity >= 40").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("there", F.lit(True))
+    j = part.join(listed, "p_partkey", "left").withColumn("there", F.coalesce("there", F.lit(False)))
     return j.select("p_partkey", (F.col("was") & F.col("there")).alias("active"), (F.col("was") & ~F.col("there")).alias("deactivated"))
 
 
+#: An image of 60 by 40 points from a vector: its colours are the vector's values in as many steps as its id tells.
+_POINT = "floor((embedding[1 + (x * 7 + y * 3 + x * y) % 64] + 1) * (2 + vec_id % 9))"
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_POINT} AS c FROM embeddings, (SELECT unnest(range(0, 60)) AS x), (SELECT unnest(range(0, 40)) AS y)), n AS (SELECT vec_id, c, count(*) AS n FROM p GROUP BY 1, 2),
+r AS (SELECT vec_id, n, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC) AS place FROM n), t AS (SELECT vec_id, sum(n) FILTER (place = 1) / 2400 AS top1, sum(n) FILTER (place <= 2) / 2400 AS top2 FROM r GROUP BY 1) SELECT vec_id, top1, top2, top1 > 0.60 OR top2 > 0.72 AS flat FROM t""")
+def flat_graphics(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the most frequent colours of images, and whether those are flat graphics."""
+    return _images(spark, d).select("vec_id", "top1", "top2", "flat")
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of 60 by 40 points, their hashes and colours."""
+    place = F.sequence(F.lit(0), F.lit(2399))
+    value = lambda i: F.element_at("embedding", (1 + (i % 60 * 7 + F.floor(i / 60) * 3 + i % 60 * F.floor(i / 60)) % 64).cast("int"))
+    colour = F.transform(place, lambda i: F.floor((value(i) + 1) * (F.col("vec_id") % 9 + 2)).cast("int"))
+    grey = F.transform(place, lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value(i) + 1) * 127.5))).cast("int"))
+    images = load(spark, d, "embeddings").select("vec_id", grey.alias("grey"), colour.alias("colour"))
+    return image_features(images, key="vec_id", grey="grey", colour="colour", width=60)
+
+
+def pixel_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Difference hashes of images from their points; a test holds the resampling against a slow one."""
+    return _images(spark, d).select("vec_id", "dhash")
+
+
+QUERIES["pixel_hashes"] = pixel_hashes
+
+
 @query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_size DESC, p_brand, p_partkey LIMIT 40")
 def ordered_by_list(spark: SparkSession, d: str) -> DataFrame:
     """An order given as a list of columns and directions from a white list."""
