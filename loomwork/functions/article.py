@@ -13,12 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .dictionaries import BODY_PLACES, TITLE_PLACES
+from .dictionaries import BODY_PLACES, PAGE_FRAME, PAGE_JUNK, PAGE_NOT_TEXT, TITLE_PLACES
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_FRAME = {"header", "nav", "footer", "aside", "form"}
-_JUNK = re.compile("gnb|menu|nav|header|footer|sidebar|banner|util|quick|share|sns", re.I)
-_NOT_TEXT = {"script", "style", "iframe", "button", "figcaption", "em"}
+_JUNK = re.compile(PAGE_JUNK, re.I)
 
 
 class Node:
@@ -37,7 +35,7 @@ class Node:
                 left.extend(x.children[::-1])
 
     def junk(self) -> bool:
-        return self.tag in _FRAME or any(_JUNK.search(self.attrs.get(a, "")) for a in ("class", "id"))
+        return self.tag in PAGE_FRAME or any(_JUNK.search(self.attrs.get(a, "")) for a in ("class", "id"))
 
     def texts(self, skip: frozenset[str] = frozenset()) -> list[str]:
         out, left = [], self.children[::-1]
@@ -128,7 +126,7 @@ def news_article(html: str | None) -> tuple[str, str]:
     if not title and (node := _at(root, "title", "", "", False)) is not None:
         title = "".join(node.texts())
     body = next((x for p in BODY_PLACES if (x := _at(root, *p, False)) is not None), None) or _densest(root)
-    return title, "\n".join(body.texts(frozenset(_NOT_TEXT))) if body is not None else ""
+    return title, "\n".join(body.texts(frozenset(PAGE_NOT_TEXT))) if body is not None else ""
 
 
 def news_articles(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -59,3 +59,7 @@ ALIASES = {
 }
 QUOTED = "['\"‘“「『<]([^'\"’”」』>]{2,25})['\"‘“「『>]"
 SECTION = r"\[사진\s*\d+\]|\[이미지\s*\d+\]|###\s*\d+|【\d+】"
+#: Elements of a page that hold no article, words of the classes and ids of those that hold none (case ignored), and elements in it that are no text.
+PAGE_FRAME = {"header", "nav", "footer", "aside", "form"}
+PAGE_JUNK = "gnb|menu|nav|header|footer|sidebar|banner|util|quick|share|sns"
+PAGE_NOT_TEXT = {"script", "style", "iframe", "button", "figcaption", "em"}

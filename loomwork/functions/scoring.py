@@ -70,14 +70,6 @@ def severity(kind: Column) -> Column:
     return F.when(kind == "error", "high").when(kind == "info", "low").otherwise("medium")
 
 
-def issue_type(message: Column, ladder: list[tuple[str, str]], default: str) -> Column:
-    """The first rung whose pattern the message has."""
-    out = F.when(F.lower(message).rlike(ladder[0][0]), ladder[0][1])
-    for pattern, name in ladder[1:]:
-        out = out.when(F.lower(message).rlike(pattern), name)
-    return out.otherwise(default)
-
-
 def known_issue(message: Column, component: Column) -> Column:
     """The type of an issue by the first rung of the ladder that its message has; else the component's own."""
     out = F.when(F.lower(message).rlike(ISSUE_LADDER[0][0]), ISSUE_LADDER[0][1])

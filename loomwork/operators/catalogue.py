@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,17 +129,48 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+#: Rows of a block of which all pairs are compared at once.
+PAIR_BLOCK = 4096
+
+
+def _pairs_of_blocks(bits: DataFrame, threshold: int, *, key: str, words: list[str]) -> DataFrame:
+    """All pairs, block by block: rows are dealt to blocks by hash, two blocks meet in one task as arrays of words, and only the
+    near pairs come out.  A block goes to as many tasks as there are blocks, and no task holds more than two."""
+    rows = bits.select(F.col(key).cast("long").alias("k"), *[F.col(w).cast("long").alias(w) for w in words])
+    n = max(1, -(-rows.count() // PAIR_BLOCK))
+    block = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    dealt = rows.withColumn("_b", block)
+    first = dealt.withColumn("_o", F.explode(F.sequence("_b", F.lit(n - 1))))
+    second = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), "_b")))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["k"].to_numpy(), right["k"].to_numpy()
+        same = left.num_rows and right.num_rows and left["_b"][0].as_py() == right["_b"][0].as_py()
+        found = []
+        for lo in range(0, len(a), 512):
+            d = sum((np.bitwise_count(left[w].to_numpy()[lo : lo + 512, None] ^ right[w].to_numpy()[None, :]).astype(np.int64) for w in words), np.zeros((len(a[lo : lo + 512]), len(b)), np.int64))
+            near = d <= threshold
+            near &= (a[lo : lo + 512, None] < b) if same else (a[lo : lo + 512, None] != b)
+            i, j = np.nonzero(near)
+            found.append((np.minimum(a[lo + i], b[j]), np.maximum(a[lo + i], b[j]), d[i, j]))
+        columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3)]
+        return pa.table(columns, names=["a", "b", "distance"])
+
+    # the tables come from one, so columns are named anew
+    second = second.select(F.col("_o").alias("_b1"), F.col("_b").alias("_o1"), "k", *words, "_b").toDF("_b1", "_o1", "k", *words, "_b")
+    return first.groupBy("_b", "_o").cogroup(second.groupBy("_b1", "_o1")).applyInArrow(meet, "a long, b long, distance long")
+
+
 def hamming_pairs(bits: DataFrame, threshold: int, *, key: str, words: list[str], blocks: list[str] | None = None, width: int = 0, radius: int = 0) -> DataFrame:
     """Pairs a < b whose bit words differ in at most ``threshold`` places.
 
-    With ``blocks`` (disjoint parts of the bits) candidates agree in one block but for ``radius`` of its ``width`` bits at
+    Without ``blocks``, for thresholds too loose for them, blocks of rows are compared as arrays.  With ``blocks`` (disjoint parts of the bits) candidates agree in one block but for ``radius`` of its ``width`` bits at
     most: exact by the pigeonhole principle if blocks * (radius + 1) is above the threshold, and an equi-join instead of
     all pairs.  Wider blocks with a radius let far fewer pairs meet by chance than more, narrower ones.
     """
     dist = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a.{words[0]}").bitwiseXOR(F.col(f"b.{words[0]}"))))
     if blocks is None:
-        pairs = bits.alias("a").join(bits.alias("b"), (F.col(f"a.{key}") < F.col(f"b.{key}")) & (dist <= threshold))
-        return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), dist.cast("long").alias("distance"))
+        return _pairs_of_blocks(bits, threshold, key=key, words=words)
     if len(blocks) * (radius + 1) <= threshold:
         raise ValueError("more blocks or a larger radius are needed for the threshold")
     long = bits.select(key, *words, F.posexplode(F.array(*blocks)).alias("_i", "_block"))

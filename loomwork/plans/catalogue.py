@@ -212,7 +212,7 @@ def _bit_words(spark: SparkSession, d: str, blocks: int = 13, flipped: int = 0)
 
 @query(NEAR_SQL + "18")
 def near_dup_hamming(spark: SparkSession, d: str) -> DataFrame:
-    """A threshold too loose for blocks: a band join of bit words over all pairs of a small catalogue."""
+    """A threshold too loose for equal parts of the bits: blocks of rows are compared, two at a time."""
     return c.hamming_pairs(_bit_words(spark, d), 18, key="vec_id", words=["w1", "w2"])
 
 

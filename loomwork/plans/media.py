@@ -15,7 +15,8 @@ from loomwork.functions import scoring as s
 from loomwork.functions import text as t
 from loomwork.functions.pixels import image_features
 from loomwork.operators import catalogue as c
-from loomwork.sources.tables import load
+from loomwork.sources.scratch import scratch_folder
+from loomwork.sources.tables import content_hash, evolve, feed_items, load, schema, write_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -169,6 +170,37 @@ def ideal_slot(spark: SparkSession, d: str) -> DataFrame:
     return n.join(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", s.ideal_time(F.col("total")).alias("ideal"))
 
 
+@query("SELECT s_nationkey, place, s_name AS title, 'https://x.test/' || s_suppkey AS link FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier) WHERE place < 5")
+def feed_files(spark: SparkSession, d: str) -> DataFrame:
+    """A feed for each nation, written and read again: its first five items in their order."""
+    k = F.col("s_suppkey")
+    item = F.concat(F.lit("<item><title>"), "s_name", F.lit("</title><link>https://x.test/"), _text(k), F.lit("</link><guid>"), _text("s_nationkey"), F.lit("</guid></item>"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("item")))), lambda x: x["item"]), "")
+    feeds = load(spark, d, "supplier").groupBy("s_nationkey").agg(items.alias("items"))
+    home = scratch_folder(spark, "feeds")
+    xml = feeds.select(F.col("s_nationkey").alias("feed"), F.concat(F.lit("<rss><channel><title>t</title>"), "items", F.lit("</channel></rss>")).alias("xml"))
+    write_files(xml, home, name="feed", text="xml")  # a file for each
+    read = feed_items(spark, home)
+    return read.select(F.col("guid").cast("int").alias("s_nationkey"), F.col("place").cast("long").alias("place"), "title", "link")
+
+
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 OR text IS NULL THEN 'c:/files/' || lower(source) || '/' || doc_id ELSE text END) AS file_hash FROM documents")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of contents; of the path, lower case and with forward slashes, where there is no content."""
+    path = F.concat(F.lit("C:\\Files\\"), F.upper("source"), F.lit("\\"), _text("doc_id"))
+    content = F.when(F.col("doc_id") % 4 != 0, F.col("text").cast("binary"))
+    return load(spark, d, "documents").select("doc_id", content_hash(content, path).alias("file_hash"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, NULL::VARCHAR AS aliases, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS extra FROM customer")
+def added_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A table of fewer columns read under a schema that has more: those are null; two such tables fit together."""
+    old = load(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name"))
+    to = schema("id long, name string, aliases string, extra int")
+    new = old.filter("id % 2 = 0").withColumn("extra", F.lit(1).cast("long"))
+    return evolve(new, to).unionByName(evolve(old.filter("id % 2 <> 0"), to))
+
+
 @query("SELECT p_partkey, p_size % 5 <> 0 AND there AS active, p_size % 5 <> 0 AND NOT there AS deactivated FROM (SELECT *, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40) AS there FROM part)")
 def missing_files(spark: SparkSession, d: str) -> DataFrame:
     """Media whose file is not in a listing (the items of large quantities) are no longer active; those that were are told apart, and no row is deleted."""

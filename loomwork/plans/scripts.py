@@ -16,7 +16,7 @@ from loomwork.functions import scoring as s
 from loomwork.functions import selection as sel
 from loomwork.functions import text as t
 from loomwork.sources.scratch import scratch_folder
-from loomwork.sources.tables import decode_text, json_lines, load, read_subtitles, write_lines, write_subtitles
+from loomwork.sources.tables import decode_text, json_lines, load, read_files, write_files, write_lines
 
 QUERIES, ORACLES = {}, {}
 
@@ -333,8 +333,8 @@ def subtitle_files(spark: SparkSession, d: str) -> DataFrame:
     cues = F.array_sort(F.collect_list(F.struct("turn", "start", block.alias("block"))))
     srt = F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), x["block"])), "\n\n")
     home = scratch_folder(spark, "subtitles")
-    write_subtitles(said.groupBy("conv_id").agg(cues.alias("c")).select("conv_id", srt.alias("srt")), home, name="conv_id", text="srt")
-    read = read_subtitles(spark, home, "conv_id").select(F.col("conv_id").cast("long").alias("conv_id"), "text")
+    write_files(said.groupBy("conv_id").agg(cues.alias("c")).select("conv_id", srt.alias("srt")), home, name="conv_id", text="srt")
+    read = read_files(spark, home, "conv_id").select(F.col("conv_id").cast("long").alias("conv_id"), "text")
     times = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+:\d+:\d+,\d+) --> (\d+:\d+:\d+,\d+)"), 1), t.parse_srt_time)
     ends = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+:\d+:\d+,\d+) --> (\d+:\d+:\d+,\d+)"), 2), t.parse_srt_time)
     found = read.select("conv_id", once(m.cues(F.col("text")).alias("c"), times.alias("s"), ends.alias("e")))

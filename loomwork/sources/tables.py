@@ -176,13 +176,13 @@ def subtitle_text(df: DataFrame, column: str, out: str = "text") -> DataFrame:
     return decode_text(df, column, out, ("utf-8-sig", "utf-8", "cp949", "euc-kr"), need="")
 
 
-def write_subtitles(df: DataFrame, path: str, *, name: str, text: str) -> None:
-    """A subtitle file for each row, in a folder of its ``name``; a task that is run again leaves no second file."""
+def write_files(df: DataFrame, path: str, *, name: str, text: str) -> None:
+    """A file for each row, as of subtitles, in a folder of its ``name``; a task that is run again leaves no second file."""
     df.select(name, F.col(text).cast("string").alias("value")).write.partitionBy(name).text(path)
 
 
-def read_subtitles(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(name, text) of the files of ``write_subtitles``."""
+def read_files(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, text) of the files of ``write_files``."""
     return spark.read.text(path, wholetext=True).select(name, F.col("value").alias("text"))
 
 

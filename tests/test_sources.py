@@ -52,8 +52,8 @@ def test_masks_tell_utf8():
 
 def test_subtitle_files_round_trip(spark, tmp_path):
     rows = [("a", "1\n00:00:01,000 --> 00:00:02,000\n가"), ("b c", "one line"), ("d", "")]
-    tables.write_subtitles(spark.createDataFrame(rows, "video string, srt string"), f"{tmp_path}/out", name="video", text="srt")
-    assert sorted((r["video"], r["text"].rstrip("\n")) for r in tables.read_subtitles(spark, f"{tmp_path}/out", "video").collect()) == sorted(rows)
+    tables.write_files(spark.createDataFrame(rows, "video string, srt string"), f"{tmp_path}/out", name="video", text="srt")
+    assert sorted((r["video"], r["text"].rstrip("\n")) for r in tables.read_files(spark, f"{tmp_path}/out", "video").collect()) == sorted(rows)
 
 
 def test_terms_of_a_table(spark, monkeypatch):
@@ -87,3 +87,17 @@ def test_cascade_asks_later_tiers_only_for_what_lacks(spark):
     demand = spark.createDataFrame(list(needs.items()), "g long, need long")
     got = catalogue.cascade(demand, frames, group="g", key="k", need="need", order=[F.asc("k")])
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_blocks_of_rows_give_all_near_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2**12), rng.randrange(2**8)) for i in range(150)] + [(500, 0, 0), (501, 0, 0)]
+    df = spark.createDataFrame(rows, "k long, w1 long, w2 long")
+    dist = lambda a, b: bin(a[1] ^ b[1]).count("1") + bin(a[2] ^ b[2]).count("1")
+    want = sorted((a[0], b[0], dist(a, b)) for a in rows for b in rows if a[0] < b[0] and dist(a, b) <= 6)
+    for block in (4096, 20):
+        monkeypatch.setattr(catalogue, "PAIR_BLOCK", block)
+        got = catalogue.hamming_pairs(df, 6, key="k", words=["w1", "w2"])
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == want
+    assert catalogue.hamming_pairs(df.limit(0), 6, key="k", words=["w1", "w2"]).count() == 0
