@@ -168,7 +168,7 @@ def points(text: str) -> float:
 
 def free_wrappers(root: Node) -> None:
     """Elements cut for their class, id, role or style, and forms and the like, are kept after all if they wrap the page: where nothing outside
-    them is an article or main and they hold one, or else more than three quarters of the points."""
+    them is an article or main and they hold one and a quarter of the points, or else more than three quarters of the points."""
     walk, order = [root], []
     while walk:
         n = walk.pop()
@@ -197,7 +197,7 @@ def free_wrappers(root: Node) -> None:
                 (cut if k.marked else walk).append(k)
                 held = held and not (k.tag in ("article", "main") and not k.marked)
         if not walk:  # all outside of marks is seen
-            wrap = [k for k in cut if (inner[k][1] if held else 4 * inner[k][0] > 3 * whole)] if held or not inner[root][1] else []
+            wrap = [k for k in cut if (inner[k][1] and 4 * inner[k][0] > whole if held else 4 * inner[k][0] > 3 * whole)] if held or not inner[root][1] else []
             for k in wrap:
                 k.junk = k.marked = False
             walk, cut = wrap, [k for k in cut if k.marked]

@@ -427,6 +427,8 @@ def test_html_keeps_pages_in_forms_and_bare_text():
         for wrap in ("<form id=aspnetForm>{}</form>", "<fieldset>{}</fieldset>", "<aside>{}</aside>", "<div style='display: none'>{}</div>", "<div hidden>{}</div>", "<div role=dialog>{}</div>", "<form><div class=page><form>{}</form></div></form>"):
             assert html.main_text(wrap.format(menu + inner + "<select><option>one</option></select>")) == want, (wrap, inner[:9])
         assert html.main_text(f"{inner}<form><p>Your mail, please</p></form><aside><p>More, more</p></aside><div hidden><p>x, y</p></div>") == want
+    teasers = "<aside>" + "<article><h3><a href=x>Another, page</a></h3><p>More</p></article>" * 2 + "</aside>"
+    assert html.main_text(f"<div>{ps}</div>{teasers}") == html.main_text(f"<form><div>{ps}</div>{teasers}</form>") == want
     around = f"<div>Intro text <div>{ps}</div> closing <b>text</b></div>"
     assert html.main_text(around) == f"Intro text\n\n{want}\n\nclosing text"
     assert html.main_text(f"<div>First <div><div>{ps}</div></div> last</div>") == f"First\n\n{want}\n\nlast"
