@@ -80,9 +80,13 @@ def json_lines(lines: DataFrame, column: str, fields: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
-    """The first ``k`` items of an RSS file, in the file's order, with their ``place`` from 0."""
-    items = spark.read.format("xml").option("rowTag", "channel").load(path).select(F.posexplode("item").alias("place", "i"))
-    return items.filter(F.col("place") < k).select("place", "i.*")
+    """The first ``k`` items of an RSS file, in the file's order, with their ``place`` from 0; none if it has none."""
+    channels = spark.read.format("xml").option("rowTag", "channel").load(path)
+    if "item" not in channels.columns:
+        return channels.limit(0).select(F.lit(0).alias("place"))
+    # if no feed has more than one, the reader sees no list
+    listed = F.col("item") if isinstance(channels.schema["item"].dataType, T.ArrayType) else F.array_compact(F.array("item"))
+    return channels.select(F.posexplode(listed).alias("place", "i")).filter(F.col("place") < k).select("place", "i.*")
 
 
 #: Charsets whose texts can be decoded side by side: line feeds and zeros are bytes of their own in them.

@@ -101,3 +101,10 @@ def test_blocks_of_rows_give_all_near_pairs(spark, monkeypatch):
         assert "NestedLoop" not in got._jdf.queryExecution().toString()
         assert sorted(map(tuple, got.collect())) == want
     assert catalogue.hamming_pairs(df.limit(0), 6, key="k", words=["w1", "w2"]).count() == 0
+
+
+def test_feeds_of_one_item_and_of_none(spark, tmp_path):
+    for name, items in (("one", "<item><title>a</title><link>l</link></item>"), ("none", "")):
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel><title>t</title>{items}</channel></rss>")
+    assert [(r["place"], r["title"]) for r in tables.feed_items(spark, str(tmp_path / "one.xml")).collect()] == [(0, "a")]
+    assert tables.feed_items(spark, str(tmp_path / "none.xml")).collect() == []
