@@ -180,7 +180,7 @@ def reviewed_object(json: Column) -> Column:
     status = F.when(failed, "FAIL").when((F.size(issues) == 0) & (score >= 20), "PASS").when(said.isin("PASS", "WARNING", "FAIL", "AI_QA_NOT_RUN", "NOT_RUN"), said).otherwise(by_score)
     advice = F.filter(F.coalesce(j["recommendations"], F.array().cast("array<string>")), lambda r: text(r) != "")
     return F.struct(
-        F.bround(F.when(failed & (score > 15), 14.5).otherwise(score), 1).alias("score"),
+        s.exact_round(F.when(failed & (score > 15), 14.5).otherwise(score), 1).alias("score"),
         F.when(score.isNull(), "AI_QA_NOT_RUN").otherwise(status).alias("status"),
         score.isNull().alias("not_run"),
         (score.isNotNull() & F.coalesce(j["critical_error"], F.lit(False))).alias("critical"),
