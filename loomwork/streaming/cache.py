@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -77,6 +79,8 @@ def valid_versions(versions: DataFrame, *, keys: list[str], id: str, at: str, ex
     that may still be the answer are kept as state, so it is bounded by what is alive; a key without any keeps none.
     Versions later than the watermark are dropped by the stream.  The session needs the RocksDB state store.
     """
+    # the process that readies a stream's state does not see the session's module path
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = versions.withWatermark(at, late).select(at, *keys, F.col(id).cast("long").alias("id"), micros(at).alias("at"), micros(expires).alias("expires"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
