@@ -1,9 +1,9 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass 1 scatters records uniformly into buckets by a seeded hash of the whole record; the number of buckets
-follows the number and the bytes of the records, so a bucket fits in memory whatever the size of the table.  Equal records are
-counted first and scattered a few together, so neither they nor a key that many records share meet in one
-bucket.  Pass 2 shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates) and deals its records to the
+follows the number and the bytes of the records, so a bucket fits in memory whatever the size of the table.  Records that occur
+very often are counted first and scattered a few together, so neither they nor a key that many records share meet in one
+bucket; all others move once.  Pass 2 shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates) and deals its records to the
 shards in turn.  Each bucket is a partition of its own number, from which its seed comes, so the order does not
 depend on the session's settings.  Only the given columns move; the counts of earlier buckets give a bucket's first place.
 """
@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, shared_checkpoint
+from .common import few, load, scratch_folder, shared_checkpoint
 
 #: A bucket holds at most about BUCKET_ROWS records and BUCKET_BYTES; small tables still get many buckets, up to SPREAD.
 BUCKET_ROWS, BUCKET_BYTES, SPREAD_ROWS, SPREAD = 200_000, 64 << 20, 1000, 1000
 #: So many equal records go together.
 EQUAL_ROWS = 64
+#: Above so many hashes of frequent records a shuffled join is used.
+BROADCAST_FREQUENT = 1_000_000
 
 
 def counted_in_parts(rows: DataFrame, most: int = EQUAL_ROWS) -> DataFrame:
@@ -68,14 +70,19 @@ def row_bytes(schema: T.StructType) -> Column:
 def _placed(rows: DataFrame, seed: int, bucket_rows: int) -> DataFrame:
     """(_row, _at): each row of ``rows`` as a struct and its place."""
     plain = _comparable(rows)
-    parts = shared_checkpoint(counted_in_parts(plain))
-    n, size = parts.agg(F.sum("_n"), F.sum(row_bytes(plain.schema) * F.col("_n"))).first()
+    hashed = plain.select(F.struct(*[F.col(c) for c in plain.columns]).alias("_row")).withColumn("_hash", F.xxhash64("_row"))
+    # only hashes are counted; different records that share one are told apart in counted_in_parts
+    sizes = shared_checkpoint(hashed.groupBy("_hash").agg(F.count("*").alias("_n"), F.sum(row_bytes(plain.schema)).alias("_bytes")))
+    n, size = sizes.agg(F.sum("_n"), F.sum("_bytes")).first()
     n, size = n or 0, size or 0
     buckets = max(1, -(-n // bucket_rows), -(-size // BUCKET_BYTES), min(SPREAD, -(-n // SPREAD_ROWS)))
+    frequent = few(sizes.filter(F.col("_n") > EQUAL_ROWS).select("_hash"), BROADCAST_FREQUENT)
+    single = hashed.join(frequent, "_hash", "left_anti").select("_row", F.lit(0).cast("long").alias("_part"), F.lit(1).cast("long").alias("_n"))
+    parts = single.unionByName(counted_in_parts(hashed.join(frequent, "_hash", "left_semi").select("_row.*")))
     parts = parts.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row", "_part"), F.lit(buckets)).cast("int"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = parts.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
-    firsts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_first"))
+    firsts = F.broadcast(counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_first")))
     # sorted first, so a bucket that is computed again comes out the same
     bags = parts.repartitionById(buckets, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_row", "_part", "_n"))).alias("_bag"))
     each = F.flatten(F.transform("_bag", lambda p: F.array_repeat(p["_row"], p["_n"].cast("int"))))
@@ -105,15 +112,21 @@ def shard_rows(rows: DataFrame, *, shards: int, seed: int = 17) -> DataFrame:
 def write_shards(rows: DataFrame, path: str, *, shards: int, seed: int = 17) -> None:
     """Write whole records, a folder for each shard, in the order of their slots within each file."""
     placed = shard_rows(rows, shards=shards, seed=seed)
-    placed.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts have size 1 (their end) and the checksum of no bytes; an empty table gives no rows."""
+    """Whole documents are written into the shards and read again; what is told of them comes from there.
+
+    Null texts have size 1 (their end) and the checksum of no bytes; an empty table gives no rows.
+    """
+    path = scratch_folder(spark, "shards")
+    docs = load(spark, sf_dir, "documents")
+    write_shards(docs, path, shards=8)
+    schema = T.StructType([*docs.drop("shard", "slot").schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = load(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = shard_rows(docs, shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    return spark.read.schema(schema).parquet(path).select("doc_id", size, F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op3_sharding": op3_sharding}

@@ -335,6 +335,17 @@ def test_write_shards(spark, docs, tmp_path):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
+def test_sharding_query_moves_whole_records(spark, docs, local, monkeypatch, tmp_path):
+    """The shards that the query writes hold all columns of all documents, and its rows are those of the shards."""
+    monkeypatch.setattr(sharding, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    got = sharding.op3_sharding(spark, DATA).collect()
+    files = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(map(tuple, files.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    texts = dict(zip(local.doc_id, [(t or "").encode() for t in local.text]))
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in files.collect()}
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]]), "rows", None) for r in got)
+
+
 def test_targets(spark):
     rows = [("a", 100, 1), ("b", 1000, 1), (None, 50, 1), ("c", 10, 1)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long, n_docs long")).collect()}
