@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .common import load, scratch_folder
 MULAW, ALAW, IMA_ADPCM, PCM = 7, 6, 17, 1
 UNIT = 64
 FEATURE_SAMPLES = 1 << 20
+#: About so many bytes of PCM go to Spark at once.
+BATCH_BYTES = 8 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -170,12 +172,12 @@ def to_pcm(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media"
     return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema['id'].dataType.simpleString()}, pcm binary, error string")
 
 
-def pcm_digest(fmt: dict[str, int], data: memoryview, rate: int) -> tuple[int, str, str]:
-    """Bytes and SHA-256 of the resampled PCM, and its features: samples, peak, root mean square and zero crossings,
+def samples_digest(slices: Iterable[np.ndarray], rate: int) -> tuple[int, str, str]:
+    """Bytes and SHA-256 of 16-bit samples, and their features: samples, peak, root mean square and zero crossings,
     from exact integer sums over slices."""
     n = peak = energy = crossings = 0
     last, digest = None, hashlib.sha256()
-    for pcm in resampled(fmt, data, rate):
+    for pcm in slices:
         digest.update(pcm.astype("<i2").tobytes())
         x = pcm.astype(np.int64)
         peak = max(peak, int(np.abs(x).max()))
@@ -187,6 +189,11 @@ def pcm_digest(fmt: dict[str, int], data: memoryview, rate: int) -> tuple[int, s
     return 2 * n, digest.hexdigest(), f"rate={rate};n={n};peak={peak};rms={(energy / m) ** 0.5:.3f};zcr={crossings / m:.5f}"
 
 
+def pcm_digest(fmt: dict[str, int], data: memoryview, rate: int) -> tuple[int, str, str]:
+    """``samples_digest`` of the resampled PCM, which is not kept."""
+    return samples_digest(resampled(fmt, data, rate), rate)
+
+
 def audio_digest(stored: DataFrame, *, id_col: str = "doc_id", rate: int = 16000) -> DataFrame:
     """Digests of stored media and of their resampled PCM, all from the stored bytes read back.
 
@@ -216,11 +223,74 @@ def audio_digest(stored: DataFrame, *, id_col: str = "doc_id", rate: int = 16000
     return stored.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, error string")
 
 
+MEDIA_DIGEST = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+DIGEST_COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def convert_audio(stored: DataFrame, *, id_col: str = "doc_id", rate: int = 16000) -> DataFrame:
+    """``id_col``, n_bytes, digests of the stored media, and their resampled PCM as RIFF/WAVE bytes (``pcm``).
+
+    Null or broken media give nulls and say why in ``error``; they never stop the job.
+    """
+    kind = stored.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held, at = [], 0, 0
+            for i, m in enumerate(b.column("media")):
+                try:
+                    media = memoryview(m.as_buffer() if m.is_valid else b"")
+                    fmt, data = read_wav(media)
+                    pcm = write_wav(b"".join(x.astype("<i2").tobytes() for x in resampled(fmt, data, rate)), codec=PCM, rate=rate, bits=16)
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), pcm, None))
+                    held += len(pcm)
+                except (ValueError, struct.error) as e:
+                    rows.append((None,) * 6 + (str(e),))
+                if held >= BATCH_BYTES or i == b.num_rows - 1:
+                    part = b.slice(at, len(rows))
+                    fields = [*MEDIA_DIGEST, pa.field("pcm", pa.binary()), pa.field("error", pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("n_bytes"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), fields)]], [id_col, "n_bytes", *[f.name for f in fields]])
+                    rows, held, at = [], 0, i + 1
+
+    return stored.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, {DIGEST_COLUMNS}, pcm binary, error string")
+
+
+def pcm_features(converted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The columns of ``audio_digest``, those on PCM from the bytes of ``convert_audio``'s ``pcm``."""
+    kind = converted.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_bytes", *MEDIA_DIGEST.names, "feature", "pcm_bytes", "pcm_sha256", "error"]
+
+    def digest(pcm: pa.BinaryScalar) -> tuple[str | None, int | None, str | None]:
+        if not pcm.is_valid:
+            return None, None, None
+        fmt, data = read_wav(memoryview(pcm.as_buffer()))
+        samples = decode(fmt, data)
+        n, sha256, feature = samples_digest((samples[at : at + FEATURE_SAMPLES] for at in range(0, len(samples), FEATURE_SAMPLES)), fmt["rate"])
+        return feature, n, sha256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [digest(x) for x in b.column("pcm")]
+            made = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:-4]], *made, b.column("error")], names)
+
+    return converted.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, {DIGEST_COLUMNS}, feature string, pcm_bytes long, pcm_sha256 string, error string")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Parquet, tightly packed, since samples at the higher rate take four bytes for each of the text."""
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "11").parquet(path)
+
+
 def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media are written as Parquet in the folder that the cluster shares, and read again from there."""
-    path = scratch_folder(spark, "media")
-    store_audio(load(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
-    return audio_digest(spark.read.parquet(path))
+    """The media and their resampled PCM are written as Parquet in the folder that the cluster shares, and read again from there.
+
+    Texts are sorted within their partitions, so that near copies are compressed together.
+    """
+    media, pcm = scratch_folder(spark, "media"), scratch_folder(spark, "pcm")
+    _write(store_audio(load(spark, sf_dir, "documents").select("doc_id", "text").sortWithinPartitions("text")), media)
+    _write(convert_audio(spark.read.parquet(media)), pcm)
+    return pcm_features(spark.read.parquet(pcm))
 
 
 QUERIES = {"op7_media_audio": op7_media_audio}

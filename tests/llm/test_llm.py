@@ -512,6 +512,22 @@ def test_audio_query_equals_brute_force(spark, local):
         assert tuple(got[i][c] for c in ("media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")) == want
 
 
+def test_audio_query_keeps_its_pcm(spark, local, monkeypatch, tmp_path):
+    """The query writes the resampled PCM of every text; broken media and several batches give what audio_digest gives."""
+    monkeypatch.setattr(audio, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    got = {r["doc_id"]: r for r in audio.op7_media_audio(spark, DATA).collect()}
+    files = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "pcm")).collect()}
+    assert len(files) == len(local) == len(got)
+    for i, r in got.items():
+        fmt, data = audio.read_wav(bytes(files[i]["pcm"]))
+        assert (fmt["codec"], fmt["rate"], fmt["bits"]) == (audio.PCM, 16_000, 16)
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (r["pcm_bytes"], r["pcm_sha256"]) and len(data) == 4 * r["payload_bytes"]
+    monkeypatch.setattr(audio, "BATCH_BYTES", 1000)
+    bad = spark.createDataFrame([(98, 3, None), (99, 3, b"\0" * 99)], "doc_id long, n_bytes long, media binary")
+    odd = audio.store_audio(awkward(spark)).unionByName(bad)
+    assert Counter(audio.pcm_features(audio.convert_audio(odd)).collect()) == Counter(audio.audio_digest(odd).collect())
+
+
 def test_digest_of_null_and_broken_media(spark):
     good = audio.store_audio(spark.createDataFrame([(1, "abc")], "doc_id long, text string"))
     bad = spark.createDataFrame([(2, 3, None), (3, 3, b""), (4, 3, b"RIFFxxxxWAVEfmt "), (5, 3, b"\0" * 99)], "doc_id long, n_bytes long, media binary")
