@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.sources.scratch import checkpointed
+
 #: Dictionaries of more keys than these are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def few(df: DataFrame, most: int) -> DataFrame:
@@ -16,18 +21,48 @@ def few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _grams(rows: DataFrame, text: str, width: int, keep: list[str], sizes: list[int]) -> DataFrame:
-    """``keep`` and ``gram``: at each character of ``text`` the strings of the given sizes that begin there."""
-    # characters side by side: cutting a text by places would walk it from its start each time
-    chars = F.split(F.col(text), "")
-    shifted = [F.col("_c") if k == 0 else F.slice("_c", k + 1, F.size("_c")) for k in range(width)]
-    rows = rows.select(*keep, F.explode(F.array(chars)).alias("_c"))
-    rows = rows.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*[f"_{k}" for k in range(width)]))
+def _windows(text: str, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` characters from each place on."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    count = max(0, len(codes) - width + 1)
+    out = np.full(count, width, np.uint64)
+    for k in range(width):
+        out = out * np.uint64(_FACTOR) + codes[k : k + count]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _grams(rows: DataFrame, text: str, sizes: list[int], asked: np.ndarray | None = None, by_row: bool = True) -> DataFrame:
+    """For each row its other columns and ``gram``: hashes of its substrings of the given sizes (null: its column ``_n`` alone), each once;
+    of ``asked`` (sorted) only, if given.  Without ``by_row``: (gram, met), how many of the rows of a batch have it."""
+    kept = [f for f in rows.schema.fields if f.name != text]
+
+    def found(x: str, widths: list[int]) -> np.ndarray:
+        h = np.unique(np.concatenate([_windows(x, n) for n in widths]))
+        return h if asked is None else h[asked[np.minimum(np.searchsorted(asked, h), len(asked) - 1)] == h] if len(asked) else h[:0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                widths = [[n] for n in b.column("_n").to_pylist()] if not sizes else [sizes] * b.num_rows
+                got = [found(x, w) for x, w in zip(b.column(text).to_pylist(), widths)]
+                every = np.concatenate(got).view(np.int64)
+                if by_row:
+                    at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+                    yield pa.RecordBatch.from_arrays([*[b.column(f.name).take(at) for f in kept], pa.array(every)], [*[f.name for f in kept], "gram"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(every, return_counts=True)], ["gram", "met"])
+
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"{named}, gram long" if by_row else "gram long, met long")
 
-    def gram(n: int) -> Column:
-        return F.concat(*[F.col(f"_{k}") for k in range(n)])  # null beyond the end
 
-    return rows.select(*keep, F.explode(F.array(*[gram(n) for n in sizes])).alias("gram")).filter("gram is not null")
+def _listed(grams: DataFrame) -> np.ndarray | None:
+    """The distinct grams, sorted, if they are few enough to go to every task; else None."""
+    distinct = grams.select("gram").distinct()
+    first = distinct.limit(BROADCAST_KEYS + 1).toPandas()["gram"].to_numpy(np.int64)
+    return np.sort(first.view(np.uint64)) if len(first) <= BROADCAST_KEYS else None
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str, term: str, width: int = 5) -> DataFrame:
@@ -35,20 +70,20 @@ def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str,
 
     A text that holds a term holds each of its substrings of ``width`` characters (a shorter term: itself).  The rarest of them
     over all texts is the term's key, so hot substrings bring no candidates; keys meet the texts' substrings in an equi-join, and
-    only such candidates are looked into.  Null texts, null and empty terms meet nothing; texts that share a key count together.
+    only such candidates are looked into.  Substrings go by 64-bit hashes: equal ones bring a candidate more, no wrong result.
+    Null texts, null and empty terms meet nothing; texts that share a key count together.
     """
-    rows = texts.select(key, F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
+    rows = texts.select(key, F.col(text).cast("string").alias("_text")).filter("_text is not null and _text <> ''")
     words = terms.select(F.col(term).alias("term")).filter("term is not null and term <> ''").distinct()
     words = words.withColumn("_n", F.least(F.lit(width), F.char_length("term")))
     sizes = sorted(r["_n"] for r in words.select("_n").distinct().collect())  # no more numbers than ``width``
     if not sizes:
         return rows.join(words.select("term"), F.lit(False)).select(key, "term")
-    parts = reduce(DataFrame.unionByName, [_grams(words.filter(F.col("_n") == n), "term", n, ["term"], [n]) for n in sizes])
-    asked = few(parts.select("gram").distinct(), BROADCAST_KEYS)
-    met = _grams(rows, "_text", max(sizes), [key], sizes).join(asked, "gram")
-    counts = met.groupBy("gram").agg(F.count("*").alias("_met"))
+    parts = _grams(words.withColumn("_whole", F.col("term")), "_whole", []).select("term", "gram")
+    met = _grams(rows.select("_text"), "_text", sizes, _listed(parts), by_row=False)
+    counts = met.groupBy("gram").agg(F.sum("met").alias("_met"))
     # a substring that no text has tells that none has the term
     rarest = parts.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_met", F.lit(0).cast("long")).alias("met"), "gram")).alias("r"))
-    chosen = rarest.filter("r.met > 0").select("term", F.col("r.gram").alias("gram"))
-    found = _grams(rows, "_text", max(sizes), [key], sizes).join(few(chosen, BROADCAST_KEYS), "gram").select(key, "term").distinct()
+    chosen = checkpointed(rarest.filter("r.met > 0").select("term", F.col("r.gram").alias("gram")))
+    found = _grams(rows, "_text", sizes, _listed(chosen)).join(few(chosen, BROADCAST_KEYS), "gram").select(key, "term").distinct()
     return found.join(rows, key).filter(F.contains("_text", F.col("term"))).select(key, "term").distinct()

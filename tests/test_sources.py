@@ -71,6 +71,15 @@ def test_terms_of_a_table(spark, monkeypatch):
     assert terms.contained_terms(t.limit(0), d, key="id", text="text", term="w").collect() == []
 
 
+def test_texts_are_not_exploded_by_character(spark):
+    """Of a text only the asked substrings leave its task: no row for each place is made."""
+    t = spark.createDataFrame([(1, "abcdefgh" * 50_000 + "needle"), (1, "hay"), (2, "hay 한국어"), (3, None)], "id long, text string")
+    d = spark.createDataFrame([("needle",), ("hay",), ("국어",), ("fghab",), ("none",), (None,), ("",)], "w string")
+    found = terms.contained_terms(t, d, key="id", text="text", term="w")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "fghab"), (1, "hay"), (1, "needle"), (2, "hay"), (2, "국어")]
+
+
 def test_cascade_asks_later_tiers_only_for_what_lacks(spark):
     rng = random.Random(4)
     tiers = [([(rng.randrange(6), rng.randrange(30)) for _ in range(n)], cap) for n, cap in ((12, None), (30, 3), (50, None))]
