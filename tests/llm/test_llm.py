@@ -234,6 +234,16 @@ def test_both_halves_of_the_join(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, words=1, num=85).collect()} == got
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Stars take one step, without another to see that nothing changes; chains and rings come out whole."""
+    steps, old = [], jaccard.shared_checkpoint
+    monkeypatch.setattr(jaccard, "shared_checkpoint", lambda df: steps.append(1) or old(df))
+    star = spark.createDataFrame([(i, 0) for i in range(1, 50)], "a long, b long")
+    assert {tuple(r) for r in jaccard.components(star).collect()} == {(i, 0) for i in range(1, 50)} and len(steps) == 1
+    odd = spark.createDataFrame([(i, i + 1) for i in range(10, 30)] + [(41, 42), (42, 43), (43, 41), (50, 50)], "a long, b long")
+    assert {tuple(r) for r in jaccard.components(odd).collect()} == {(i, 10) for i in range(11, 31)} | {(42, 41), (43, 41)}
+
+
 def test_linking_sets_share_parts():
     rng = np.random.default_rng(2)
     for num, base in ((70, 12), (80, 40), (85, 300), (85, 5)):
