@@ -45,3 +45,19 @@ def test_texts_reach_the_factual_check_through_scans(spark):
 
     plan = registry.QUERIES["factual_total"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_matches_are_counted_as_the_columns_count_them(spark):
+    """The sentences of a script; equal ones were matched again and again, category by category."""
+    from loomwork import registry
+
+    df = _texts(spark, 400).groupBy(F.floor(F.rand(1) * 60).alias("k")).agg(F.collect_list("x").alias("l"))
+    df = df.unionByName(spark.createDataFrame([(-1, []), (-2, None)], "k long, l array<string>")).localCheckpoint()
+    got = {r["k"]: {c["i"]: list(c["n"]) for c in r["c"]} for r in df.select("k", scan.match_counts(F.col("l"), list(d.CATEGORY_PATTERNS.values())).alias("c")).collect()}
+    want = {k: {} for k in got}
+    for r in df.select("k", F.posexplode("l").alias("i", "x")).select("k", "i", grounding.category_matches(F.col("x")).alias("m")).collect():
+        if r["m"]:
+            want[r["k"]][r["i"]] = [{m["category"]: m["n"] for m in r["m"]}.get(c, 0) for c in d.CATEGORY_PATTERNS]
+    assert got == want and sum(map(len, want.values())) > 50
+    plan = registry.QUERIES["scene_analysis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
