@@ -43,14 +43,20 @@ def _dhash(content: Column) -> list[Column]:
     return [family(2654435761).bitwiseXOR(bit(1)).alias("w1"), family(2246822519).bitwiseXOR(bit(7)).bitwiseXOR(bit(11)).alias("w2")]
 
 
-def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The items of each customer's newest order, and of the five before it."""
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of each customer's newest order and of the five before it, partitioned by customer; one exchange for all uses."""
     orders = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), "o_orderdate")
-    p = g.numbered_projects(orders, who="who", order=[F.desc("o_orderdate"), F.desc("o_orderkey")], most=5)
-    i = load(spark, d, "lineitem").select("l_orderkey", *_ITEM).join(p, F.col("l_orderkey") == F.col("o_orderkey"))
+    p = g.numbered_projects(orders, who="who", order=[F.desc("o_orderdate"), F.desc("o_orderkey")], most=5).drop("o_orderdate")
+    i = load(spark, d, "lineitem").select("l_orderkey", *_ITEM).join(p, F.col("l_orderkey") == F.col("o_orderkey")).select("who", "back", *_ITEM).repartition("who")
     base = F.concat((F.col("l_suppkey") % 40).cast("string"), F.lit(".jpg"))
     pos = F.row_number().over(Window.partitionBy("who", "back").orderBy(*_ITEM)).cast("long")
-    i = i.select("who", "back", "l_partkey", F.concat(F.lit("h"), (F.col("l_partkey") % 97).cast("string")).alias("hash"), F.concat_ws("/", (F.col("l_partkey") % 50).cast("string"), base).alias("path"), base.alias("base"), *_dhash(F.col("l_partkey") % 97), pos.alias("pos"))
+    i = i.select("who", "back", "l_partkey", "l_suppkey", pos.alias("pos"))
+    return i.select("who", "back", "l_partkey", F.concat(F.lit("h"), (F.col("l_partkey") % 97).cast("string")).alias("hash"), F.concat_ws("/", (F.col("l_partkey") % 50).cast("string"), base).alias("path"), base.alias("base"), *_dhash(F.col("l_partkey") % 97), "pos")
+
+
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The items of each customer's newest order, and of the five before it."""
+    i = _items(spark, d)
     return i.filter("back = 0"), i.filter("back > 0")
 
 
@@ -102,13 +108,22 @@ hook AS (SELECT who, round_even(max(sim), 3) AS similarity, CASE WHEN round_even
 @query(f"""WITH {_CLIP.replace('{history}', _PHOTO)}, {_HOOK} SELECT photo.who, photo, broll, coalesce(hook, 6.0) AS hook, photo + broll + coalesce(hook, 6.0) AS total, photo + broll + coalesce(hook, 6.0) >= 17.5 AS passed, photo + broll + coalesce(hook, 6.0) < 10 AS critical
 FROM photo JOIN clip ON photo.who = clip.who LEFT JOIN hook ON photo.who = hook.who""")
 def repetition_total(spark: SparkSession, d: str) -> DataFrame:
-    """All three parts measured on the five projects before the newest; without any before, all points are full."""
-    now, past = _history(spark, d)
+    """All three parts measured on the five projects before the newest; without any before, all points are full.
+
+    The items are shuffled by customer once; what was there before comes from windows over them.
+    """
+    items = _items(spark, d)
+    met = g.met_before(items, who="who", pos="pos").filter("back = 0")
+    n = met.groupBy("who").agg(F.count("*").alias("n"), F.count_if("dup").alias("dup"), F.max(s.streak_penalty(F.col("run"))).alias("lost"))
+    near = g.near_within(met.filter("not dup"), items, who="who", pos="pos", words=["w1", "w2"], threshold=_NEAR).groupBy("who").agg(F.count("*").alias("near"))
+    n = n.join(near, "who", "left").withColumn("dup", F.col("dup") + F.coalesce("near", F.lit(0)))
+    n = n.withColumn("photo", F.lit(12.0) - s.overlap_penalty(F.col("dup"), F.bround(F.lit(100.0) * F.col("dup") / F.col("n"), 1))).withColumn("broll", F.lit(7.0) - F.least(F.lit(5.0), "lost"))
     part = load(spark, d, "part").select("p_partkey", t.tokens(F.concat_ws(" ", "p_name", "p_brand")).alias("u"))
-    hook = lambda df: df.filter("pos = 1").join(part, F.col("l_partkey") == F.col("p_partkey")).select("who", "u")
-    sims = hook(now).join(hook(past).withColumnRenamed("u", "v"), "who").groupBy("who").agg(F.bround(F.max(t.word_jaccard(F.col("u"), F.col("v"))), 3).alias("sim"))
+    first = items.filter("pos = 1").select("who", "back", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    first = first.select("who", "back", "u", F.max(F.when(F.col("back") == 0, F.col("u"))).over(Window.partitionBy("who")).alias("v")).filter("back > 0 and v is not null")
+    sims = first.groupBy("who").agg(F.bround(F.max(t.word_jaccard(F.col("v"), F.col("u"))), 3).alias("sim"))
     hooks = sims.select("who", (F.lit(6.0) - s.hook_penalty(F.col("sim"))).alias("hook"))
-    j = _photo(now, past).select("who", "photo").join(_clips(now, past).select("who", "broll"), "who").join(hooks, "who", "left").withColumn("hook", F.coalesce("hook", F.lit(6.0)))
+    j = n.select("who", "photo", "broll").join(hooks, "who", "left").withColumn("hook", F.coalesce("hook", F.lit(6.0)))
     total = s.clamp_total([F.col("photo"), F.col("broll"), F.col("hook")], 25.0)
     return j.withColumn("total", total).withColumn("passed", F.col("total") >= 17.5).withColumn("critical", F.col("total") < 10)
 
