@@ -23,6 +23,8 @@ UNIT = 64
 FEATURE_SAMPLES = 1 << 20
 #: About so many bytes of PCM go to Spark at once.
 BATCH_BYTES = 8 << 20
+#: Rows of a batch that are held as Python objects at once.
+STORE_ROWS = 256
 
 
 def mulaw_table() -> np.ndarray:
@@ -135,18 +137,49 @@ def resampled(fmt: dict[str, int], data: memoryview, to: int) -> Iterator[np.nda
         yield np.rint(now + (then - now) * (rest / to)).astype(np.int16)
 
 
-def store_audio(rows: DataFrame, *, id_col: str = "doc_id", data_col: str = "text", codec: int = MULAW, rate: int = 8000) -> DataFrame:
+def _stored(batches: Iterator[pa.RecordBatch], codec: int, rate: int) -> Iterator[pa.RecordBatch]:
+    for b in (whole.slice(at, STORE_ROWS) for whole in batches for at in range(0, whole.num_rows, STORE_ROWS)):
+        raw = [x or b"" for x in b.column("b").to_pylist()]
+        media = [write_wav(x.ljust(max(UNIT, -(-len(x) // UNIT) * UNIT), b"\0"), codec=codec, rate=rate) for x in raw]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+
+
+def _converted(batches: Iterator[pa.RecordBatch], rate: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pcm, errors, held, at = [], [], 0, 0
+        for i, m in enumerate(b.column("media")):
+            try:
+                fmt, data = read_wav(memoryview(m.as_buffer() if m.is_valid else b""))
+                pcm.append(write_wav(b"".join(x.astype("<i2").tobytes() for x in resampled(fmt, data, rate)), codec=PCM, rate=rate, bits=16))
+                errors.append(None)
+                held += len(pcm[-1])
+            except (ValueError, struct.error) as e:
+                pcm.append(None)
+                errors.append(str(e))
+            if held >= BATCH_BYTES or i == b.num_rows - 1:
+                part = b.slice(at, len(pcm))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary()), pa.array(errors, pa.string())], [*part.schema.names, "pcm", "error"])
+                pcm, errors, held, at = [], [], 0, i + 1
+
+
+def _named(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.rename_columns([id_col, *b.schema.names[1:]])
+
+
+def store_audio(rows: DataFrame, *, id_col: str = "doc_id", data_col: str = "text", codec: int = MULAW, rate: int = 8000, pcm_rate: int | None = None) -> DataFrame:
     """``id_col``, n_bytes, media: the column's UTF-8 (or binary) bytes, filled with bytes 0 to a positive
-    multiple of 64, losslessly as 8-bit telephony samples.  Null counts as no bytes."""
+    multiple of 64, losslessly as 8-bit telephony samples.  Null counts as no bytes.
+
+    With ``pcm_rate`` the columns of ``convert_audio`` at that rate follow, in the same pass.
+    """
     chosen = rows.select(rows[id_col].alias("id"), rows[data_col].cast("binary").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [x or b"" for x in b.column("b").to_pylist()]
-            media = [write_wav(x.ljust(max(UNIT, -(-len(x) // UNIT) * UNIT), b"\0"), codec=codec, rate=rate) for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+        media = _stored(batches, codec, rate)
+        return _named(_converted(media, pcm_rate) if pcm_rate else media, id_col)
 
-    return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema['id'].dataType.simpleString()}, n_bytes long, media binary" + ", pcm binary, error string" * bool(pcm_rate))
 
 
 def to_pcm(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", rate: int = 16000) -> DataFrame:
@@ -223,74 +256,74 @@ def audio_digest(stored: DataFrame, *, id_col: str = "doc_id", rate: int = 16000
     return stored.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, error string")
 
 
-MEDIA_DIGEST = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
-DIGEST_COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-
-
 def convert_audio(stored: DataFrame, *, id_col: str = "doc_id", rate: int = 16000) -> DataFrame:
-    """``id_col``, n_bytes, digests of the stored media, and their resampled PCM as RIFF/WAVE bytes (``pcm``).
+    """``id_col``, n_bytes, the stored ``media``, and their resampled PCM as RIFF/WAVE bytes (``pcm``).
 
-    Null or broken media give nulls and say why in ``error``; they never stop the job.
+    Null or broken media give null PCM and say why in ``error``; they never stop the job.
     """
     kind = stored.schema[id_col].dataType.simpleString()
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(lambda batches: _converted(batches, rate), f"`{id_col}` {kind}, n_bytes long, media binary, pcm binary, error string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, held, at = [], 0, 0
-            for i, m in enumerate(b.column("media")):
-                try:
-                    media = memoryview(m.as_buffer() if m.is_valid else b"")
-                    fmt, data = read_wav(media)
-                    pcm = write_wav(b"".join(x.astype("<i2").tobytes() for x in resampled(fmt, data, rate)), codec=PCM, rate=rate, bits=16)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), pcm, None))
-                    held += len(pcm)
-                except (ValueError, struct.error) as e:
-                    rows.append((None,) * 6 + (str(e),))
-                if held >= BATCH_BYTES or i == b.num_rows - 1:
-                    part = b.slice(at, len(rows))
-                    fields = [*MEDIA_DIGEST, pa.field("pcm", pa.binary()), pa.field("error", pa.string())]
-                    yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("n_bytes"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), fields)]], [id_col, "n_bytes", *[f.name for f in fields]])
-                    rows, held, at = [], 0, i + 1
 
-    return stored.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, {DIGEST_COLUMNS}, pcm binary, error string")
+def same_samples(fmt: dict[str, int], data: memoryview, pcm: np.ndarray, rate: int) -> Iterator[np.ndarray]:
+    """``pcm`` in slices; ValueError if they are not what the media's samples give at ``rate``."""
+    at = 0
+    for x in resampled(fmt, data, rate):
+        part = pcm[at : at + len(x)]
+        if not np.array_equal(part, x):
+            raise ValueError("the PCM are not those of the media")
+        yield part
+        at += len(x)
+    if at < len(pcm):
+        raise ValueError("the PCM are longer than the media")
 
 
 def pcm_features(converted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The columns of ``audio_digest``, those on PCM from the bytes of ``convert_audio``'s ``pcm``."""
-    kind = converted.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", *MEDIA_DIGEST.names, "feature", "pcm_bytes", "pcm_sha256", "error"]
+    """The columns of ``audio_digest``: those on media from the bytes of ``convert_audio``'s ``media``, those on PCM from its ``pcm``.
 
-    def digest(pcm: pa.BinaryScalar) -> tuple[str | None, int | None, str | None]:
-        if not pcm.is_valid:
-            return None, None, None
-        fmt, data = read_wav(memoryview(pcm.as_buffer()))
-        samples = decode(fmt, data)
-        n, sha256, feature = samples_digest((samples[at : at + FEATURE_SAMPLES] for at in range(0, len(samples), FEATURE_SAMPLES)), fmt["rate"])
-        return feature, n, sha256
+    Every PCM is compared with what its media give; where they differ, the digests are null and ``error`` says so.
+    """
+    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string()), ("error", pa.string())]
+
+    def digest(m: pa.BinaryScalar, p: pa.BinaryScalar, error: str | None) -> tuple:
+        if error is not None:
+            return (None,) * 8 + (error,)
+        try:
+            media = memoryview(m.as_buffer() if m.is_valid else b"")
+            fmt, data = read_wav(media)
+            pcm_fmt, pcm = read_wav(memoryview(p.as_buffer() if p.is_valid else b""))
+            n, sha256, feature = samples_digest(same_samples(fmt, data, decode(pcm_fmt, pcm), pcm_fmt["rate"]), pcm_fmt["rate"])
+        except (ValueError, struct.error) as e:
+            return (None,) * 8 + (str(e),)
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, n, sha256, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [digest(x) for x in b.column("pcm")]
-            made = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:-4]], *made, b.column("error")], names)
+            got = [digest(m, p, e.as_py()) for m, p, e in zip(b.column("media"), b.column("pcm"), b.column("error"))]
+            made = [pa.array([g[k] for g in got], kind) for k, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *made], [id_col, "n_bytes", *[name for name, _ in fields]])
 
-    return converted.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, {DIGEST_COLUMNS}, feature string, pcm_bytes long, pcm_sha256 string, error string")
+    kind = converted.schema[id_col].dataType.simpleString()
+    return converted.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, error string")
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Parquet, tightly packed, since samples at the higher rate take four bytes for each of the text."""
-    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "11").parquet(path)
+    """Parquet, tightly packed, since samples at the higher rate take four bytes for each of the text.
+
+    Pages are compressed one by one; those of 8 MB show zstd more that repeats than the usual ones of 1 MB.
+    """
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "11").option("parquet.page.size", str(8 << 20)).parquet(path)
 
 
 def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media and their resampled PCM are written as Parquet in the folder that the cluster shares, and read again from there.
+    """The media and their resampled PCM are written as Parquet in the folder that the cluster shares, and both are read again from there.
 
-    Texts are sorted within their partitions, so that near copies are compressed together.
+    They are columns of the same files, so no digest of the media has to be kept beside the PCM.  Texts are sorted
+    within their partitions, so that near copies are compressed together.
     """
-    media, pcm = scratch_folder(spark, "media"), scratch_folder(spark, "pcm")
-    _write(store_audio(load(spark, sf_dir, "documents").select("doc_id", "text").sortWithinPartitions("text")), media)
-    _write(convert_audio(spark.read.parquet(media)), pcm)
-    return pcm_features(spark.read.parquet(pcm))
+    path = scratch_folder(spark, "pcm")
+    _write(store_audio(load(spark, sf_dir, "documents").select("doc_id", "text").sortWithinPartitions("text"), pcm_rate=16000), path)
+    return pcm_features(spark.read.parquet(path))
 
 
 QUERIES = {"op7_media_audio": op7_media_audio}

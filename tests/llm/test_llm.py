@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips, held-out labels, and awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -538,6 +539,29 @@ def test_audio_query_keeps_its_pcm(spark, local, monkeypatch, tmp_path):
     assert Counter(audio.pcm_features(audio.convert_audio(odd)).collect()) == Counter(audio.audio_digest(odd).collect())
 
 
+def test_audio_query_stores_media_and_pcm_once(spark, monkeypatch, tmp_path):
+    """All that is stored, checksums and all, is media and PCM of every text, in less than 1.5 times the documents' file."""
+    monkeypatch.setattr(audio, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    data = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in audio.op7_media_audio(spark, data).collect()}
+    files = spark.read.parquet(str(tmp_path / "pcm")).drop("pcm").collect()
+    assert len(files) == len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert all((len(r["media"]), hashlib.sha256(r["media"]).hexdigest()) == (got[r["doc_id"]]["media_bytes"], got[r["doc_id"]]["media_sha256"]) for r in files)
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert stored <= 1.5 * os.path.getsize(f"{data}/documents.parquet")
+
+
+def test_pcm_that_are_not_those_of_the_media(spark):
+    rows = {r["doc_id"]: r.asDict() for r in audio.convert_audio(audio.store_audio(spark.createDataFrame([(i, "abc" * 30) for i in range(6)], "doc_id long, text string"))).collect()}
+    pcm = bytes(rows[0]["pcm"])
+    for i, p in ((1, pcm[:-1] + b"x"), (2, audio.write_wav(pcm[-256:], codec=audio.PCM, rate=16000, bits=16)), (3, audio.write_wav(pcm[-512:] + b"ab", codec=audio.PCM, rate=16000, bits=16)), (4, None), (5, b"junk")):
+        rows[i]["pcm"] = p
+    changed = spark.createDataFrame([tuple(r.values()) for r in rows.values()], "doc_id long, n_bytes long, media binary, pcm binary, error string")
+    got = {r["doc_id"]: r for r in audio.pcm_features(changed).collect()}
+    assert got[0]["error"] is None and got[0]["pcm_bytes"] == 512
+    assert all(got[i]["feature"] is None and got[i]["error"] for i in range(1, 6))
+
+
 def test_digest_of_null_and_broken_media(spark):
     good = audio.store_audio(spark.createDataFrame([(1, "abc")], "doc_id long, text string"))
     bad = spark.createDataFrame([(2, 3, None), (3, 3, b""), (4, 3, b"RIFFxxxxWAVEfmt "), (5, 3, b"\0" * 99)], "doc_id long, n_bytes long, media binary")
