@@ -4,6 +4,9 @@ Arrow batches are regrouped into batches of bounded bytes.  Texts longer than a
 *safe* places: a single U+0020 with no white space on either side.  The byte-level pre-tokenizer
 always ends a word before such a space and starts the next one with it, so the ids of the slices,
 concatenated, are the ids of the whole.
+
+It also ends a word before the last space of a run of white space, if no white space follows.  So for
+counts the texts of a batch are cut before each such space, and equal slices are encoded once.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_CUTS = re.compile(r"(?= \S)")
 #: Latin texts without "<", of which no special string can be part.
 _LATIN = re.compile(r"[\x00-;=-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
 #: The words into which the tokenizer's pattern splits a Latin text, with its classes written out for those characters.
@@ -30,6 +34,8 @@ _WORDS = re.compile(r" ?[A-Za-z\u00c0-\u017f]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?
 KNOWN_WORDS, KNOWN_CHARS = 1 << 19, 64
 BATCH_BYTES = 4 << 20
 SLICE_CHARS = 1 << 16
+#: A batch of which more slices than this share differ is not cut for counts: many short slices cost more than whole texts.
+MOST_NEW = 0.5
 
 
 def default_tokenizer() -> str:
@@ -77,7 +83,8 @@ class Encoder:
     A byte-level tokenizer without normaliser encodes each word of its split by itself.  So Latin texts are
     split here, words that the worker has met before are looked up, and only new ones go to the tokenizer's
     model.  All other texts (other scripts, special strings), and all texts of another kind of tokenizer,
-    go there whole.  ``lengths`` takes no such way: it has all texts encoded in batches.
+    go there whole.  ``lengths`` takes no such way: it has all texts of a batch encoded by the tokenizer's batch
+    call, with any pattern and model of its own, and remembers nothing for the next batch.
     """
 
     def __init__(self, path: str):
@@ -90,6 +97,8 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         added = all("<" in t["content"] for t in spec.get("added_tokens") or [])
+        unspaced = not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or [])
+        self.by_slice = bool(plain and unspaced and spec.get("normalizer") is None)
         self.by_word = bool(plain and added and spec.get("normalizer") is None and spec.get("model", {}).get("type", "BPE") == "BPE")
         self.known: dict[str, bytes] = {}
 
@@ -121,11 +130,16 @@ class Encoder:
                 yield next(found) if len(ys) == 1 else b"".join(next(found) for _ in ys)
 
     def lengths(self, texts: list[str], sizes: np.ndarray) -> Iterator[int]:
-        """The number of ids of each text, in order, by the tokenizer's own batch encoding."""
+        """The number of ids of each text, in order, by the tokenizer's own batch encoding, equal slices of a batch once."""
         for batch in balanced(texts, sizes):
-            found = map(len, self.tok.encode_batch_fast([y for ys in batch for y in ys], add_special_tokens=False))
+            if self.by_slice:
+                cut = [[z for y in ys for z in _CUTS.split(y)] for ys in batch]
+                if len(set().union(*cut)) <= MOST_NEW * sum(map(len, cut)):
+                    batch = cut
+            once = list(set().union(*batch))
+            found = dict(zip(once, map(len, self.tok.encode_batch_fast(once, add_special_tokens=False))))
             for ys in batch:
-                yield sum(next(found) for _ in ys)
+                yield sum(map(found.__getitem__, ys))
 
 
 _ENCODERS: dict[str, Encoder] = {}

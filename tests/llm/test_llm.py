@@ -65,6 +65,57 @@ def test_slices_do_not_change_ids():
     assert b"".join(e.batch(tokens.slices(text, 40))) == e.batch([text])[0]
 
 
+class Counting:
+    """A tokenizer that counts the characters that its batch call is given."""
+
+    def __init__(self, tok):
+        self.tok, self.given = tok, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.tok.encode_batch_fast(texts, **options)
+
+
+def lengths(e, texts):
+    return list(e.lengths(texts, np.array([len(x.encode()) for x in texts])))
+
+
+def test_counts_encode_equal_slices_of_a_batch_once():
+    e, rng = tokens.Encoder(tokens.default_tokenizer()), random.Random(3)
+    words = [f"w{i}rd" for i in range(200)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(100)]
+    e.tok = Counting(e.tok)
+    assert lengths(e, texts) == [len(x.ids) for x in library().encode_batch(texts, add_special_tokens=False)]
+    assert e.tok.given < 0.05 * sum(map(len, texts))
+    e.tok.given, texts = 0, [" ".join(f"{i}x{j}" for j in range(100)) for i in range(100)]
+    assert lengths(e, texts) == [len(x.ids) for x in library().encode_batch(texts, add_special_tokens=False)]
+    assert e.tok.given == sum(map(len, texts))
+
+
+def test_counts_of_slices_are_those_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_NEW", 1)
+    e, tok, rng = tokens.Encoder(tokens.default_tokenizer()), library(), random.Random(11)
+    assert e.by_slice
+    units = ["a", "Bc", "é", "한", "я", "9", "'s", "'", ".", "<|endoftext|>", "\u0301", "\u200b", *"     \n\t\r\x0b\x1c\x1f\x85\xa0\u1680\u2028\u3000\0"]
+    texts = ["".join(rng.choices(units, k=rng.randrange(30))) for _ in range(20_000)]
+    assert lengths(e, texts) == [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_cut_no_texts_of_tokenizers_that_join_words(tmp_path):
+    from tokenizers import AddedToken, normalizers, pre_tokenizers
+
+    texts = ["a  b <x>  c  d", "  a b", "one two  one two"] * 3
+    odd = [library() for _ in range(3)]
+    odd[0].add_special_tokens([AddedToken("<x>", rstrip=True)])
+    odd[1].normalizer = normalizers.Replace("  ", "_")
+    odd[2].pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for k, tok in enumerate(odd):
+        tok.save(str(tmp_path / f"{k}.json"))
+        e = tokens.Encoder(str(tmp_path / f"{k}.json"))
+        assert not e.by_slice
+        assert lengths(e, texts) == [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_ids_of_words_are_those_of_whole_texts():
     e, tok, rng = tokens.encoder(tokens.default_tokenizer()), library(), random.Random(7)
     assert e.by_word
